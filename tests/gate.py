@@ -63,9 +63,9 @@ def compare(spark, con, name, query, sql, sf_dir) -> tuple[bool, str]:
         return False, f"{head} ROWCOUNT; spark {a[:1]} sql {b[:1]}"
     bad = [(x, y) for x, y in zip(a, b) if not all(same(u, v) for u, v in zip(x, y))]
     if bad:
-        x, y = bad[0]
-        diff = [(n, u, v) for n, u, v in zip(names, x, y) if not same(u, v)]
-        return False, f"{head} {len(bad)} DIFFERENT; first {diff[:6]} row {x[:6]}"
+        only_a = sorted(set(a) - set(b), key=str)[:2]
+        only_b = sorted(set(b) - set(a), key=str)[:2]
+        return False, f"{head} {len(bad)} DIFFERENT {names}\n   spark {only_a}\n   sql   {only_b}"
     return True, f"{head} ok{' EMPTY' if not a else ''}"
 
 

@@ -6,9 +6,9 @@ from .base import Query
 
 
 def _catalogues():
-    from . import timeseries
+    from . import market, measure, timeseries
 
-    return [timeseries.CATALOGUE]
+    return [m.CATALOGUE for m in (timeseries, market, measure)]
 
 
 def all_queries() -> dict[str, Query]:

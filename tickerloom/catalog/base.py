@@ -22,7 +22,7 @@ def publish(df: DataFrame, digits: int = 6) -> DataFrame:
             c = rnd(c.cast("double"), digits) + F.lit(0.0)
         elif isinstance(field.dataType, T.DateType):
             c = c.cast("string")
-        elif isinstance(field.dataType, T.TimestampType):
+        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")

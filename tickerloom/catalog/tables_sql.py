@@ -6,7 +6,7 @@ from __future__ import annotations
 def r(expr: str, digits: int = 6) -> str:
     """Half-even rounding of the scaled double, as `numeric.rnd` does."""
     scale = f"1e{digits}"
-    return f"(round_even(({expr})::DOUBLE * {scale}, 0) / {scale})"
+    return f"(round_even(({expr})::DOUBLE * {scale}, 0) / {scale} + 0::DOUBLE)"
 
 
 def rs(expr: str, digits: int) -> str:
@@ -108,3 +108,28 @@ def norm_cdf(x: str) -> str:
 
 def with_(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(p.strip() for p in parts) + "\n" + select.strip()
+
+MACRO = """macro_obs AS (
+SELECT 'official' AS source, CASE o_orderpriority WHEN '1-URGENT' THEN 'vix' WHEN '2-HIGH' THEN 'yield_curve_10y_2y' WHEN '3-MEDIUM' THEN 'treasury_10y'
+   WHEN '4-NOT SPECIFIED' THEN 'unemployment' ELSE 'fed_funds' END AS series, date,
+   CASE WHEN h % 13 = 0 THEN '.' ELSE CAST(ROUND(lo + (hi - lo) * h / 10007, 4) AS VARCHAR) END AS value FROM (
+ SELECT o_orderpriority, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS date, SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT))::BIGINT % 10007 AS h,
+   (CASE o_orderpriority WHEN '1-URGENT' THEN 10 WHEN '2-HIGH' THEN -1 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 3 ELSE 2 END)::DOUBLE AS lo,
+   (CASE o_orderpriority WHEN '1-URGENT' THEN 35 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 6 WHEN '4-NOT SPECIFIED' THEN 7 ELSE 7 END)::DOUBLE AS hi
+ FROM orders GROUP BY 1, 2)
+UNION ALL
+SELECT 'keyless', CASE o_orderstatus WHEN 'F' THEN 'wti_oil' WHEN 'O' THEN 'dollar_index' ELSE 'treasury_5y' END, date,
+   CASE WHEN h % 13 = 0 THEN '.' ELSE CAST(ROUND(lo + (hi - lo) * h / 10007, 4) AS VARCHAR) END FROM (
+ SELECT o_orderstatus, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS date, SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT))::BIGINT % 10007 AS h,
+   (CASE o_orderstatus WHEN 'F' THEN 55 WHEN 'O' THEN 98 ELSE 2.5 END)::DOUBLE AS lo, (CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'O' THEN 112 ELSE 5.5 END)::DOUBLE AS hi
+ FROM orders GROUP BY 1, 2))"""
+
+GOV_EVENTS = """gov_events AS (
+SELECT SUBSTRING(text, 1, 120) AS title, source,
+  CASE doc_id % 5 WHEN 0 THEN 'policy' WHEN 1 THEN 'trump_admin' WHEN 2 THEN 'fda' WHEN 3 THEN 'antitrust' ELSE 'fiscal' END AS kind,
+  TIMESTAMP '2024-01-31 00:00:00' - (doc_id % 97) * INTERVAL '1' HOUR AS published_at, doc_id AS position FROM documents)"""
+
+ASSETS = """assets AS (
+SELECT 'Brand#' || CAST(1 + item_id % 25 AS VARCHAR) || '.' || CAST(item_id AS VARCHAR) AS ticker, SUBSTRING(text, 1, 40) AS company_name,
+  [['semiconductors','ai','cloud','energy','pharma'][item_id % 5 + 1], ['semiconductors','ai','cloud','energy','pharma'][(item_id + 2) % 5 + 1]] AS strategy_tags,
+  item_id FROM benchmark)"""

@@ -360,8 +360,8 @@ DIRECTION = """CASE WHEN {s} >= 70 THEN 'bullish' WHEN {s} >= 58 THEN 'neutral_t
 @add("target_stop_levels", with_(*TECH_PARTS, LOGRET, VOTES, STATS, f"""
 tl AS (SELECT s.*, t.atr, {DIRECTION.format(s='t.technical_score')} AS direction, {r(band(5)['expected_return_pct'], 2)} AS ret, {r(band(5)['p05_return_pct'], 2)} AS p05
   FROM st s JOIN tech t ON s.ticker = t.ticker AND s.pos = t.pos WHERE s.pos = s.n),
-tl2 AS (SELECT *, direction IN ('bearish', 'neutral_to_bearish') AS sh, direction IN ('bullish', 'neutral_to_bullish') AS lo FROM tl)""", select=f"""
-SELECT ticker, direction, {r('close')} AS price, {r('CASE WHEN lo THEN close - 1.5 * atr WHEN sh THEN close + 1.5 * atr END')} AS invalidation,
+tl2 AS (SELECT *, direction IN ('bearish', 'neutral_to_bearish') AS sh, direction IN ('bullish', 'neutral_to_bullish') AS is_long FROM tl)""", select=f"""
+SELECT ticker, direction, {r('close')} AS price, {r('CASE WHEN is_long THEN close - 1.5 * atr WHEN sh THEN close + 1.5 * atr END')} AS invalidation,
   {r('close * (1 + (CASE WHEN sh AND ret > 0 THEN -ret ELSE ret END) / 100)', 4)} AS target_price,
   CASE WHEN ret IS NOT NULL THEN {r('close + (CASE WHEN sh THEN 1 ELSE -1 END) * (CASE WHEN atr > 0 THEN LEAST(GREATEST(1.5 * atr, close * 0.025::DOUBLE), close * 0.10::DOUBLE) ELSE close * LEAST(GREATEST(COALESCE(ABS(p05) / 100 * 0.75::DOUBLE, 0.045), 0.035), 0.095) END)', 4)} END AS stop_price
 FROM tl2"""))
