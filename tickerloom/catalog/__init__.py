@@ -6,9 +6,9 @@ from .base import Query
 
 
 def _catalogues():
-    from . import market, measure, timeseries
+    from . import chains, market, measure, timeseries
 
-    return [m.CATALOGUE for m in (timeseries, market, measure)]
+    return [m.CATALOGUE for m in (timeseries, market, measure, chains)]
 
 
 def all_queries() -> dict[str, Query]:
