@@ -6,9 +6,9 @@ from .base import Query
 
 
 def _catalogues():
-    from . import chains, market, measure, timeseries
+    from . import chains, market, measure, scoring, timeseries
 
-    return [m.CATALOGUE for m in (timeseries, market, measure, chains)]
+    return [m.CATALOGUE for m in (timeseries, market, scoring, chains, measure)]
 
 
 def all_queries() -> dict[str, Query]:
