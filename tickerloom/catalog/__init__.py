@@ -6,9 +6,9 @@ from .base import Query
 
 
 def _catalogues():
-    from . import chains, market, measure, scoring, timeseries
+    from . import chains, feeds, market, measure, records, scoring, timeseries
 
-    return [m.CATALOGUE for m in (timeseries, market, scoring, chains, measure)]
+    return [m.CATALOGUE for m in (timeseries, market, feeds, scoring, chains, measure, records)]
 
 
 def all_queries() -> dict[str, Query]:
