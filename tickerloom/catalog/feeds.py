@@ -42,12 +42,19 @@ def title_keys(spark, sf_dir):
 
 
 @add("merged_headlines", with_(NEWS, NEWS_O, MERGED, select="""
-SELECT ticker, tkey AS title_key, news_id, provider, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY published_at DESC, priority, news_id) AS rank FROM merged"""))
+SELECT ticker, tkey AS title_key, news_id, provider, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at FROM merged"""))
 def merged_headlines(spark, sf_dir):
-    """Deduplicated headlines of the last day per ticker, newest first."""
+    """Deduplicated headlines of the last day per ticker."""
     kept = ops.merge_feeds(news(spark, sf_dir), as_of(), 24)
-    ranked = ops.newest(kept, "ticker", 10**9)
-    return ranked.select("ticker", "title_key", "news_id", "provider", "published_at", "rank")
+    return kept.select("ticker", "title_key", "news_id", "provider", "published_at")
+
+
+@add("newest_headlines", with_(NEWS, NEWS_O, MERGED, select="""
+SELECT * FROM (SELECT ticker, news_id, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY published_at DESC, priority, news_id) AS rank FROM merged) WHERE rank <= 15"""))
+def newest_headlines(spark, sf_dir):
+    """The fifteen newest merged headlines of each ticker."""
+    kept = ops.merge_feeds(news(spark, sf_dir), as_of(), 24)
+    return ops.newest(kept, "ticker", 15).select("ticker", "news_id", "rank")
 
 
 @add("deduped_titles", with_(NEWS, NEWS_O, select="""

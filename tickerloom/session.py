@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -28,13 +31,23 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Raises where the setting is missing: a machine-local default would lose the
-    data together with the executor that wrote it.
+    Only a local session may lack the setting; it gets a folder of its own.  On a
+    cluster a machine-local default would lose the data with its executor, so a
+    missing setting is an error there.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    return folder.rstrip("/")
+    folder = tempfile.mkdtemp(prefix="tickerloom-")
+    spark.conf.set(CHECKPOINT_KEY, folder)
+    return folder
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for one run of a job."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
