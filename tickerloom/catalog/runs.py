@@ -9,6 +9,7 @@ from ..operators import calendar as cal
 from ..operators import options as opt
 from ..operators import text as txt
 from ..plans import scan as plan
+from ..session import cut_lineage
 from ..sources import config, filings, macro
 from . import chains, feeds, market
 from .base import Catalogue
@@ -23,7 +24,8 @@ BRAND_OF = "'Brand#' || CAST(1 + cik % 25 AS VARCHAR)"
 
 def tables(spark, sf_dir) -> plan.ScanTables:
     """Scan inputs from the given tables."""
-    bars = data.numbered_bars(spark, sf_dir)
+    # three engines read the bars; their lineage is cut once instead of run three times
+    bars = cut_lineage(data.numbered_bars(spark, sf_dir))
     facts = filings.latest_facts(market.fact_rows(spark, sf_dir)).where(F.col("cik") < 25)
     ticker = F.concat(F.lit("Brand#"), (1 + F.col("cik") % 25).cast("string"))
     links = txt.map_impacts(data.assets(spark, sf_dir), data.gov_events(spark, sf_dir), feeds.TAGS)
@@ -35,8 +37,8 @@ def tables(spark, sf_dir) -> plan.ScanTables:
     own = config.profile_weights(spark)
     return plan.ScanTables(
         bars=bars,
-        benchmark=data.numbered_benchmark(spark, sf_dir),
-        index_bars=data.numbered_index_bars(spark, sf_dir),
+        benchmark=cut_lineage(data.numbered_benchmark(spark, sf_dir)),
+        index_bars=cut_lineage(data.numbered_index_bars(spark, sf_dir)),
         chain=chains.contracts(spark, sf_dir),
         macro=both,
         headlines=feeds.news(spark, sf_dir),

@@ -41,7 +41,7 @@ def _avg(col: str, n: int, guard: int | None = None) -> str:
 SELECT ticker, {DAY}, {r(_avg('close', 20), 8)} AS sma20, {r(_avg('close', 50), 8)} AS sma50, {r(_avg('close', 200), 8)} AS sma200 FROM bars"""), digits=8)
 def moving_averages(spark, sf_dir):
     df = _frame(spark, sf_dir, 200)
-    df = df.select("*", *[ind.sma(n).alias(f"sma{n}") for n in (20, 50, 200)])
+    df = ind.add_sma(df, 20, 50, 200)
     return series.own_rows(df).select("ticker", "date", "sma20", "sma50", "sma200")
 
 

@@ -22,8 +22,10 @@ SCORE_LOOKBACK = MACD_LOOKBACK
 MACD_NOISE = 1e-11
 
 
-def sma(n: int, source: str = "close") -> Column:
-    return full(F.avg(source).over(last(n)), n)
+def add_sma(df: DataFrame, *lengths: int, source: str = "close") -> DataFrame:
+    """Simple moving averages `sma<n>`, NULL until n rows exist."""
+    df = series.add_rolling_means(df, source, *lengths, prefix="sma")
+    return df.withColumns({f"sma{n}": full(F.col(f"sma{n}"), n) for n in lengths})
 
 
 def add_returns(df: DataFrame) -> DataFrame:
@@ -53,7 +55,8 @@ def add_macd(df: DataFrame, spans: tuple[int, int, int] = MACD_SPANS) -> DataFra
 
 
 def add_bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
-    df = df.withColumn("bb_mid", sma(n)).withColumn("_sd", full(F.stddev_samp("close").over(last(n)), n))
+    mid = full(F.avg("close").over(last(n)), n)
+    df = df.withColumn("bb_mid", mid).withColumn("_sd", full(F.stddev_samp("close").over(last(n)), n))
     return (
         df.withColumn("bb_upper", F.col("bb_mid") + width * F.col("_sd"))
         .withColumn("bb_lower", F.col("bb_mid") - width * F.col("_sd"))
@@ -178,11 +181,12 @@ def historical_move(numbered: DataFrame, horizon_days: int = 5) -> DataFrame:
 def add_vote_inputs(df: DataFrame) -> DataFrame:
     """Columns the three trend agents look at."""
     prior = ordered().rowsBetween(-20, -1)
+    df = series.add_rolling_means(df, "close", 20, 50)
     return (
         df.withColumn("channel_high", full(F.max("close").over(prior), 21))
         .withColumn("channel_low", full(F.min("close").over(prior), 21))
-        .withColumn("_fast", full(F.avg("close").over(last(20)), 51))
-        .withColumn("_slow", full(F.avg("close").over(last(50)), 51))
+        .withColumn("_fast", full(F.col("_mean_20"), 51))
+        .withColumn("_slow", full(F.col("_mean_50"), 51))
         .withColumn("_mom", full(F.col("close") / F.lag("close", 62).over(ordered()) - 1, 64))
     )
 
@@ -204,7 +208,7 @@ def add_trend_votes(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("vote_score", F.coalesce(score, F.lit(50.0)))
         .withColumn("vote_count", cast)
-        .drop("channel_high", "channel_low", "_fast", "_slow", "_mom")
+        .drop("channel_high", "channel_low", "_fast", "_slow", "_mom", "_mean_20", "_mean_50")
     )
 
 

@@ -16,7 +16,7 @@ def horizon_days(horizon: Column) -> Column:
     """'5D' -> 5, INTRADAY -> 1, anything else -> 5; at least 1."""
     text = F.upper(F.coalesce(horizon, F.lit("")))
     days = F.regexp_extract(text, r"^\s*([+-]?\d+)D$", 1).try_cast("int")
-    return F.when(text == "INTRADAY", 1).otherwise(F.coalesce(F.greatest(F.lit(1), days), F.lit(5)))
+    return F.when(text == "INTRADAY", 1).when(days.isNull(), 5).otherwise(F.greatest(F.lit(1), days))
 
 
 def side(direction: Column) -> Column:

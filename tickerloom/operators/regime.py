@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bearish, bullish, clamp, lines, pct_change, rnd, rnd_stable
-from .series import blocks, full, last, ordered, own_rows
+from .series import add_rolling_means, blocks, full, ordered, own_rows
 
 # fixed values: terms looked for in event texts
 GEO_TERMS = (
@@ -36,13 +36,14 @@ def breadth_by_date(index_bars: DataFrame) -> DataFrame:
 def add_benchmark_structure(df: DataFrame, key: str = "symbol") -> DataFrame:
     """Distances and moves of the benchmark (two decimals), known from 50 bars."""
     w, close = ordered(key), F.col("close")
+    df = add_rolling_means(df, "close", 20, 50, key=key)
     return df.select(
         "*",
-        full(rnd(pct_change(close, F.avg("close").over(last(20, key))), 2), 50).alias("vs_20dma_pct"),
-        full(rnd(pct_change(close, F.avg("close").over(last(50, key))), 2), 50).alias("vs_50dma_pct"),
+        full(rnd(pct_change(close, F.col("_mean_20")), 2), 50).alias("vs_20dma_pct"),
+        full(rnd(pct_change(close, F.col("_mean_50")), 2), 50).alias("vs_50dma_pct"),
         full(rnd(pct_change(close, F.lag("close", 5).over(w)), 2), 50).alias("change_5d_pct"),
         full(rnd(pct_change(close, F.lag("close", 20).over(w)), 2), 50).alias("change_20d_pct"),
-    )
+    ).drop("_mean_20", "_mean_50")
 
 
 def add_regime(df: DataFrame) -> DataFrame:

@@ -57,12 +57,10 @@ def blend(wide: DataFrame, profile_weights: DataFrame) -> DataFrame:
     """
     df = wide.join(F.broadcast(profile_weights), "profile")
     have = {n: F.col(f"c_{n}").isNotNull() for n in COMPONENTS}
-    for n in COMPONENTS:
-        df = df.withColumn(f"u_{n}", F.when(have[n], F.col(f"w_{n}")).otherwise(0.0))
-    total = add_up([F.col(f"u_{n}") for n in COMPONENTS])
+    given = {n: F.when(have[n], F.col(f"w_{n}")).otherwise(0.0) for n in COMPONENTS}
+    total = add_up(list(given.values()))
     df = df.withColumn("_total", F.when(total == 0, F.lit(1.0)).otherwise(total))
-    for n in COMPONENTS:
-        df = df.withColumn(f"u_{n}", F.col(f"u_{n}") / F.col("_total"))
+    df = df.withColumns({f"u_{n}": given[n] / F.col("_total") for n in COMPONENTS})
     score = {n: F.coalesce(F.col(f"c_{n}"), F.lit(0.0)) for n in COMPONENTS}
     count = add_up([have[n].cast("int") for n in COMPONENTS])
     mean = F.try_divide(add_up([score[n] for n in COMPONENTS]), F.col("available_count"))

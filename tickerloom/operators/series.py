@@ -107,6 +107,29 @@ def full(expr: Column, rows: int) -> Column:
     return F.when(F.col("pos") >= rows, expr)
 
 
+LONG_WINDOW = 50
+
+
+def add_rolling_means(df: DataFrame, source: str, *lengths: int, key: str = "ticker", prefix: str = "_mean_") -> DataFrame:
+    """Means of the last n rows (fewer at the start of the series).
+
+    A sliding frame is summed anew for every row, so from `LONG_WINDOW` rows on the
+    mean comes from the block's running sum and its value n rows earlier.
+    """
+    w = ordered(key)
+    if max(lengths) >= LONG_WINDOW:
+        total = F.sum(source).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumn("_running", total)
+    means = {}
+    for n in lengths:
+        if n < LONG_WINDOW:
+            means[f"{prefix}{n}"] = F.avg(source).over(w.rowsBetween(-(n - 1), 0))
+        else:
+            before = F.coalesce(F.lag("_running", n).over(w), F.lit(0.0))
+            means[f"{prefix}{n}"] = (F.col("_running") - before) / F.least(F.col("pos"), F.lit(n))
+    return df.withColumns(means).drop("_running")
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_block", "_k")
 

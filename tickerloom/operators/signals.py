@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import Z95, bearish, bullish, clamp, lines, norm_cdf, pct_change, rnd, rnd_stable
 from . import indicators as ind
+from . import series
 from .series import blocks, full, last, ordered, own_rows
 
 RADAR_LOOKBACK = 252
@@ -21,7 +22,7 @@ def _side(known: Column, test: Column, size: float) -> Column:
 
 def add_technical_score(df: DataFrame) -> DataFrame:
     """Trend and structure score of every bar, with its drivers."""
-    df = df.withColumn("sma20", ind.sma(20)).withColumn("sma50", ind.sma(50)).withColumn("sma200", ind.sma(200))
+    df = ind.add_sma(df, 20, 50, 200)
     df = ind.add_bollinger(ind.add_adx(ind.add_rsi(ind.add_macd(df))))
     price, s20, s50, s200 = (F.col(c) for c in ("close", "sma20", "sma50", "sma200"))
     up = F.col("macd_hist") > 0
@@ -70,10 +71,11 @@ def add_event_radar(df: DataFrame, news_items: Column | None = None, policy_link
     policy_links = F.lit(0) if policy_links is None else F.coalesce(policy_links, F.lit(0))
     for n in (5, 20, 60, 252):
         df = df.withColumn(f"ret_{n}d", ind.change_over(n, n + 1))
+    df = series.add_rolling_means(df, "close", 20, 50)
     df = (
         df.withColumn("drawdown", pct_change(F.col("close"), F.max("close").over(last(252))))
-        .withColumn("above_ma20", pct_change(F.col("close"), F.avg("close").over(last(20))))
-        .withColumn("above_ma50", pct_change(F.col("close"), F.avg("close").over(last(50))))
+        .withColumn("above_ma20", pct_change(F.col("close"), F.col("_mean_20")))
+        .withColumn("above_ma50", pct_change(F.col("close"), F.col("_mean_50")))
         .withColumn("volume_ratio", full(F.try_divide(F.col("volume"), F.avg("volume").over(last(20))), 21))
     )
     r5, r20, r60, r252 = (F.col(f"ret_{n}d") for n in (5, 20, 60, 252))
@@ -126,7 +128,7 @@ def add_event_radar(df: DataFrame, news_items: Column | None = None, policy_link
         .withColumn("exhaustion_score", F.when(enough, rnd(F.least(F.lit(100.0), e), 1)))
         .withColumn("bullish_clues", F.when(enough, bull))
         .withColumn("bearish_clues", F.when(enough, bear))
-        .drop("_breakout", "_exhaustion")
+        .drop("_breakout", "_exhaustion", "_mean_20", "_mean_50")
     )
 
 
@@ -135,9 +137,20 @@ def add_return_stats(df: DataFrame) -> DataFrame:
     if "log_return" not in df.columns:
         df = ind.add_returns(df)
     enough = F.col("pos") >= MIN_BARS + 1
-    return df.withColumn("_mu", F.when(enough, F.avg("log_return").over(last(252)))).withColumn(
-        "_sigma", F.when(enough, F.stddev_pop("log_return").over(last(252)))
-    )
+    w = ordered()
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    # the first bar has no return, so row k of the series holds k - 1 of them
+    held = F.least(F.col("pos") - 1, F.lit(252))
+    ret = F.coalesce(F.col("log_return"), F.lit(0.0))
+    df = df.withColumns({"_s1": F.sum(ret).over(running), "_s2": F.sum(ret * ret).over(running)})
+
+    def mean(total: str) -> Column:
+        return F.try_divide(F.col(total) - F.coalesce(F.lag(total, 252).over(w), F.lit(0.0)), held)
+
+    df = df.withColumns({"_m1": mean("_s1"), "_m2": mean("_s2")})
+    variance = F.greatest(F.lit(0.0), F.col("_m2") - F.col("_m1") * F.col("_m1"))
+    df = df.withColumns({"_mu": F.when(enough, F.col("_m1")), "_sigma": F.when(enough, F.sqrt(variance))})
+    return df.drop("_s1", "_s2", "_m1", "_m2")
 
 
 def return_band(horizon: Column, mu: str = "_mu", sigma: str = "_sigma") -> dict[str, Column]:
