@@ -47,8 +47,11 @@ def expiry_metrics(spark, sf_dir):
     return metrics(spark, sf_dir).select(*METRIC_COLUMNS)
 
 
+OPTIONS_SCORE = "GREATEST(0, LEAST(100, 50 + CASE WHEN pcr_exact < 0.7 THEN 8 WHEN pcr_exact > 1.3 THEN -8 ELSE 0 END + CASE WHEN avg_iv > 80 THEN -4 ELSE 0 END + CASE WHEN illiquid THEN -6 ELSE 0 END))"
+
+
 @add("options_component_score", with_(CHAIN, METRICS, select=f"""
-SELECT ticker, dte::BIGINT AS dte, put_call_ratio, avg_iv, illiquid, {r("GREATEST(0, LEAST(100, 50 + CASE WHEN pcr_exact < 0.7 THEN 8 WHEN pcr_exact > 1.3 THEN -8 ELSE 0 END + CASE WHEN avg_iv > 80 THEN -4 ELSE 0 END + CASE WHEN illiquid THEN -6 ELSE 0 END))")} AS options_intelligence
+SELECT ticker, dte::BIGINT AS dte, put_call_ratio, avg_iv, illiquid, {r(OPTIONS_SCORE)} AS options_intelligence
 FROM metrics QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY dte) = 1"""))
 def options_component_score(spark, sf_dir):
     """Score of each ticker's nearest expiry."""

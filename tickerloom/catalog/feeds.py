@@ -122,11 +122,15 @@ def _hits_sql(words: str, lexicon) -> str:
     return f"LENGTH(LIST_INTERSECT({words}, [{lex}]))"
 
 
-POL = f"""pol0 AS (SELECT *, {_words_sql('title', tx.NEWS_EDGE)} AS ws FROM news_o),
-pol1 AS (SELECT * EXCLUDE (ws), {_hits_sql('ws', POS)} AS p, {_hits_sql('ws', NEG)} AS n FROM pol0),
+def polarity_cte(positive, negative, edge=tx.NEWS_EDGE) -> str:
+    return f"""pol0 AS (SELECT *, {_words_sql('title', edge)} AS ws FROM news_o),
+pol1 AS (SELECT * EXCLUDE (ws), {_hits_sql('ws', positive)} AS p, {_hits_sql('ws', negative)} AS n FROM pol0),
 pol AS (SELECT *, CASE WHEN p = n THEN 0 ELSE (p - n)::DOUBLE / NULLIF(p + n, 0) END AS polarity FROM pol1)"""
 
 
+POL = polarity_cte(POS, NEG)
+
+
 @add("headline_polarity", with_(NEWS, NEWS_O, POL, select=f"SELECT news_id, {r('polarity')} AS polarity FROM pol"))
 def headline_polarity(spark, sf_dir):
     return news(spark, sf_dir).select("news_id", tx.polarity(F.col("title"), POS, NEG).alias("polarity"))
@@ -178,7 +182,7 @@ def chosen_mood(spark, sf_dir):
 
 
 # headlines are classed by the post rules here, so the edge set is the post one
-POL_POST = POL.replace("pol0", "qol0").replace("pol1", "pol1").replace(_words_sql("title", tx.NEWS_EDGE), _words_sql("title", tx.POST_EDGE))
+POL_POST = polarity_cte(POS, NEG, tx.POST_EDGE)
 
 
 @add("mood_source_fallback", with_(NEWS, NEWS_O, POL_POST, POSTS, TALLY, NEWS_MOOD, select="""

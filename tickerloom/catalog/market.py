@@ -49,8 +49,11 @@ macro_w AS (SELECT *, {r('treasury_10y - treasury_5y', 3)} AS c105 FROM macro_wi
 macro_w2 AS (SELECT *, COALESCE(yield_curve_10y_2y, c105) AS curve FROM macro_w)"""
 
 
+MACRO_SCORE = "50 + CASE WHEN curve < 0 THEN -10 WHEN curve >= 0 THEN 5 ELSE 0 END + CASE WHEN treasury_10y > 4.5 THEN -3 ELSE 0 END + CASE WHEN vix > 25 THEN -8 WHEN vix < 15 THEN 6 ELSE 0 END + CASE WHEN unemployment > 5 THEN -4 ELSE 0 END + CASE WHEN fed_funds > 5 THEN -3 ELSE 0 END"
+
+
 @add("macro_score", with_(MACRO, WIDE, select=f"""
-SELECT CAST(date AS VARCHAR) AS date, {r(clip("50 + CASE WHEN curve < 0 THEN -10 WHEN curve >= 0 THEN 5 ELSE 0 END + CASE WHEN treasury_10y > 4.5 THEN -3 ELSE 0 END + CASE WHEN vix > 25 THEN -8 WHEN vix < 15 THEN 6 ELSE 0 END + CASE WHEN unemployment > 5 THEN -4 ELSE 0 END + CASE WHEN fed_funds > 5 THEN -3 ELSE 0 END"))} AS macro_regime FROM macro_w2"""))
+SELECT CAST(date AS VARCHAR) AS date, {r(clip(MACRO_SCORE))} AS macro_regime FROM macro_w2"""))
 def macro_score(spark, sf_dir):
     wide = macro.merged(data.macro_observations(spark, sf_dir))
     return wide.select("date", regime.macro_score().alias("macro_regime"))
@@ -69,17 +72,19 @@ def _bench_rows(n: int) -> str:
     return f"(ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
+REG_SCORE = f"""GREATEST(0, LEAST(100, 50::DOUBLE + CASE WHEN v50 >= 0 THEN 12 WHEN v50 < 0 THEN -12 ELSE 0 END + CASE WHEN v20 >= 0 THEN 6 WHEN v20 < 0 THEN -6 ELSE 0 END
+  + COALESCE({clip('c5 * 1.5::DOUBLE', -10, 10)}, 0) + CASE WHEN vix >= 30 THEN -16 WHEN vix >= 22 THEN -9 WHEN vix < 14 THEN 8 ELSE 0 END
+  + CASE WHEN curve < 0 THEN -5 ELSE 0 END + CASE WHEN breadth_pct <= 35 THEN -6 WHEN breadth_pct >= 70 THEN 5 ELSE 0 END))"""
+REG_LABEL = """CASE WHEN regime_score >= 64 THEN 'risk_on' WHEN regime_score >= 56 THEN 'mildly_risk_on' WHEN regime_score > 44 THEN 'neutral'
+  WHEN regime_score > 34 THEN 'risk_off' ELSE 'strong_risk_off' END"""
 REGIME = f"""rg AS (SELECT date, close, pos,
   CASE WHEN pos >= 50 THEN {r(f'(close / AVG(close) OVER {_bench_rows(20)} - 1) * 100', 2)} END AS v20,
   CASE WHEN pos >= 50 THEN {r(f'(close / AVG(close) OVER {_bench_rows(50)} - 1) * 100', 2)} END AS v50,
   CASE WHEN pos >= 50 THEN {r('(close / LAG(close, 5) OVER (ORDER BY date) - 1) * 100', 2)} END AS c5,
   CASE WHEN pos >= 50 THEN {r('(close / LAG(close, 20) OVER (ORDER BY date) - 1) * 100', 2)} END AS c20 FROM bench),
 rg2 AS (SELECT g.*, m.vix, m.curve, m.wti_oil, m.dollar_index, b.breadth_pct FROM rg g LEFT JOIN macro_w2 m ON m.date = CAST(DATE_TRUNC('month', g.date) AS DATE) LEFT JOIN breadth b ON b.date = g.date),
-rg3 AS (SELECT *, GREATEST(0, LEAST(100, 50::DOUBLE + CASE WHEN v50 >= 0 THEN 12 WHEN v50 < 0 THEN -12 ELSE 0 END + CASE WHEN v20 >= 0 THEN 6 WHEN v20 < 0 THEN -6 ELSE 0 END
-  + COALESCE({clip('c5 * 1.5::DOUBLE', -10, 10)}, 0) + CASE WHEN vix >= 30 THEN -16 WHEN vix >= 22 THEN -9 WHEN vix < 14 THEN 8 ELSE 0 END
-  + CASE WHEN curve < 0 THEN -5 ELSE 0 END + CASE WHEN breadth_pct <= 35 THEN -6 WHEN breadth_pct >= 70 THEN 5 ELSE 0 END)) AS regime_score FROM rg2),
-rg4 AS (SELECT *, CASE WHEN regime_score >= 64 THEN 'risk_on' WHEN regime_score >= 56 THEN 'mildly_risk_on' WHEN regime_score > 44 THEN 'neutral'
-  WHEN regime_score > 34 THEN 'risk_off' ELSE 'strong_risk_off' END AS regime FROM rg3)"""
+rg3 AS (SELECT *, {REG_SCORE} AS regime_score FROM rg2),
+rg4 AS (SELECT *, {REG_LABEL} AS regime FROM rg3)"""
 
 
 def regime_history(spark, sf_dir):
@@ -312,15 +317,18 @@ def event_term_hits(spark, sf_dir):
     )
 
 
+BROAD_BASE = """(CASE WHEN regime_score = 0 THEN 50 ELSE regime_score END) + CASE WHEN vix >= 25 THEN -9 WHEN vix <= 15 THEN 4 ELSE 0 END + CASE WHEN wti_oil >= 90 THEN -5 WHEN wti_oil <= 65 THEN 2 ELSE 0 END
+   + CASE WHEN dollar_index >= 108 THEN -4 WHEN dollar_index <= 102 THEN 2 ELSE 0 END - LEAST(12, 3 * geo_hits) - LEAST(6, 2 * oil_hits)"""
+BROAD_SCORE = """GREATEST(0, LEAST(100, base + CASE WHEN avg_abs_corr >= 0.65 AND base < 50 THEN -4 ELSE 0 END + CASE lvl WHEN 'high' THEN -7 WHEN 'extreme' THEN -11 WHEN 'medium' THEN -3 ELSE 0 END))"""
+BROAD_DIRECTION = "CASE WHEN s >= 64 THEN 'risk_on' WHEN s <= 36 THEN 'risk_off' WHEN s <= 44 THEN 'cautious_risk_off' WHEN s >= 56 THEN 'constructive' ELSE 'neutral' END"
 BROAD = f"""bm AS (SELECT g.*, h.geo_hits, h.oil_hits, (g.pos % 101)::DOUBLE / 100 AS avg_abs_corr, CASE g.pos % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'extreme' ELSE 'low' END AS lvl
    FROM rg4 g JOIN hits h ON h.kind = CASE g.pos % 2 WHEN 0 THEN 'policy' ELSE 'fiscal' END),
-bm2 AS (SELECT *, (CASE WHEN regime_score = 0 THEN 50 ELSE regime_score END) + CASE WHEN vix >= 25 THEN -9 WHEN vix <= 15 THEN 4 ELSE 0 END + CASE WHEN wti_oil >= 90 THEN -5 WHEN wti_oil <= 65 THEN 2 ELSE 0 END
-   + CASE WHEN dollar_index >= 108 THEN -4 WHEN dollar_index <= 102 THEN 2 ELSE 0 END - LEAST(12, 3 * geo_hits) - LEAST(6, 2 * oil_hits) AS base FROM bm),
-bm3 AS (SELECT *, GREATEST(0, LEAST(100, base + CASE WHEN avg_abs_corr >= 0.65 AND base < 50 THEN -4 ELSE 0 END + CASE lvl WHEN 'high' THEN -7 WHEN 'extreme' THEN -11 WHEN 'medium' THEN -3 ELSE 0 END)) AS s FROM bm2)"""
+bm2 AS (SELECT *, {BROAD_BASE} AS base FROM bm),
+bm3 AS (SELECT *, {BROAD_SCORE} AS s FROM bm2)"""
 
 
 @add("broad_market", with_(BENCH, INDEX_BARS, MACRO, WIDE, BREADTH, REGIME, GOV_EVENTS, HITS, BROAD, select=f"""
-SELECT CAST(date AS VARCHAR) AS date, {rs('s', 1)} AS broad_score, CASE WHEN s >= 64 THEN 'risk_on' WHEN s <= 36 THEN 'risk_off' WHEN s <= 44 THEN 'cautious_risk_off' WHEN s >= 56 THEN 'constructive' ELSE 'neutral' END AS broad_direction,
+SELECT CAST(date AS VARCHAR) AS date, {rs('s', 1)} AS broad_score, {BROAD_DIRECTION} AS broad_direction,
   CASE WHEN s >= 64 THEN 'bullish_index_bias' WHEN s <= 36 THEN 'bearish_index_bias' WHEN s <= 44 THEN 'prefer_defined_risk_or_put_research' WHEN s >= 56 THEN 'selective_call_research' ELSE 'wait_for_cleaner_index_move' END AS broad_action
 FROM bm3"""))
 def broad_market(spark, sf_dir):

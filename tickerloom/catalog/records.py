@@ -171,7 +171,7 @@ def compact_prediction_log(spark, sf_dir):
 
 @add("feature_rows", with_(CHAIN, METRICS, EX, select=f"""
 SELECT ticker, 'run1' AS run_id, {r('MAX(m.total_oi)')} AS current_price, {r('MAX(m.total_oi) / 10.0')} AS forecast_prob_up, {r('MAX(m.total_oi)')} AS raw_confidence_score, 1::BIGINT AS missing_data_count, 12::BIGINT AS source_link_count, MIN(m.dte)::BIGINT AS top_option_dte,
-  {r('MIN_BY(CASE WHEN m.dte <> 14 THEN m.avg_iv END, m.dte)')} AS top_option_avg_iv, 'BUY CALL' AS top_option_action, CAST(NULL AS DOUBLE) AS calibration_adjustment FROM metrics m GROUP BY ticker"""))
+  {r('ARG_MIN_NULL(CASE WHEN m.dte <> 14 THEN m.avg_iv END, m.dte)')} AS top_option_avg_iv, 'BUY CALL' AS top_option_action, CAST(NULL AS DOUBLE) AS calibration_adjustment FROM metrics m GROUP BY ticker"""))
 def feature_rows(spark, sf_dir):
     df = logs.feature_rows(stored_predictions(spark, sf_dir))
     return df.select(

@@ -7,19 +7,60 @@ from pyspark.sql import functions as F
 from .. import datasets as data
 from ..operators import calendar as cal
 from ..operators import options as opt
+from ..operators import regime
 from ..operators import text as txt
 from ..plans import scan as plan
 from ..session import cut_lineage
 from ..sources import config, filings, macro
 from . import chains, feeds, market
 from .base import Catalogue
-from .scoring import CONF, COVER, GATE, NAMES, RISK, WEIGHTS, _plus, _u
-from .tables_sql import ASSETS, BARS, BENCH, CHAIN, GOV_EVENTS, INDEX_BARS, MACRO, NEWS, clip, r, rs, with_
+from .scoring import BLEND_MATH, CONF, COVER, GATE_STEPS, RISK, WEIGHTS
+from .tables_sql import ASSETS, BENCH, CHAIN, GOV_EVENTS, INDEX_BARS, MACRO, NEWS, clip, r, rs, with_
 from .timeseries import GC, GCP, JOINT, LOGRET, PATTERNS, PV, SIGNED, STATS, TECH_PARTS, VOTES, band
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
-BRAND_OF = "'Brand#' || CAST(1 + cik % 25 AS VARCHAR)"
+
+_terms = f"{market._hit_sql(regime.GEO_TERMS)} AS geo_hits, {market._hit_sql(regime.OIL_TERMS)} AS oil_hits, {market._hit_sql(regime.POLICY_TERMS)} AS policy_hits"
+_forecast = rs("COALESCE(" + clip(f"0.5::DOUBLE * vote_score + 0.5::DOUBLE * (50 + ({band(5)['prob_up']} - 0.5::DOUBLE) * 60)") + ", vote_score)", 1)
+_regime_rows = market.REGIME[: market.REGIME.index("rg2 AS (SELECT g.*")].rstrip().rstrip(",")
+MARKET_SQL = f"""scm AS (SELECT {', '.join(f"MAX(CASE WHEN series = '{s}' THEN value END) AS {s}" for s in market.SNAP_SERIES)} FROM macro_latest),
+sch AS (SELECT {_terms} FROM (SELECT LOWER(CONCAT_WS(' ', title, source, kind)) AS t FROM gov_events)),
+scb AS (SELECT {r('100.0 * AVG(up)', 0)} AS breadth_pct FROM (SELECT CASE WHEN MAX_BY(close, date) >= MIN_BY(close, date) THEN 1.0 ELSE 0.0 END AS up FROM index_bars WHERE pos >= n - 5 AND n >= 6 GROUP BY index_name)),
+mk0 AS (SELECT g.v20, g.v50, g.c5, g.date AS as_of, m.*, m.yield_curve_10y_2y AS curve, b.breadth_pct, h.* FROM rg g, scm m, scb b, sch h WHERE g.pos = (SELECT MAX(pos) FROM bench)),
+mk1 AS (SELECT *, {market.REG_SCORE} AS regime_score, v50 IS NOT NULL OR vix IS NOT NULL AS regime_available, {clip(market.MACRO_SCORE)} AS c_macro_regime FROM mk0),
+mk AS (SELECT *, {market.REG_LABEL} AS regime FROM mk1)"""
+ENGINES = f"""sopt AS (SELECT ticker, {chains.OPTIONS_SCORE} AS c_options_intelligence, avg_iv, total_oi FROM metrics QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY dte) = 1),
+s15 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, priority, news_id) AS rn FROM pol) WHERE rn <= 15),
+smood AS (SELECT ticker, {clip('50 + AVG(polarity) * 35')} AS c_sentiment, COUNT(*) AS news_items FROM s15 GROUP BY 1),
+sfund AS (SELECT 'Brand#' || CAST(1 + cik % 25 AS VARCHAR) AS ticker, CASE WHEN COALESCE(revenue, net_income, assets, liabilities, stockholders_equity, cash) IS NOT NULL THEN {market.FUND} END AS c_fundamentals
+  FROM (SELECT *, net_income / NULLIF(revenue, 0) * 100 AS m, liabilities / NULLIF(stockholders_equity, 0) AS de FROM facts WHERE cik < 25)),
+slink AS (SELECT SPLIT_PART(ticker, '.', 1) AS ticker, COUNT(*) AS policy_links FROM impacts GROUP BY 1),
+sworld AS (SELECT ticker, AVG(ABS(corr)) AS avg_abs_corr FROM gc GROUP BY 1),
+srs AS (SELECT ticker, CASE WHEN rs IS NOT NULL THEN {clip('50 + ' + clip('rs * 1.2::DOUBLE', -20, 20))} END AS c_cross_market_correlation FROM rstr WHERE pos = n),
+sload AS (SELECT m.as_of, COUNT(c.kind) AS ev, COALESCE(SUM(CASE WHEN c.impact = 'high' THEN 1 ELSE 0 END), 0) AS hi, COALESCE(SUM({market.PTS.replace('p.as_of', 'm.as_of')}), 0) AS pts FROM mk m LEFT JOIN cal c ON c.date BETWEEN m.as_of AND m.as_of + 5 GROUP BY 1),
+searn AS (SELECT ticker, date_diff('day', DATE '2001-11-30', d) AS dte FROM earn),
+sc0 AS (SELECT t.ticker, t.close AS current_price, t.volume AS last_volume, t.atr, CAST(SUBSTRING(t.ticker, 7) AS BIGINT) % 5 = 0 AS is_index, GREATEST(0, LEAST(100, t.technical_score + p.bias * 6)) AS c_technical_structure, v.pv_score AS c_price_volume_momentum,
+   {_forecast} AS c_ensemble_forecast, {r(band(5)['expected_return_pct'], 2)} AS ret, {r(band(5)['p05_return_pct'], 2)} AS p05
+   FROM tech t JOIN pt3 p ON p.ticker = t.ticker AND p.pos = t.pos JOIN pvs v ON v.ticker = t.ticker AND v.pos = t.pos JOIN st s ON s.ticker = t.ticker AND s.pos = t.pos WHERE t.pos = t.n AND t.n >= 30),
+sc1 AS (SELECT c.*, x.c_cross_market_correlation, o.c_options_intelligence, o.avg_iv, o.total_oi, m.c_sentiment, COALESCE(m.news_items, 0) AS news_items, f.c_fundamentals, COALESCE(l.policy_links, 0) AS policy_links, w.avg_abs_corr, k.* EXCLUDE (as_of), k.as_of AS mk_date,
+   d.ev, d.hi, d.pts, e.dte, COALESCE(e.dte BETWEEN 0 AND 5, FALSE) AS own FROM sc0 c LEFT JOIN srs x ON x.ticker = c.ticker LEFT JOIN sopt o ON o.ticker = c.ticker LEFT JOIN smood m ON m.ticker = c.ticker LEFT JOIN sfund f ON f.ticker = c.ticker
+   LEFT JOIN slink l ON l.ticker = c.ticker LEFT JOIN sworld w ON w.ticker = c.ticker LEFT JOIN searn e ON e.ticker = c.ticker, mk k, sload d),
+sc2 AS (SELECT *, ev + own::INT AS event_count, hi + own::INT AS high_impact_count, LEAST(100, {rs(f'(pts + ({market.OWN})) * 0.75::DOUBLE + GREATEST(0, hi + own::INT - 1) * 8', 1)}) AS evs FROM sc1),
+sc3 AS (SELECT *, CASE WHEN evs >= 75 THEN 'extreme' WHEN evs >= 55 THEN 'high' WHEN evs >= 30 THEN 'medium' WHEN evs > 0 THEN 'low' ELSE 'quiet' END AS lvl, {market.BROAD_BASE} AS base FROM sc2),
+sc4 AS (SELECT *, lvl AS event_level, {market.BROAD_SCORE} AS s FROM sc3),
+b0 AS (SELECT *, {market.BROAD_DIRECTION} AS broad, 'swing' AS profile, 8 AS given FROM sc4)"""
+CONTEXT = "x0 AS (SELECT *, TRUE AS has_market_data, FALSE AS setup, TRUE AS has_government, avg_abs_corr IS NOT NULL AS has_global, news_items > 0 AS has_catalyst FROM b4)"
+LEVELS = f"""g0 AS (SELECT *, {r('current_price * (1 + (CASE WHEN dn AND ret > 0 THEN -ret ELSE ret END) / 100)', 4)} AS target,
+  CASE WHEN ret IS NOT NULL THEN {r('current_price + (CASE WHEN dn THEN 1 ELSE -1 END) * (CASE WHEN atr > 0 THEN LEAST(GREATEST(1.5 * atr, current_price * 0.025::DOUBLE), current_price * 0.10::DOUBLE) ELSE current_price * LEAST(GREATEST(COALESCE(ABS(p05) / 100 * 0.75::DOUBLE, 0.045), 0.035), 0.095) END)', 4)} END AS stop FROM x14)"""
+SCAN_SQL = (
+    *TECH_PARTS, PATTERNS, SIGNED, PV, LOGRET, VOTES, STATS, BENCH, JOINT, INDEX_BARS, GC, GCP, CHAIN, chains.METRICS, NEWS, feeds.NEWS_O,
+    feeds.polarity_cte(feeds.tx.NEWS_POSITIVE, feeds.tx.NEWS_NEGATIVE), GOV_EVENTS, ASSETS, feeds.IMPACT, MACRO, market.LATEST, market.FACTS, market.CURATED, market.RULES,
+    market.EARN.replace("1998-06-15", "2001-11-30"), _regime_rows, MARKET_SQL, ENGINES, WEIGHTS, BLEND_MATH, CONTEXT, RISK, CONF, COVER, LEVELS, GATE_STEPS,
+)
+SCAN_SELECT = f"""ticker, direction, {r('opp')} AS opportunity_score, {r('conf')} AS confidence, {r('risk_score')} AS risk_score, risk_level,
+  CASE WHEN block_trade THEN 'P3' WHEN (opp >= 70 OR opp <= 30) AND conf >= 65 AND risk_level IN ('low', 'medium') THEN 'P1' WHEN opp >= 60 OR opp <= 40 THEN 'P2' ELSE 'P3' END AS severity, data_quality, regime, broad AS broad_direction, event_level,
+  coverage_pct, confidence_ceiling, {r('target')} AS target_price, {r('stop')} AS stop_price, {r('rr')} AS reward_risk_ratio, final_label, validation_status, research_action, rejected_reason FROM gated"""
 
 
 def tables(spark, sf_dir) -> plan.ScanTables:
@@ -64,13 +105,13 @@ SCAN_COLUMNS = [
 ]
 
 
-@add("full_scan")
+@add("full_scan", with_(*SCAN_SQL, select=f"SELECT {SCAN_SELECT}"))
 def full_scan(spark, sf_dir):
     """Every ticker's gated prediction for the swing profile."""
     return predictions(spark, sf_dir).select(*SCAN_COLUMNS)
 
 
-@add("full_scan_leaders")
+@add("full_scan_leaders", with_(*SCAN_SQL, select=f"SELECT {SCAN_SELECT} ORDER BY opp DESC, ticker LIMIT 10"))
 def full_scan_leaders(spark, sf_dir):
     """The ten best names of the scan."""
     return plan.ranked(predictions(spark, sf_dir), 10).select(*SCAN_COLUMNS)

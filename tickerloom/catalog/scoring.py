@@ -21,13 +21,13 @@ WEIGHTS = f"""w0 AS (SELECT profile, CASE component WHEN 'news_events' THEN 'sen
 weights AS (SELECT profile, {', '.join(f"SUM(CASE WHEN component = '{n}' THEN weight ELSE 0 END) AS w_{n}" for n in (*NAMES, sc.PENALTY))} FROM w0 GROUP BY profile)"""
 _u = [f"CASE WHEN c_{n} IS NOT NULL THEN w_{n} ELSE 0 END" for n in NAMES]
 _plus = " + ".join
-BLEND = f"""wide AS (SELECT ticker, {', '.join(f"MAX(CASE WHEN name = '{n}' AND available THEN score END) AS c_{n}" for n in NAMES)}, COUNT(DISTINCT name) AS given FROM components GROUP BY ticker),
-b0 AS (SELECT w.*, c.c_custkey AS k, {SEGMENT} AS profile FROM wide w JOIN customer c ON c.c_custkey = w.ticker),
-b1 AS (SELECT b.*, g.* EXCLUDE (profile), {_plus(_u)} AS tot0, ({_plus(f"(c_{n} IS NOT NULL)::INT" for n in NAMES)}) AS avail FROM b0 b JOIN weights g ON g.profile = b.profile),
+BLEND_SOURCE = f"""wide AS (SELECT ticker, {', '.join(f"MAX(CASE WHEN name = '{n}' AND available THEN score END) AS c_{n}" for n in NAMES)}, COUNT(DISTINCT name) AS given FROM components GROUP BY ticker),
+b0 AS (SELECT w.*, c.c_custkey AS k, {SEGMENT} AS profile FROM wide w JOIN customer c ON c.c_custkey = w.ticker)"""
+BLEND_MATH = f"""b1 AS (SELECT b.*, g.* EXCLUDE (profile), {_plus(_u)} AS tot0, ({_plus(f"(c_{n} IS NOT NULL)::INT" for n in NAMES)}) AS avail FROM b0 b JOIN weights g ON g.profile = b.profile),
 b2 AS (SELECT *, CASE WHEN tot0 = 0 THEN 1 ELSE tot0 END AS tot, ({_plus(f"COALESCE(c_{n}, 0)" for n in NAMES)}) / NULLIF(avail, 0) AS mean FROM b1),
 b3 AS (SELECT *, {', '.join(f"({u}) / tot AS u_{n}" for u, n in zip(_u, NAMES))}, SQRT(({_plus(f"CASE WHEN c_{n} IS NOT NULL THEN POW(c_{n} - mean, 2) ELSE 0 END" for n in NAMES)}) / NULLIF(avail, 0)) AS disp, avail / GREATEST(1, given)::DOUBLE AS coverage FROM b2),
 b4 AS (SELECT *, {rs(_plus(f"COALESCE(c_{n}, 0) * u_{n}" for n in NAMES), 1)} AS opportunity_raw, CASE WHEN avail = 0 THEN 20 ELSE {rs('100 * (0.55::DOUBLE * coverage + 0.45::DOUBLE * GREATEST(0, 1 - disp / 35))', 1)} END AS data_quality FROM b3)"""
-PARTS = (COMPONENTS, WEIGHTS, BLEND)
+PARTS = (COMPONENTS, WEIGHTS, BLEND_SOURCE, BLEND_MATH)
 
 
 def context(spark, sf_dir):
@@ -118,8 +118,8 @@ COVER = f"""x11 AS (SELECT *, ({_plus(f"({c})::INT" for c in _cov.values())}) AS
 x12 AS (SELECT *, {r('100.0 * covered_count / 23', 0)} AS coverage_pct FROM x11),
 x13 AS (SELECT *, {rs('50 + 0.45::DOUBLE * coverage_pct', 0)} AS confidence_ceiling FROM x12),
 x14 AS (SELECT *, CASE WHEN direction NOT IN ('avoid', 'neutral') AND cf4 > confidence_ceiling THEN {r('confidence_ceiling', 1)} ELSE cf4 END AS conf FROM x13)"""
-GATE = f"""g0 AS (SELECT *, CASE WHEN k % 13 <> 0 THEN current_price * (1 + CASE WHEN up THEN 1 WHEN dn THEN -1 ELSE 1 END * (k % 16) / 100.0) END AS target, CASE WHEN k % 6 <> 0 THEN current_price * (1 - CASE WHEN dn THEN -1 ELSE 1 END * (1 + k % 6) / 100.0) END AS stop FROM x14),
-g1 AS (SELECT *, block_trade OR direction = 'avoid' AS blocked, target IS NULL AS unknown, CASE WHEN up THEN target - current_price WHEN dn THEN current_price - target ELSE ABS(target - current_price) END AS mv, (CASE WHEN current_price < 100 THEN 5 ELSE 10 END)::DOUBLE AS fl FROM g0),
+GATE_SOURCE = """g0 AS (SELECT *, CASE WHEN k % 13 <> 0 THEN current_price * (1 + CASE WHEN up THEN 1 WHEN dn THEN -1 ELSE 1 END * (k % 16) / 100.0) END AS target, CASE WHEN k % 6 <> 0 THEN current_price * (1 - CASE WHEN dn THEN -1 ELSE 1 END * (1 + k % 6) / 100.0) END AS stop FROM x14)"""
+GATE_STEPS = """g1 AS (SELECT *, block_trade OR direction = 'avoid' AS blocked, target IS NULL AS unknown, CASE WHEN up THEN target - current_price WHEN dn THEN current_price - target ELSE ABS(target - current_price) END AS mv, (CASE WHEN current_price < 100 THEN 5 ELSE 10 END)::DOUBLE AS fl FROM g0),
 g2 AS (SELECT *, CASE WHEN NOT blocked AND NOT unknown THEN mv END AS ep, CASE WHEN NOT blocked AND NOT unknown THEN GREATEST(fl, current_price * 0.05::DOUBLE) END AS req, CASE WHEN NOT blocked AND NOT unknown THEN ABS(current_price - stop) END AS rp FROM g1),
 g3 AS (SELECT *, ep / current_price * 100 AS epct, CASE WHEN rp > 0 THEN ep / rp END AS rr FROM g2),
 g4 AS (SELECT *, COALESCE(ep >= req AND epct >= 5, FALSE) AS move_ok, COALESCE(rr >= 2, FALSE) AS rr_ok FROM g3),
@@ -129,6 +129,7 @@ gated AS (SELECT *, ['rejected_high_risk', 'no_trade', 'no_trade', 'rejected_ins
   ['REJECTED', 'NO_TRADE', 'NO_TRADE', 'REJECTED', 'REJECTED', 'REJECTED', 'WATCHLIST', 'VALID_RESEARCH_CANDIDATE'][rung] AS validation_status,
   ['wait_or_avoid', 'wait_or_avoid', 'wait_or_avoid', 'watch_only', 'watch_only', 'wait_or_avoid', 'watch_only', CASE WHEN up THEN 'research_long_setup' ELSE 'research_short_or_put_setup' END][rung] AS research_action,
   ['blocked_by_risk', 'no_price_or_target', 'no_directional_edge', 'move_too_small', 'reward_risk_too_low', 'risk_score_too_high', 'conviction_light', NULL][rung] AS rejected_reason FROM g5)"""
+GATE = GATE_SOURCE + ",\n" + GATE_STEPS
 
 
 @add("weighted_opportunity", with_(*PARTS, select=f"""
