@@ -129,9 +129,11 @@ def add_event_risk(calls: DataFrame, load: DataFrame) -> DataFrame:
     """Scheduled-event risk of each call.
 
     Joins the per-day market load on (as_of, horizon_days) and adds the call's own
-    earnings date when `days_to_earnings` lies inside the horizon.
+    earnings date when `days_to_earnings` lies inside the horizon.  The load has one
+    row per calendar day and horizon (about 370 a year and horizon), so it is
+    broadcast and the calls are not shuffled.
     """
-    df = calls.join(load, ["as_of", "horizon_days"], "left")
+    df = calls.join(F.broadcast(load), ["as_of", "horizon_days"], "left")
     own = F.coalesce(F.col("days_to_earnings").between(0, F.col("horizon_days")), F.lit(False))
     own_points = F.when(own, event_points(F.lit("high"), F.col("days_to_earnings"), F.lit("ticker"))).otherwise(0)
     zero = F.lit(0)

@@ -34,12 +34,13 @@ def add_up(columns: list[Column]) -> Column:
 def widen(components: DataFrame, by: list[str]) -> DataFrame:
     """One row per key: `c_<name>` is the score, NULL when unavailable or absent.
 
-    `given` counts the components that were reported at all.
+    `given` counts the components that were reported at all; the set behind it holds
+    component names only, so it is short and needs no second shuffle.
     """
     known = [
         F.max(F.when((F.col("name") == n) & F.col("available"), F.col("score"))).alias(f"c_{n}") for n in COMPONENTS
     ]
-    return components.groupBy(*by).agg(*known, F.count_distinct("name").alias("given"))
+    return components.groupBy(*by).agg(*known, F.size(F.collect_set("name")).alias("given"))
 
 
 def widen_weights(weights: DataFrame) -> DataFrame:
