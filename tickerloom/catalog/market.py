@@ -34,11 +34,15 @@ def _pivot_sql(where: str) -> str:
 @add("macro_snapshot", with_(MACRO, LATEST, select=f"""
 SELECT CAST(DATE_TRUNC('year', date) AS DATE)::VARCHAR AS year, CASE WHEN MAX(CASE WHEN source = 'official' THEN 1 ELSE 0 END) = 1 THEN 'official' ELSE 'keyless' END AS macro_source,
   {', '.join(f"{r(f'''CASE WHEN MAX(CASE WHEN source = 'official' THEN 1 ELSE 0 END) = 1 THEN MAX(CASE WHEN source = 'official' AND series = '{s}' THEN v END) ELSE MAX(CASE WHEN source <> 'official' AND series = '{s}' THEN v END) END''')} AS {s}" for s in SNAP_SERIES)}
-FROM (SELECT *, TRY_CAST(value AS DOUBLE) AS v FROM macro_obs) WHERE v IS NOT NULL GROUP BY 1"""))
+FROM (SELECT *, TRY_CAST(value AS DOUBLE) AS v FROM macro_obs) WHERE v IS NOT NULL AND NOT (source = 'official' AND YEAR(date) % 2 = 0) GROUP BY 1"""))
 def macro_snapshot(spark, sf_dir):
-    """Wide snapshot per year: official readings first, keyless ones otherwise."""
+    """Wide snapshot per year: official readings first, keyless ones otherwise.
+
+    Official readings of even years are left out, so both ways occur.
+    """
     obs = data.macro_observations(spark, sf_dir)
     known = obs.withColumn("value", macro.reading(F.col("value"))).where(F.col("value").isNotNull())
+    known = known.where((F.col("source") != "official") | (F.year("date") % 2 != 0))
     yearly = known.withColumn("year", F.to_date(F.date_trunc("year", "date")))
     return macro.snapshot(yearly, ["year"]).select("year", "macro_source", *SNAP_SERIES)
 

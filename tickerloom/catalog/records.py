@@ -266,6 +266,59 @@ def policy_feed_summary(spark, sf_dir):
     return policy_union(spark, sf_dir).groupBy("provider", "kind").agg(F.count(F.lit(1)).alias("events"), F.max("published_at").alias("latest_published"))
 
 
+@add("policy_feed_providers", with_(POLICY, select="SELECT provider FROM pf UNION SELECT series FROM (SELECT event_type AS series FROM events)"))
+def policy_feed_providers(spark, sf_dir):
+    values = data.table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"))
+    return policy.snapshot_providers(policy_union(spark, sf_dir), values)
+
+
+@add("policy_feed_values", f"""
+SELECT COUNT(*) AS value_count, STRING_AGG(event_type || '=' || printf('%.2f', v), '; ' ORDER BY event_type) AS readings FROM (SELECT event_type, MAX_BY(value, ts) AS v FROM events GROUP BY 1)""")
+def policy_feed_values(spark, sf_dir):
+    """Newest value of each feed as one map."""
+    feed = data.table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("ts").alias("date"), "value")
+    df = policy.feed_values(feed)
+    text = F.transform(F.map_entries("values"), lambda e: F.format_string("%s=%.2f", e["key"], e["value"]))
+    return df.select("value_count", text.alias("readings"))
+
+
+@add("snapshot_append_log", f"""
+SELECT run_id, CAST(as_of AS VARCHAR) AS as_of_date, COUNT(*) AS rows, {r('SUM(ROUND(20 + value / 10, 4))', 3)} AS iv_sum FROM (SELECT *, 'r' || CAST(event_id % 3 AS VARCHAR) AS run_id, DATE '2024-02-01' + (event_id % 3)::INT AS as_of FROM events) GROUP BY 1, 2""")
+def snapshot_append_log(spark, sf_dir):
+    """Three runs appended to one day-partitioned log, then read back."""
+    from ..functions.numeric import rnd
+    from ..session import run_folder
+
+    base = run_folder(spark, "log")
+    iv = data.iv_snapshots(spark, sf_dir).select("ticker", "seq", "expiration", "avg_iv")
+    for run in range(3):
+        logs.append_snapshots({"iv_snapshots": iv.where(F.col("seq") % 3 == run)}, base, f"r{run}", f"2024-02-0{run + 1} 00:00:00")
+    back = spark.read.parquet(f"{base}/iv_snapshots")
+    return back.groupBy("run_id", F.col("as_of_date").cast("string").alias("as_of_date")).agg(
+        F.count(F.lit(1)).alias("rows"), rnd(F.sum("avg_iv"), 3).alias("iv_sum")
+    )
+
+
+@add("signal_sinks", """
+SELECT 'csv' AS sink, COUNT(*) AS rows, COUNT(DISTINCT c_mktsegment) AS labels FROM customer UNION ALL SELECT 'json', COUNT(*), COUNT(DISTINCT c_mktsegment) FROM customer""")
+def signal_sinks(spark, sf_dir):
+    """Signals written as CSV and JSON and read back."""
+    from ..session import run_folder
+
+    base = run_folder(spark, "sinks")
+    rows = data.table(spark, sf_dir, "customer").select(F.col("c_name").alias("ticker"), F.col("c_mktsegment").alias("direction"), F.col("c_acctbal").alias("confidence"))
+    logs.write_summary_csv(rows, f"{base}/csv")
+    logs.write_signals_json(rows, f"{base}/json")
+    back = {
+        "csv": spark.read.option("header", True).schema("ticker string, direction string, confidence double").csv(f"{base}/csv"),
+        "json": spark.read.schema("ticker string, direction string, confidence double").json(f"{base}/json"),
+    }
+    one, two = [
+        df.agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("rows"), F.count_distinct("direction").alias("labels")) for name, df in back.items()
+    ]
+    return one.unionAll(two)
+
+
 @add("event_kinds", with_(NEWS, select="""
 SELECT CASE WHEN CONTAINS(LOWER(title), 'trump') OR CONTAINS(LOWER(title), 'tariff') OR CONTAINS(LOWER(title), 'executive order') OR CONTAINS(LOWER(title), 'presidential action') OR CONTAINS(LOWER(title), 'memorandum') THEN 'trump_admin' ELSE 'policy' END AS kind, COUNT(*) AS events FROM news GROUP BY 1"""))
 def event_kinds(spark, sf_dir):

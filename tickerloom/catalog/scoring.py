@@ -197,8 +197,15 @@ def candidate_gate(spark, sf_dir):
     )
 
 
-PRESSED = "direction = 'neutral' AND (opp <= 48 OR prob_up <= 0.45 OR radar = 'bearish_exhaustion_watch')"
-VOTES = """((up AND c_technical_structure >= 55) OR (dn AND c_technical_structure <= 45))::INT"""
+@add("research_verdict", with_(*PARTS, CTX, RISK, CONF, COVER, GATE, select="""
+SELECT ticker, CASE validation_status WHEN 'VALID_RESEARCH_CANDIDATE' THEN CASE WHEN CONTAINS(final_label, 'bull') THEN 'BULLISH' ELSE 'BEARISH' END || ' / ' || CASE WHEN CONTAINS(final_label, 'strong') THEN 'strong' ELSE 'moderate' END
+  WHEN 'WATCHLIST' THEN 'WATCHLIST' WHEN 'REJECTED' THEN 'REJECTED' ELSE 'NO TRADE' END AS verdict FROM gated"""))
+def research_verdict(spark, sf_dir):
+    """The gate's verdict on every name."""
+    from ..operators.option_reports import bull_bear_verdict
+
+    verdict = bull_bear_verdict(F.col("validation_status"), F.col("final_label"))
+    return gated(spark, sf_dir).select("ticker", verdict.alias("verdict"))
 
 
 @add("verdict_reasons", with_(*PARTS, CTX, RISK, CONF, COVER, GATE, """vr AS (SELECT *, LIST_FILTER([

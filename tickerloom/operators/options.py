@@ -51,6 +51,16 @@ def select_expiries(expiries: DataFrame, n: int = 5, min_days: int = MIN_DTE, ma
     return kept.withColumn("rank", F.dense_rank().over(by_dte)).where(F.col("rank") <= n).drop("_any")
 
 
+def chain_with_fallback(chain: DataFrame, priority: dict[str, int]) -> DataFrame:
+    """Contracts of each ticker's first source that has any, by a choice on counts."""
+    place = F.lit(None).cast("int")
+    for name, p in priority.items():
+        place = F.when(F.col("source") == name, p).otherwise(place)
+    found = chain.groupBy("ticker", "source").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_place", place)
+    chosen = found.where(F.col("_place").isNotNull()).groupBy("ticker").agg(F.min_by("source", "_place").alias("source"))
+    return chain.join(chosen, ["ticker", "source"], "left_semi")
+
+
 def option_mark(bid: Column, ask: Column, last: Column) -> Column:
     """Middle of the quote when both sides exist, else the last trade."""
     both = (bid > 0) & (ask > 0)
