@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import datasets as data
@@ -129,8 +131,15 @@ sig2 AS (SELECT t.*, g.* EXCLUDE (ticker), CASE WHEN z.cnt >= 20 AND t.avg_iv IS
 _steps = chains.SIGNAL[chains.SIGNAL.index("s3 AS (SELECT") :].replace("CASE WHEN c.contract_id % 3 <> 0 THEN c.oi - 40 * (c.contract_id % 5 - 2) END AS prev", "c.oi - 40 AS prev")
 
 
-@add("scan_expiry_ideas", with_(*SCAN_SQL, IV_SNAPSHOTS, HISTORY, chains.TERM, SIGNAL_SQL, _steps, chains.IDEAS, select=f"""
-SELECT * FROM (SELECT ticker, dte::BIGINT AS dte, action, {r('gconf')} AS confidence, {r('option_quality')} AS option_quality, risk_gate, {chains.READY} AS readiness, iv_rank, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY gconf DESC, dte) AS rank FROM ideas) WHERE rank <= 3"""))
+def _materialised(sql: str) -> str:
+    """Keep DuckDB from expanding these steps into one another."""
+    for name in ("x4", "x10", "x14", "gated", "sig2", "s6", "s7b", "s8", "s12", "s13", "ideas", "metrics", "term", "sc1", "b4"):
+        sql = re.sub(rf"(^|\n){name} AS \(", rf"\1{name} AS MATERIALIZED (", sql)
+    return sql
+
+
+@add("scan_expiry_ideas", _materialised(with_(*SCAN_SQL, IV_SNAPSHOTS, HISTORY, chains.TERM, SIGNAL_SQL, _steps, chains.IDEAS, select=f"""
+SELECT * FROM (SELECT ticker, dte::BIGINT AS dte, action, {r('gconf')} AS confidence, {r('option_quality')} AS option_quality, risk_gate, {chains.READY} AS readiness, iv_rank, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY gconf DESC, dte) AS rank FROM ideas) WHERE rank <= 3""")))
 def scan_expiry_ideas(spark, sf_dir):
     """The three best expiries of every scanned ticker."""
     stored = data.chain(spark, sf_dir).select(
