@@ -146,5 +146,5 @@ def scan_expiry_ideas(spark, sf_dir):
         "ticker", F.col("contract_id").cast("string").alias("contract"), (F.col("oi") - 40).alias("exact_oi")
     )
     history = opt.iv_history(data.iv_snapshots(spark, sf_dir).withColumn("ticker", F.concat(F.lit("Brand#"), (1 + F.col("ticker").cast("long") % 25).cast("string"))))
-    ideas = plan.expiry_ideas(predictions(spark, sf_dir), chains.contracts(spark, sf_dir), history, stored)
+    ideas = plan.expiry_ideas(cut_lineage(predictions(spark, sf_dir)), chains.contracts(spark, sf_dir), history, stored)
     return opt.rank_expiries(ideas).select("ticker", "dte", "action", "confidence", "option_quality", "risk_gate", "readiness", "iv_rank", "rank")

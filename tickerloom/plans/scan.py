@@ -19,6 +19,7 @@ from ..operators import indicators as ind
 from ..operators import options as opt
 from ..operators import regime, scoring, series, signals
 from ..operators import text as txt
+from ..session import cut_lineage
 
 LOOKBACK = max(ind.SCORE_LOOKBACK, signals.RADAR_LOOKBACK + 1, signals.FORECAST_LOOKBACK)
 
@@ -116,6 +117,10 @@ def scan(t: ScanTables, profile: str = "swing", horizon_days: int = 5) -> DataFr
     df = price.join(t.assets.select("ticker", "is_index"), "ticker")
     for part in (relative_strength(t.bars, t.benchmark), nearest, mood, facts, links, world):
         df = df.join(part, "ticker", "left")
+    # one row per ticker from here on: the engines' plan ends in the shared folder, so
+    # that adaptive re-planning of the scoring steps does not carry it along
+    df = cut_lineage(df)
+    market = cut_lineage(market)
     df = df.withColumn("market", F.lit("all")).join(F.broadcast(market), "market")
     df = df.withColumns(
         {
