@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import best_fit, heap_counts, language, repetition, topk_search, transducer
+from . import best_fit, heap_counts, language, repetition, substrings, suffix_dedup, topk_search, transducer
 from .inputs import set_batch_rows, table
 
 
@@ -27,6 +27,15 @@ def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(documents(spark, sf_dir))
 
 
+def op3_suffix_array_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.kept_bytes(documents(spark, sf_dir), width=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op4_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.kept_words(documents(spark, sf_dir), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
@@ -55,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_threshold_topk,
         op2_repetition_rules,
+        op3_suffix_array_spans,
+        op4_count_min_substrings,
         op6_best_fit_packing,
         op8_language_families,
         op9_transducer_round_trip,

@@ -22,6 +22,8 @@ from .inputs import id_and_text, map_frames
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: fixed values: shares of lines, and of characters in lines, that repeat an earlier line
 LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
+#: one repeated line is no habit
+LEAST_LINES = 2
 MIN_WORDS = 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -61,7 +63,7 @@ def measure(text: str) -> tuple:
     seen: set[str] = set()
     lines = dup_lines = line_chars = dup_chars = 0
     for line in text.split("\n"):
-        if line and not line.isspace() or line.strip(" \t\x0b\x0c\r"):
+        if line.strip(" \t\x0b\x0c\r"):
             lines += 1
             line_chars += len(line)
             if line in seen:
@@ -79,8 +81,7 @@ def measure(text: str) -> tuple:
     failed = n < MIN_WORDS or 100 * repeat_words > 50 * n
     fine = (
         all(c <= limit for c, limit in zip(coverage, NGRAM_LIMITS.values()))
-        and line_share <= LINE_LIMIT
-        and char_share <= LINE_CHAR_LIMIT
+        and (dup_lines < LEAST_LINES or (line_share <= LINE_LIMIT and char_share <= LINE_CHAR_LIMIT))
     )
     return n, word_chars, int(_SYMBOL[raw].sum()), dup_lines, repeat_words, failed, fine and not failed, coverage, line_share, char_share
 
