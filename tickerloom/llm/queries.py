@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import best_fit, heap_counts, language, repetition, substrings, suffix_dedup, topk_search, transducer
+from . import aligned_lines, best_fit, count_tree, heap_counts, language, repetition, substrings, suffix_dedup, topk_search, transducer
 from .inputs import set_batch_rows, table
 
 
@@ -36,6 +36,14 @@ def op4_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.kept_words(documents(spark, sf_dir), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_lines.kept_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+def op7_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tree.component_rows(documents(spark, sf_dir), size=3, percent=90)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
@@ -66,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_repetition_rules,
         op3_suffix_array_spans,
         op4_count_min_substrings,
+        op5_aligned_lines,
         op6_best_fit_packing,
+        op7_count_tree_join,
         op8_language_families,
         op9_transducer_round_trip,
         op10_heap_token_counts,
