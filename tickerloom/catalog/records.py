@@ -234,8 +234,8 @@ def company_numbers(spark, sf_dir):
 
 POLICY = """pf AS (SELECT REGEXP_REPLACE('Class ' || (doc_id % 3 + 1) || ' recall — ' || source || ': ' || SUBSTRING(text, 1, 120), '^[ —:]+|[ —:]+$', '', 'g') AS title, CASE WHEN doc_id % 2 = 0 THEN 'FDA Drug Recall' ELSE 'FDA Device Recall' END AS source, 'fda' AS kind,
     CASE WHEN doc_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + (doc_id % 28)::INT, '%Y-%m-%d %H:%M:%S') END AS published_at, 'openfda' AS provider, doc_id FROM documents WHERE lang = 'en'
-  UNION ALL SELECT CASE WHEN doc_id % 2 = 0 THEN 'FTC: ' ELSE 'DOJ Antitrust: ' END || SUBSTRING(text, 1, 60), CASE WHEN doc_id % 2 = 0 THEN 'FTC' ELSE 'DOJ Antitrust' END, 'antitrust', '2024-01-05 00:00:00', 'doj_ftc', doc_id FROM documents WHERE lang = 'fr'
-  UNION ALL SELECT SUBSTRING(text, 1, 80), 'White House', CASE WHEN CONTAINS(LOWER(SUBSTRING(text, 1, 80)), 'trump') OR CONTAINS(LOWER(SUBSTRING(text, 1, 80)), 'tariff') THEN 'trump_admin' ELSE 'policy' END, '2024-01-06 00:00:00', 'white_house', doc_id FROM documents WHERE lang NOT IN ('en', 'fr'))"""
+  UNION ALL SELECT CASE WHEN doc_id % 2 = 0 THEN 'FTC: ' ELSE 'DOJ Antitrust: ' END || text, CASE WHEN doc_id % 2 = 0 THEN 'FTC' ELSE 'DOJ Antitrust' END, 'antitrust', '2024-01-05 00:00:00', 'doj_ftc', doc_id FROM documents WHERE lang = 'fr'
+  UNION ALL SELECT text, 'White House', CASE WHEN CONTAINS(LOWER(text), 'trump') OR CONTAINS(LOWER(text), 'tariff') THEN 'trump_admin' ELSE 'policy' END, '2024-01-06 00:00:00', 'white_house', doc_id FROM documents WHERE lang NOT IN ('en', 'fr'))"""
 
 
 def policy_union(spark, sf_dir):
@@ -247,11 +247,11 @@ def policy_union(spark, sf_dir):
         F.when(d % 2 == 0, "drug").otherwise("device").alias("product"), F.when(d % 7 == 0, F.lit("n/a")).otherwise(day).alias("report_date"),
     )
     agency = docs.where("lang = 'fr'").select(
-        F.when(d % 2 == 0, "FTC").otherwise("DOJ Antitrust").alias("agency"), F.substring("text", 1, 60).alias("title"),
+        F.when(d % 2 == 0, "FTC").otherwise("DOJ Antitrust").alias("agency"), F.col("text").alias("title"),
         F.lit("u").alias("url"), F.lit("2024-01-05 00:00:00").alias("published_at"),
     )
     house = docs.where("lang not in ('en', 'fr')").select(
-        F.substring("text", 1, 80).alias("title"), F.lit("White House").alias("source"), F.lit("u").alias("url"), F.lit("2024-01-06 00:00:00").alias("published_at")
+        F.col("text").alias("title"), F.lit("White House").alias("source"), F.lit("u").alias("url"), F.lit("2024-01-06 00:00:00").alias("published_at")
     )
     return policy.union_events(policy.recall_events(recalls), policy.agency_events(agency), policy.titled_events(house, "white_house"))
 

@@ -79,7 +79,7 @@ SELECT CAST(user_id AS VARCHAR) AS ticker, event_id AS seq, ts AS as_of,
        ROUND(20 + value / 10, 4) AS avg_iv FROM events)"""
 
 NEWS = """news AS (
-SELECT d.doc_id AS news_id, SUBSTRING(d.text, 1, 90) AS title, d.source AS provider,
+SELECT d.doc_id AS news_id, d.text AS title, d.source AS provider,
        'Brand#' || CAST(1 + d.doc_id % 25 AS VARCHAR) AS ticker,
        CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' - (d.doc_id % 72) * INTERVAL '1' HOUR END AS published_at
 FROM documents d)"""
@@ -125,7 +125,7 @@ SELECT 'keyless', CASE o_orderstatus WHEN 'F' THEN 'wti_oil' WHEN 'O' THEN 'doll
  FROM orders GROUP BY 1, 2))"""
 
 GOV_EVENTS = """gov_events AS (
-SELECT SUBSTRING(text, 1, 120) AS title, source,
+SELECT text AS title, source,
   CASE doc_id % 5 WHEN 0 THEN 'policy' WHEN 1 THEN 'trump_admin' WHEN 2 THEN 'fda' WHEN 3 THEN 'antitrust' ELSE 'fiscal' END AS kind,
   TIMESTAMP '2024-01-31 00:00:00' - (doc_id % 97) * INTERVAL '1' HOUR AS published_at, doc_id AS position FROM documents)"""
 

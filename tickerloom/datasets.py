@@ -146,7 +146,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.lit("2024-01-31 00:00:00").cast("timestamp") - F.make_dt_interval(hours=(doc % 72).cast("int"))
     return table(spark, sf_dir, "documents").select(
         doc.alias("news_id"),
-        F.substring("text", 1, 90).alias("title"),
+        F.col("text").alias("title"),
         F.col("source").alias("provider"),
         F.concat(F.lit("Brand#"), (1 + doc % 25).cast("string")).alias("ticker"),
         F.when(doc % 11 == 0, F.lit(None)).otherwise(stamp).alias("published_at"),
@@ -215,11 +215,11 @@ ASSET_TAGS = ("semiconductors", "ai", "cloud", "energy", "pharma")
 
 
 def gov_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Policy events: one per document, titled with its first 120 characters."""
+    """Policy events: one per document, titled with its text."""
     doc = F.col("doc_id")
     kinds = F.array(*[F.lit(k) for k in EVENT_KINDS])
     return table(spark, sf_dir, "documents").select(
-        F.substring("text", 1, 120).alias("title"),
+        F.col("text").alias("title"),
         "source",
         F.element_at(kinds, (doc % 5 + 1).cast("int")).alias("kind"),
         (F.lit("2024-01-31 00:00:00").cast("timestamp") - F.make_dt_interval(hours=(doc % 97).cast("int"))).alias(

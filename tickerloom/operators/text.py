@@ -87,27 +87,31 @@ def attach_entities(items: DataFrame, assets: DataFrame) -> DataFrame:
     """Pairs (item, ticker) where the text names the symbol or the company.
 
     Substring tests become equality joins: a symbol is looked up by its first run
-    of letters and digits, a company word by its first four letters, and each
-    candidate is then verified on the whole text.
+    of letters and digits, a company word by its first four letters.  Only ids and
+    keys go through these joins, reduced to the keys that some asset has; the text
+    is fetched once for the surviving candidates and verified whole.
     """
     text = F.concat_ws(" ", "title", "url")
     base = items.select("news_id", text.alias("_text"))
-    upper_runs = F.array_distinct(F.regexp_extract_all(F.upper("_text"), F.lit("[A-Z0-9]+"), F.lit(0)))
-    runs = base.select("news_id", "_text", F.explode(upper_runs).alias("_key"))
     symbols = assets.where(F.col("ticker") != "").select(
-        "ticker", F.regexp_extract(F.upper("ticker"), "[A-Z0-9]+", 0).alias("_key")
+        "ticker", F.lit(None).cast("string").alias("_token"), F.regexp_extract(F.upper("ticker"), "[A-Z0-9]+", 0).alias("_key")
     )
-    by_symbol = runs.join(symbols, "_key").where(tx.mentions_symbol(F.col("_text"), F.col("ticker")))
+    names = assets.select("ticker", F.explode(tx.company_tokens(F.col("company_name"))).alias("_token"))
+    names = names.withColumn("_key", F.substring("_token", 1, 4))
 
+    upper_runs = F.array_distinct(F.regexp_extract_all(F.upper("_text"), F.lit("[A-Z0-9]+"), F.lit(0)))
+    runs = base.select("news_id", F.explode(upper_runs).alias("_key")).join(symbols.select("_key").distinct(), "_key", "left_semi")
     low = F.lower("_text")
     grams = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - 3)), lambda i: F.substr(low, i, F.lit(4)))
     )
-    pieces = base.select("news_id", low.alias("_low"), F.explode(grams).alias("_key"))
-    names = assets.select("ticker", F.explode(tx.company_tokens(F.col("company_name"))).alias("_token"))
-    names = names.withColumn("_key", F.substring("_token", 1, 4))
-    by_name = pieces.join(names, "_key").where(F.contains("_low", "_token"))
-    return by_symbol.select("news_id", "ticker").union(by_name.select("news_id", "ticker")).distinct()
+    pieces = base.select("news_id", F.explode(grams).alias("_key")).join(names.select("_key").distinct(), "_key", "left_semi")
+
+    by_symbol = runs.join(symbols, "_key").select("news_id", "ticker", "_token")
+    by_name = pieces.join(names, "_key").select("news_id", "ticker", "_token")
+    found = by_symbol.union(by_name).join(base, "news_id")
+    named = F.when(F.col("_token").isNull(), tx.mentions_symbol(F.col("_text"), F.col("ticker"))).otherwise(F.contains(F.lower("_text"), F.col("_token")))
+    return found.where(named).select("news_id", "ticker").distinct()
 
 
 def label_tally(posts: DataFrame, by: list[str]) -> DataFrame:
