@@ -49,7 +49,7 @@ def compare(spark, con, name, query, sql, sf_dir) -> tuple[bool, str]:
     got = [tuple(r) for r in df.collect()]
     t1 = time.time()
     if sql is None:
-        return True, f"{name}: rows={len(got)} spark={t1 - t0:.1f}s (no SQL)"
+        return bool(got), f"{name}: rows={len(got)} spark={t1 - t0:.1f}s (no SQL)"
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
     want = cur.fetchall()

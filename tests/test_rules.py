@@ -228,3 +228,32 @@ def test_sinks(spark, tmp_path):
     logs.write_evidence(df, str(tmp_path / "ev"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().ticker == "T"
     assert spark.read.json(str(tmp_path / "json")).count() == spark.read.json(str(tmp_path / "ev")).count() == 1
+
+
+def test_a_pegged_price_has_exact_means(spark, random_bars):
+    """Random bars, then a flat price: long means are the price itself, returns have no spread."""
+    import pandas as pd
+
+    from tickerloom.operators import indicators, series, signals
+
+    moving = random_bars[0].head(300)
+    flat = moving.tail(1).loc[moving.tail(1).index.repeat(600)].assign(open=37.13, high=37.13, low=37.13, close=37.13)
+    flat["date"] = pd.bdate_range(pd.Timestamp(moving["date"].iloc[-1]) + pd.Timedelta(days=1), periods=600).date
+    numbered = series.with_positions(spark.createDataFrame(pd.concat([moving, flat])))
+    frame = series.blocks(numbered, 252)
+    got = series.latest(signals.add_return_stats(indicators.add_sma(frame, 20, 50, 200))).first()
+    assert (got["sma20"], got["sma50"], got["sma200"]) == (37.13, 37.13, 37.13)
+    assert (got["_mu"], got["_sigma"]) == (0.0, 0.0)
+
+
+def test_two_bars_of_a_day_give_one_answer(spark, random_bars):
+    """A repeated day doesn't double the days that it answers."""
+    import pandas as pd
+
+    from tickerloom.operators import series
+    from tickerloom.operators.outcomes import next_bar_by_day
+
+    bars = random_bars[1].head(40)
+    numbered = series.with_positions(spark.createDataFrame(pd.concat([bars, bars.iloc[10:12]])))
+    days = next_bar_by_day(numbered, 5)
+    assert days.count() == days.select("ticker", "target_date").distinct().count()

@@ -230,7 +230,7 @@ def sentiment_score(spark, sf_dir):
     return ops.sentiment(heads, social, POS, NEG)
 
 
-EVID = f"""claims AS (SELECT ticker AS entity, provider AS source_name, CASE news_id % 4 WHEN 0 THEN 'official' WHEN 1 THEN 'news' WHEN 2 THEN 'rumour' END AS source_type, SUBSTRING(title, 1, 6) AS claim, CASE WHEN news_id % 3 <> 0 THEN 'u' END AS url, published_at, CASE WHEN news_id % 2 = 0 THEN 'news' ELSE 'options_chain' END AS data_type,
+EVID = f"""claims AS (SELECT ticker AS entity, provider AS source_name, CASE news_id % 4 WHEN 0 THEN 'official' WHEN 1 THEN 'news' WHEN 2 THEN 'rumour' END AS source_type, title AS claim, CASE WHEN news_id % 3 <> 0 THEN 'u' END AS url, published_at, CASE WHEN news_id % 2 = 0 THEN 'news' ELSE 'options_chain' END AS data_type,
    (news_id % 31 - 15) / 10.0 AS pol, news_id FROM news_o),
 ev0 AS (SELECT *, SUBSTRING(SHA1(entity || '|' || source_name || '|' || claim || '|' || COALESCE(url, 'None')), 1, 16) AS evidence_id, CASE WHEN published_at IS NULL THEN -1 ELSE GREATEST(0, FLOOR((epoch(TIMESTAMP '{AS_OF}') - epoch(published_at)) / 60))::BIGINT END AS age, CASE data_type WHEN 'news' THEN 720 ELSE 15 END AS lim FROM claims),
 ev1 AS (SELECT *, (CASE WHEN published_at IS NULL THEN 40 WHEN age <= lim THEN 100 ELSE GREATEST(0, TRUNC(100 * (1 - (age - lim) / (3.0 * lim)))) END)::BIGINT AS fresh, CASE COALESCE(source_type, 'unknown') WHEN 'official' THEN 100 WHEN 'news' THEN 80 ELSE 50 END AS rel FROM ev0),
@@ -243,7 +243,7 @@ def evidence(spark, sf_dir):
         F.col("ticker").alias("entity"),
         F.col("provider").alias("source_name"),
         F.when(n % 4 == 0, "official").when(n % 4 == 1, "news").when(n % 4 == 2, "rumour").alias("source_type"),
-        F.substring("title", 1, 6).alias("claim"),
+        F.col("title").alias("claim"),
         F.when(n % 3 != 0, "u").alias("url"),
         "published_at",
         F.when(n % 2 == 0, "news").otherwise("options_chain").alias("data_type"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd_stable
@@ -103,8 +103,11 @@ def check_changes(changes: DataFrame, open_ids: DataFrame) -> DataFrame:
     `changes` has op (add, edit, delete), id and the trade fields; a NULL field of an
     edit leaves the value as it is.
     """
-    known = open_ids.select("id", F.lit(True).alias("_known"))
-    df = changes.join(known, "id", "left")
+    known = open_ids.select("id", F.lit(True).alias("_known")).distinct()
+    # one change for each trade: the first in the order of operation and fields; later ones are refused
+    fields = [F.to_json(F.struct(*[c for c in changes.columns if c != "id"]))]
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("op", *fields))
+    df = changes.withColumn("_nth", nth).join(known, "id", "left")
     add = F.col("op") == "add"
     given_side = F.lower(F.trim("side"))
     kind = F.lower(F.trim("instrument_type"))
@@ -113,7 +116,8 @@ def check_changes(changes: DataFrame, open_ids: DataFrame) -> DataFrame:
         return F.when(add, ~F.coalesce(F.col(column) > 0, F.lit(False))).otherwise(F.coalesce(F.col(column) <= 0, F.lit(False)))
 
     reject = (
-        F.when(~F.col("op").isin("add", "edit", "delete"), "unknown_operation")
+        F.when(F.col("_nth") > 1, "second_change")
+        .when(~F.col("op").isin("add", "edit", "delete"), "unknown_operation")
         .when(~add & F.col("_known").isNull(), "trade_not_found")
         .when(add & F.col("_known").isNotNull(), "duplicate_id")
         .when(F.col("op") == "delete", F.lit(None))
@@ -123,7 +127,7 @@ def check_changes(changes: DataFrame, open_ids: DataFrame) -> DataFrame:
         .when(F.coalesce(~kind.isin("equity", "option"), F.lit(False)), "bad_instrument_type")
         .when(F.coalesce(F.col("contract_multiplier") <= 0, F.lit(False)), "bad_multiplier")
     )
-    return df.withColumn("reject", reject).drop("_known")
+    return df.withColumn("reject", reject).drop("_known", "_nth")
 
 
 def apply_changes(ledger: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

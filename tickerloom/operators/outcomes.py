@@ -38,12 +38,14 @@ def next_bar_by_day(numbered: DataFrame, reach: int) -> DataFrame:
     """For each (ticker, day): the first bar on or after that day.
 
     A bar answers for the days since the bar before it; the first bar also for the
-    `reach` days before the series starts.  Looking the day up is an equality, so
+    `reach` days before the series starts.  Of several bars on one day the first
+    answers, so that every day has one answer.  Looking the day up is an equality, so
     calls never meet bars pairwise and the key is as fine as (ticker, day).
     """
     df = series.blocks(numbered, 1)
     prev = F.lag("date").over(series.ordered())
     df = series.own_rows(df.withColumn("_from", F.coalesce(F.date_add(prev, 1), F.date_sub("date", reach))))
+    df = df.where(F.col("_from") <= F.col("date"))
     days = F.explode(F.sequence(F.col("_from"), F.col("date")))
     return df.select("ticker", days.alias("target_date"), F.col("date").alias("exit_date"), F.col("close").alias("exit_price"))
 
@@ -238,7 +240,7 @@ def apply_calibration(calls: DataFrame, profile: DataFrame, strict_zero: bool =
         F.col("usable").alias("_usable"),
     )
     raw = F.col("confidence_score")
-    df = calls.withColumn("_bucket", confidence_bucket(raw)).join(F.broadcast(p), "_bucket", "left")
+    df = calls.withColumn("_bucket", confidence_bucket(raw)).join(p, "_bucket", "left")
     usable = F.coalesce(F.col("_usable"), F.lit(False))
 
     def known(x: Column) -> Column:

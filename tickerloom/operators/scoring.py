@@ -56,7 +56,7 @@ def blend(wide: DataFrame, profile_weights: DataFrame) -> DataFrame:
     The weight table has one row per profile (a configuration list), so it is
     broadcast; component rows stay where the pivot left them.
     """
-    df = wide.join(F.broadcast(profile_weights), "profile")
+    df = wide.join(profile_weights, "profile")
     have = {n: F.col(f"c_{n}").isNotNull() for n in COMPONENTS}
     given = {n: F.when(have[n], F.col(f"w_{n}")).otherwise(0.0) for n in COMPONENTS}
     total = add_up(list(given.values()))

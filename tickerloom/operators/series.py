@@ -114,20 +114,31 @@ def add_rolling_means(df: DataFrame, source: str, *lengths: int, key: str = "tic
     """Means of the last n rows (fewer at the start of the series).
 
     A sliding frame is summed anew for every row, so from `LONG_WINDOW` rows on the
-    mean comes from the block's running sum and its value n rows earlier.
+    mean comes from the block's running sum and its value n rows earlier.  Where all
+    values of the window are equal the mean is that value, without rounding.
     """
     w = ordered(key)
     if max(lengths) >= LONG_WINDOW:
         total = F.sum(source).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("_running", total)
+        df = add_steady_rows(df.withColumn("_running", total), source, key)
     means = {}
     for n in lengths:
         if n < LONG_WINDOW:
             means[f"{prefix}{n}"] = F.avg(source).over(w.rowsBetween(-(n - 1), 0))
         else:
             before = F.coalesce(F.lag("_running", n).over(w), F.lit(0.0))
-            means[f"{prefix}{n}"] = (F.col("_running") - before) / F.least(F.col("pos"), F.lit(n))
-    return df.withColumns(means).drop("_running")
+            held = F.least(F.col("pos"), F.lit(n))
+            means[f"{prefix}{n}"] = F.when(F.col("_steady") >= held, F.col(source)).otherwise((F.col("_running") - before) / held)
+    return df.withColumns(means).drop("_running", "_steady")
+
+
+def add_steady_rows(df: DataFrame, source: str, key: str = "ticker") -> DataFrame:
+    """`_steady`: how many rows up to this one hold its value without a break, within the block."""
+    w = ordered(key)
+    moved = F.when(~F.col(source).eqNullSafe(F.lag(source).over(w)), F.col("pos"))
+    df = df.withColumn("_moved", moved)
+    since = F.last("_moved", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_steady", F.col("pos") - since + 1).drop("_moved")
 
 
 def own_rows(df: DataFrame) -> DataFrame:

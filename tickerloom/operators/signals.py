@@ -148,9 +148,13 @@ def add_return_stats(df: DataFrame) -> DataFrame:
         return F.try_divide(F.col(total) - F.coalesce(F.lag(total, 252).over(w), F.lit(0.0)), held)
 
     df = df.withColumns({"_m1": mean("_s1"), "_m2": mean("_s2")})
+    # returns that are all equal have no spread, and their mean no rounding
+    df = series.add_steady_rows(df, "log_return")
+    df = df.withColumn("_m1", F.when(F.col("_steady") >= held, F.col("log_return")).otherwise(F.col("_m1")))
+    df = df.withColumn("_m2", F.when(F.col("_steady") >= held, F.col("_m1") * F.col("_m1")).otherwise(F.col("_m2")))
     variance = F.greatest(F.lit(0.0), F.col("_m2") - F.col("_m1") * F.col("_m1"))
     df = df.withColumns({"_mu": F.when(enough, F.col("_m1")), "_sigma": F.when(enough, F.sqrt(variance))})
-    return df.drop("_s1", "_s2", "_m1", "_m2")
+    return df.drop("_s1", "_s2", "_m1", "_m2", "_steady")
 
 
 def return_band(horizon: Column, mu: str = "_mu", sigma: str = "_sigma") -> dict[str, Column]:

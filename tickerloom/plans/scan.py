@@ -121,7 +121,7 @@ def scan(t: ScanTables, profile: str = "swing", horizon_days: int = 5) -> DataFr
     # that adaptive re-planning of the scoring steps does not carry it along
     df = cut_lineage(df)
     market = cut_lineage(market)
-    df = df.withColumn("market", F.lit("all")).join(F.broadcast(market), "market")
+    df = df.withColumn("market", F.lit("all")).join(market, "market")
     df = df.withColumns(
         {
             "profile": F.lit(profile),

@@ -111,7 +111,7 @@ def scale_indexes(bars: DataFrame, aliases: DataFrame) -> DataFrame:
 
     `aliases` is (ticker, symbol, scale), one row per listed index product.
     """
-    df = bars.join(F.broadcast(aliases), "symbol")
+    df = bars.join(aliases, "symbol")
     scaled = [(F.col(c) * F.col("scale")).alias(c) for c in ("open", "high", "low", "close")]
     return df.select("ticker", "symbol", "date", *scaled, "volume")
 

@@ -28,9 +28,13 @@ def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
     return df.where(F.col("_row._bad").isNull()).select(*keys, "_row.*").drop("_bad")
 
 
-def last_rows(log: DataFrame, n: int, order: str = "as_of") -> DataFrame:
-    """The newest n rows of the whole log (a bounded top-n, never a full sort)."""
-    return log.orderBy(F.desc(order)).limit(n)
+def last_rows(log: DataFrame, n: int, order: str = "as_of", *ties: str) -> DataFrame:
+    """The newest n rows of the whole log (a bounded top-n, never a full sort).
+
+    Rows of one time are told apart by the columns in `ties`, or by all others.
+    """
+    rest = ties or [c for c in log.columns if c != order]
+    return log.orderBy(F.desc(order), *[F.desc(c) for c in rest]).limit(n)
 
 
 def compact_predictions(predictions: DataFrame) -> DataFrame:
