@@ -19,6 +19,7 @@ pieces; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 
@@ -41,7 +42,13 @@ class Ids:
 
         tokenizer = Tokenizer.from_file(path)
         encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.first, self.rest = Cache(encode), Cache(lambda p: encode(" " + p))
+        self.first, self.encode = Cache(encode), encode
+        self.rest = Cache(self._rest)
+
+    def _rest(self, text: str) -> bytes:
+        if text[:-1].isalpha() and text[-1] in ".,;:!?":  # a word and a mark split there
+            return self.rest[text[:-1]] + self.first[text[-1]]
+        return self.encode(" " + text)
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -59,6 +66,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         if tokenizer_path not in _ids:
             _ids[tokenizer_path] = Ids(tokenizer_path)
+            gc.freeze()  # the tables hold no cycles
+            gc.set_threshold(200_000, 50, 1000)
         encode, end = _ids[tokenizer_path], np.array([end_id], "<u4").tobytes()
         rows = []
         for doc, tag, text in zip(frame["doc_id"], frame["text_tag"], frame["text"]):
