@@ -7,9 +7,9 @@ over boxes and points that can't reach the overlap asked for; the pairs that sur
 are verified on the sets.
 
 The points are dealt out by content first.  Sets that link differ in at most D shingles
-(D follows from the threshold and the largest size of their size class), so of D + 2
-groups at least two hold the same shingles in both.  A key is made of each group that
-isn't empty (and of each two empty ones, of a set with more than one), so linked sets
+(D follows from the threshold and the largest size of their size class), so of D + r
+groups at least r hold the same shingles in both.  A key is made of each group that
+isn't empty (and of each two empty ones, of a set with r or more), so linked sets
 always share a key.  Keys that a count-min sketch finds once are dropped; sets that
 share keys form families, and one family is joined in blocks: within each block, among
 the blocks' most central sets, and then, only where a family still has several
@@ -25,12 +25,13 @@ no other id is in the component); an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -42,6 +43,8 @@ from .substrings import LAST, keyed
 
 #: coordinates of a point
 GROUPS = 64
+#: cells in a row of the sketch of keys (32 MB of bits): a set has many keys
+KEY_WIDTH = 1 << 26
 #: sets in a block of a family, and points in a leaf of the tree
 BLOCK_ROWS = 1000
 LEAF = 32
@@ -89,7 +92,8 @@ def group_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         differ = 2 * high - 2 * needed(2 * high, percent)
         if differ < 1:
             continue  # only equal sets link
-        m = differ + 2
+        spare = 3 + differ // 8
+        m = differ + spare
         group = (mix(hashes, 1000 + c) % U64(m)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         sums = np.r_[U64(0), np.cumsum(mix(hashes[order], 77))]
@@ -100,7 +104,7 @@ def group_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         tag = U64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         out.append(mix(content + mix(full.astype(U64) + tag, 9)))
         empty = np.flatnonzero(count == 0).astype(U64)
-        if len(empty) > 1:
+        if len(empty) >= spare:
             a, b = np.triu_indices(len(empty), 1)
             out.append(mix(mix(empty[a] + tag, 10) + mix(empty[b], 11)))
     return np.concatenate(out) if out else hashes[:0]
@@ -126,15 +130,19 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def families(signed_docs: DataFrame) -> DataFrame:
     """sig and family for all sets that share a key with another set."""
-    bits = signed_docs.sparkSession.sparkContext.broadcast(  # 8 MB, fixed
-        repeated_bits(signed_docs.select("keys"), lambda f: np.concatenate([np.asarray(k, np.int64) for k in f["keys"]]).view(U64) if len(f) else np.zeros(0, U64))
+    bits = signed_docs.sparkSession.sparkContext.broadcast(  # 32 MB, fixed
+        repeated_bits(
+            signed_docs.select("keys"),
+            lambda f: np.concatenate([np.asarray(k, np.int64) for k in f["keys"]]).view(U64) if len(f) else np.zeros(0, U64),
+            KEY_WIDTH,
+        )
     )
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         count = frame["keys"].map(len).to_numpy()
         keys = np.concatenate([np.asarray(k, np.int64) for k in frame["keys"]]) if len(frame) else np.zeros(0, np.int64)
         which = np.repeat(np.arange(len(frame)), count)
-        keep = maybe_repeated(keys.view(U64), bits.value)
+        keep = maybe_repeated(keys.view(U64), bits.value, KEY_WIDTH)
         return pd.DataFrame({"key": keys[keep], "sig": frame["sig"].to_numpy()[which[keep]]})
 
     held = map_frames(signed_docs.select("sig", "keys"), each, "key long, sig binary")
@@ -214,41 +222,57 @@ def _linker(percent: int):
     return each
 
 
+def _code(band: Column, part: Column) -> Column:
+    """Number of a block from its size band and its part of the band."""
+    return (band.cast("long") * (1 << 24) + part.cast("long")).alias("code")
+
+
 def set_links(signed_docs: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links (a, b) between signatures that join every component."""
     family = families(signed_docs)
     members = family.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    place = signed_docs.join(family.withColumnRenamed("node", "sig").withColumnRenamed("root", "family"), "sig").groupBy("family", "sig").agg(F.min(F.struct("doc", "tag")).alias("at"))
-    blocks = F.ceil(F.col("members") / block_rows).cast("int")
-    place = place.join(members.withColumnRenamed("root", "family"), "family").select(
-        "family", "sig", "at.doc", "at.tag", blocks.alias("blocks"), F.pmod(F.xxhash64("sig"), blocks).cast("int").alias("block")
-    )
+    held = signed_docs.join(family.withColumnRenamed("node", "sig").withColumnRenamed("root", "family"), "sig")
+    place = held.groupBy("family", "sig").agg(F.min(F.struct("doc", "tag")).alias("at"), F.max("n").alias("n"))
+    place = place.join(members.withColumnRenamed("root", "family"), "family")
+    # a family of several blocks is cut by size: sets link within a band or with the next one only
+    wide_family = F.col("members") > block_rows
+    band = F.when(wide_family, F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))).otherwise(F.lit(0)).cast("int")
+    place = cut_lineage(place.select("family", "sig", "at.doc", "at.tag", wide_family.alias("wide"), band.alias("band")))
+    bands = place.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    place = place.join(bands, ["family", "band"]).withColumn("block", _code(F.col("band"), F.pmod(F.xxhash64("sig"), F.col("parts"))))
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                **{c: frame[c] for c in ("family", "sig", "blocks", "block")},
+                **{c: frame[c] for c in ("family", "sig", "wide", "band", "block")},
                 "shingles": [shingles(t, size).tobytes() for t in frame["text"]],
             }
         )
 
-    sets = map_frames(texts.join(place, ["doc", "tag"]), each, "family binary, sig binary, blocks int, block int, shingles binary")
+    sets = map_frames(texts.join(place, ["doc", "tag"]), each, "family binary, sig binary, wide boolean, band int, block long, shingles binary")
     sets = cut_lineage(sets)
     link = _linker(percent)
     first = cut_lineage(sets.groupBy("family", "block").applyInPandas(link, LINKS))
-    wide = sets.where("blocks > 1")
+    wide = sets.where("wide")
     if wide.limit(1).count() == 0:
         return first.where("not central").select("a", "b")
     # the central sets of a family's blocks
     hubs = wide.join(first.where("central").select(F.col("a").alias("sig")), "sig")
-    hubs = hubs.withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), F.ceil(F.col("blocks") / block_rows)).cast("int"))
+    counted = bands.groupBy("family").agg(F.ceil(F.sum("parts") / block_rows).alias("hub_blocks"))
+    hubs = hubs.join(counted, "family").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("hub_blocks")).cast("long"))
     links = cut_lineage(first.unionByName(hubs.groupBy("family", "block").applyInPandas(link, LINKS)).where("not central").select("a", "b"))
-    # families that are still apart: every two blocks
+    # families that are still apart: every two blocks of sizes that can link
     root = components(links).withColumnRenamed("node", "sig")
     known = wide.join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     apart = known.groupBy("family").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("family")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = known.join(apart, "family", "left_semi").withColumn("other", other).where("block <> other")
+    pairs = known.join(apart, "family", "left_semi")
+    near = [bands.select("family", (F.col("band") - d).alias("band"), F.lit(d).alias("step"), "parts") for d in (-1, 0, 1)]
+    # for each band the blocks of its own and of the two bands beside it
+    beside = near[0].union(near[1]).union(near[2])
+    beside = beside.groupBy("family", "band").agg(
+        F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: _code(F.col("band") + F.col("step"), k)))).alias("others")
+    )
+    pairs = pairs.join(beside, ["family", "band"]).withColumn("other", F.explode("others")).drop("others").where("block <> other")
     pairs = pairs.withColumn("lower", F.least("block", "other")).withColumn("upper", F.greatest("block", "other"))
     between = pairs.groupBy("family", "lower", "upper").applyInPandas(link, LINKS).where("not central").select("a", "b")
     return links.union(between)
