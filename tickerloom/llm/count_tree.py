@@ -6,15 +6,19 @@ for a box of points at most the sum of minima with its upper corner, so the tree
 over boxes and points that can't reach the overlap asked for; the pairs that survive
 are verified on the sets.
 
-The points are dealt out by content first.  Sets that link differ in at most D shingles
+Most sets link with none, and are put aside first: a set of n shingles of which u stand in
+no other set shares at most n - u with any, so it can link only if n - u reaches the
+threshold's share of n.  u is counted on a part of the shingles chosen by hash, which
+only makes it smaller, so that no set that links is put aside.
+
+The other points are dealt out by content.  Sets that link differ in at most D shingles
 (D follows from the threshold and the largest size of their size class), so of D + r
 groups at least r hold the same shingles in both.  A key is made of each group that
 isn't empty (and of each two empty ones, of a set with r or more), so linked sets
-always share a key.  Keys that a count-min sketch finds once are dropped; sets that
-share keys form families, and one family is joined in blocks: within each block, among
-the blocks' most central sets, and then, only where a family still has several
-components, between its blocks.  Sets of one component are never compared again, so a
-group of near copies costs about one comparison for each.
+always share a key.  Sets that share keys form families, and one family is joined in
+blocks: within each block, among the blocks' most central sets, and then, only where a
+family still has several components, between its blocks.  Sets of one component are
+never compared again, so a group of near copies costs about one comparison for each.
 
 Defined cases: a null, empty or blank text has no shingle and is linked with nothing;
 with fewer words than a shingle takes the whole sequence is one; texts are read whole;
@@ -26,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,13 +41,12 @@ from ..session import cut_lineage
 from .components import components
 from .hashing import U64, mix, signed, window_hashes, word_hashes
 from .inputs import map_frames
-from .sketch import maybe_repeated, repeated_bits
 from .substrings import LAST, keyed
 
 #: coordinates of a point
 GROUPS = 64
-#: cells in a row of the sketch of keys (32 MB of bits): a set has many keys
-KEY_WIDTH = 1 << 26
+#: share of the shingles looked at for those of one set alone, as a multiple of the share that linked sets may lack
+SAMPLE_RATIO = 5 / 3
 #: sets in a block of a family, and points in a leaf of the tree
 BLOCK_ROWS = 1000
 LEAF = 32
@@ -111,7 +113,8 @@ def group_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc, tag, n (shingles), sig (128 bits of the set) and keys of every row."""
+    """doc, tag, n (shingles), sig (128 bits of the set) and sample (hashes chosen by their value) of every row."""
+    one_of = max(1, int(100 / (SAMPLE_RATIO * max(1, 100 - percent))))
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(t, size) for t in frame["text"]]
@@ -121,31 +124,46 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 "tag": frame["tag"],
                 "n": [len(s) for s in sets],
                 "sig": [hashlib.md5(s.tobytes()).digest() for s in sets],
-                "keys": [signed(group_keys(s, percent)) for s in sets],
+                "sample": [signed(s[s % U64(one_of) == 0]) for s in sets],
             }
         )
 
-    return map_frames(keyed(docs), each, "doc long, tag long, n long, sig binary, keys array<long>")
+    return map_frames(keyed(docs), each, "doc long, tag long, n long, sig binary, sample array<long>")
 
 
-def families(signed_docs: DataFrame) -> DataFrame:
-    """sig and family for all sets that share a key with another set."""
-    bits = signed_docs.sparkSession.sparkContext.broadcast(  # 32 MB, fixed
-        repeated_bits(
-            signed_docs.select("keys"),
-            lambda f: np.concatenate([np.asarray(k, np.int64) for k in f["keys"]]).view(U64) if len(f) else np.zeros(0, U64),
-            KEY_WIDTH,
-        )
-    )
+def linkable(signed_docs: DataFrame, percent: int) -> DataFrame:
+    """sig, n, doc and tag (of one row) of the sets that enough of their shingles share with others."""
+    # 64 bits of the signature tell the sets of one shingle apart
+    name = F.xxhash64("sig")
+    held = signed_docs.select(name.alias("set"), F.explode("sample").alias("shingle"))
+    alone = held.groupBy("shingle").agg(F.min("set").alias("set"), F.max("set").alias("other")).where("set = other")
+    alone = alone.groupBy("set").agg(F.count(F.lit(1)).alias("alone"))
+    sets = signed_docs.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc", "tag")).alias("at"), F.max("n").alias("n"))
+    rows = sets.withColumn("set", name).join(alone, "set", "left")
+    enough = 100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("n")
+    return rows.where(enough).select("sig", "n", "at.doc", "at.tag")
+
+
+def keyed_sets(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """sig, n, keys and shingles of the sets; each is made from the text of one row."""
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
-        count = frame["keys"].map(len).to_numpy()
-        keys = np.concatenate([np.asarray(k, np.int64) for k in frame["keys"]]) if len(frame) else np.zeros(0, np.int64)
-        which = np.repeat(np.arange(len(frame)), count)
-        keep = maybe_repeated(keys.view(U64), bits.value, KEY_WIDTH)
-        return pd.DataFrame({"key": keys[keep], "sig": frame["sig"].to_numpy()[which[keep]]})
+        made = [shingles(t, size) for t in frame["text"]]
+        return pd.DataFrame(
+            {
+                "sig": frame["sig"],
+                "n": frame["n"],
+                "keys": [signed(group_keys(s, percent)) for s in made],
+                "shingles": [s.tobytes() for s in made],
+            }
+        )
 
-    held = map_frames(signed_docs.select("sig", "keys"), each, "key long, sig binary")
+    return map_frames(texts.join(sets, ["doc", "tag"]), each, "sig binary, n long, keys array<long>, shingles binary")
+
+
+def families(sets: DataFrame) -> DataFrame:
+    """node (a sig) and root for all sets that share a key with another set."""
+    held = sets.select("sig", F.explode("keys").alias("key"))
     shared = held.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key", "low")
     return components(held.join(shared, "key").where("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b")))
 
@@ -229,28 +247,18 @@ def _code(band: Column, part: Column) -> Column:
 
 def set_links(signed_docs: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links (a, b) between signatures that join every component."""
-    family = families(signed_docs)
-    members = family.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    held = signed_docs.join(family.withColumnRenamed("node", "sig").withColumnRenamed("root", "family"), "sig")
-    place = held.groupBy("family", "sig").agg(F.min(F.struct("doc", "tag")).alias("at"), F.max("n").alias("n"))
-    place = place.join(members.withColumnRenamed("root", "family"), "family")
+    able = cut_lineage(linkable(signed_docs, percent))
+    sets = cut_lineage(keyed_sets(texts, able, size, percent))
+    family = families(sets).select(F.col("node").alias("sig"), F.col("root").alias("family"))
+    members = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
     # a family of several blocks is cut by size: sets link within a band or with the next one only
     wide_family = F.col("members") > block_rows
     band = F.when(wide_family, F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))).otherwise(F.lit(0)).cast("int")
-    place = cut_lineage(place.select("family", "sig", "at.doc", "at.tag", wide_family.alias("wide"), band.alias("band")))
+    place = able.select("sig", "n").join(family, "sig").join(members, "family")
+    place = cut_lineage(place.select("family", "sig", wide_family.alias("wide"), band.alias("band")))
     bands = place.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
-    place = place.join(bands, ["family", "band"]).withColumn("block", _code(F.col("band"), F.pmod(F.xxhash64("sig"), F.col("parts"))))
-
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                **{c: frame[c] for c in ("family", "sig", "wide", "band", "block")},
-                "shingles": [shingles(t, size).tobytes() for t in frame["text"]],
-            }
-        )
-
-    sets = map_frames(texts.join(place, ["doc", "tag"]), each, "family binary, sig binary, wide boolean, band int, block long, shingles binary")
-    sets = cut_lineage(sets)
+    place = place.join(bands, ["family", "band"]).withColumn("block", _code(F.col("band"), F.pmod(F.xxhash64("sig"), F.col("parts")))).drop("parts")
+    sets = cut_lineage(sets.select("sig", "shingles").join(place, "sig"))
     link = _linker(percent)
     first = cut_lineage(sets.groupBy("family", "block").applyInPandas(link, LINKS))
     wide = sets.where("wide")
