@@ -41,6 +41,7 @@ from ..session import cut_lineage
 from .components import components
 from .hashing import U64, mix, signed, window_hashes, word_hashes
 from .inputs import map_frames
+from .sketch import maybe_repeated, repeated_bits
 from .substrings import LAST, keyed
 
 #: coordinates of a point
@@ -145,7 +146,17 @@ def linkable(signed_docs: DataFrame, percent: int) -> DataFrame:
 
 
 def keyed_sets(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """sig, n, keys and shingles of the sets; each is made from the text of one row."""
+    """sig, n, keys and shingles of the sets; each is made from the text of one row.
+
+    Bits of the rows asked for (8 MB, fixed) keep most other texts out of the join's shuffle.
+    """
+    name = F.xxhash64("doc", "tag").alias("name")
+    wanted = repeated_bits(sets.select(name), lambda f: f["name"].to_numpy(np.int64).view(U64), least=1)
+    bits = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    @F.pandas_udf("boolean")
+    def maybe_wanted(names: pd.Series) -> pd.Series:
+        return pd.Series(maybe_repeated(names.to_numpy(np.int64).view(U64), bits.value))
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         made = [shingles(t, size) for t in frame["text"]]
@@ -158,7 +169,7 @@ def keyed_sets(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> Da
             }
         )
 
-    return map_frames(texts.join(sets, ["doc", "tag"]), each, "sig binary, n long, keys array<long>, shingles binary")
+    return map_frames(texts.where(maybe_wanted(name)).join(sets, ["doc", "tag"]), each, "sig binary, n long, keys array<long>, shingles binary")
 
 
 def families(sets: DataFrame) -> DataFrame:

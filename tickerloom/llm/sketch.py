@@ -56,8 +56,8 @@ def partition_sketch(hash_parts: Iterator[np.ndarray], width: int) -> Iterator[p
         yield counted(waiting)
 
 
-def repeated_bits(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], width: int = WIDTH) -> np.ndarray:
-    """Bits of the cells met twice or more over all rows; ``hashes`` gives the hashes of a batch."""
+def repeated_bits(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], width: int = WIDTH, least: int = 2) -> np.ndarray:
+    """Bits of the cells met ``least`` times (1 or 2) or more over all rows; ``hashes`` gives the hashes of a batch."""
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from partition_sketch((hashes(f) for f in frames), width)
@@ -72,7 +72,7 @@ def repeated_bits(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray],
                 have[at] = np.minimum(have[at] + 1, 2)
                 have[np.frombuffer(more, "<u2")] = 2
         if counts:
-            yield pd.DataFrame({"chunk": list(counts), "bits": [np.packbits(c > 1, bitorder="little").tobytes() for c in counts.values()]})
+            yield pd.DataFrame({"chunk": list(counts), "bits": [np.packbits(c >= least, bitorder="little").tobytes() for c in counts.values()]})
 
     parts = rows.mapInPandas(build, "chunk long, once binary, more binary")
     merged = parts.repartition("chunk").mapInPandas(merge, "chunk long, bits binary")
@@ -84,6 +84,6 @@ def repeated_bits(rows: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray],
 
 
 def maybe_repeated(hashes: np.ndarray, bits: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Mask of the hashes whose cells were all met twice or more."""
+    """Mask of the hashes whose cells all have their bit: every hash met often enough, and few others."""
     c = cells(hashes, width)
     return ((bits[(c >> U64(3)).astype(np.int64)] >> (c & U64(7)).astype(np.uint8)) & 1).all(axis=0)
