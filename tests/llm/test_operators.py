@@ -247,3 +247,13 @@ def test_the_pipeline_runs(spark):
 
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert len(got) and got.groupby("sequence_id")["length"].sum().max() <= 1024
+
+
+def test_ranks_give_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    ids, whole, ranks = best_fit.Ids(JSON), Tokenizer.from_file(JSON), best_fit.byte_level_ranks(JSON)
+    words = [b.decode() for b in ranks if b.decode("utf-8", "ignore").encode() == b]
+    marks = [f" a{chr(c)}1{chr(c)}. {chr(c)} {chr(c)}{chr(c)}!" for c in range(0x30000) if not 0xD800 <= c < 0xE000][::7]
+    for text in [*words, *marks, "", "a<|endoftext|>b", " " * 5000 + "x", "x" + "\n" * 999 + " y", "x \x1c\x85y" * 100]:
+        assert ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
