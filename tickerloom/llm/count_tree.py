@@ -146,30 +146,29 @@ def linkable(signed_docs: DataFrame, percent: int) -> DataFrame:
 
 
 def keyed_sets(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """sig, n, keys and shingles of the sets; each is made from the text of one row.
+    """sig, n, keys and shingles of the sets, made where their texts are read; no text is shuffled.
 
-    Bits of the rows asked for (8 MB, fixed) keep most other texts out of the join's shuffle.
+    Bits of the rows asked for (8 MB, fixed) keep most other texts out.  What else they
+    let through is a set that was put aside, and has no place among the blocks.
     """
     name = F.xxhash64("doc", "tag").alias("name")
     wanted = repeated_bits(sets.select(name), lambda f: f["name"].to_numpy(np.int64).view(U64), least=1)
     bits = texts.sparkSession.sparkContext.broadcast(wanted)
 
-    @F.pandas_udf("boolean")
-    def maybe_wanted(names: pd.Series) -> pd.Series:
-        return pd.Series(maybe_repeated(names.to_numpy(np.int64).view(U64), bits.value))
-
     def each(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[maybe_repeated(frame["name"].to_numpy(np.int64).view(U64), bits.value)]
         made = [shingles(t, size) for t in frame["text"]]
+        # typed as objects, since a batch may have no row left
         return pd.DataFrame(
             {
-                "sig": frame["sig"],
-                "n": frame["n"],
-                "keys": [signed(group_keys(s, percent)) for s in made],
+                "sig": [hashlib.md5(s.tobytes()).digest() for s in made],
+                "n": np.array([len(s) for s in made], np.int64),
+                "keys": pd.Series([signed(group_keys(s, percent)) for s in made], dtype=object),
                 "shingles": [s.tobytes() for s in made],
             }
         )
 
-    return map_frames(texts.where(maybe_wanted(name)).join(sets, ["doc", "tag"]), each, "sig binary, n long, keys array<long>, shingles binary")
+    return map_frames(texts.select(name, "text"), each, "sig binary, n long, keys array<long>, shingles binary")
 
 
 def families(sets: DataFrame) -> DataFrame:
