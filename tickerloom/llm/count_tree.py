@@ -84,13 +84,14 @@ def group_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     n = len(hashes)
     if not n:
         return hashes
-    limit = 1 << max(12, int(2 * n).bit_length())
+    # sets link with sets of up to 100 / percent of their size
+    limit = 1 << max(12, int(100 * n // percent).bit_length())
     lows, highs = class_bounds(limit)
     own = int(np.searchsorted(lows, n, "right")) - 1
     out = []
-    for c in (own, own + 1):
-        if c > own and 100 * n < percent * lows[c]:
-            continue  # too small for the next class
+    for c in range(own, len(lows)):
+        if 100 * n < percent * lows[c]:
+            break  # too small for this class and all after it
         high = int(highs[c])
         differ = 2 * high - 2 * needed(2 * high, percent)
         if differ < 1:
