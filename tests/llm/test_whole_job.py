@@ -59,3 +59,20 @@ def test_longer_copies_link_over_class_borders(spark):
     want = brute_components(docs, 5, 80)
     assert sum(d != r for d, r in want.items()) == len(sizes) - 1
     assert found_components(spark, docs, 5, 80) == want
+
+
+@pytest.mark.parametrize("percent", [70, 80, 83, 90, 95])
+def test_small_sets_that_link_share_a_key(percent):
+    for large in range(1, 60):
+        for small in range(-(-percent * large // 100), large):
+            assert share_a_key(small, large, percent), (small, large)
+
+
+@pytest.mark.parametrize("size, percent", [(3, 90), (5, 80)])
+def test_short_texts_that_differ_by_an_end_word_link(spark, size, percent):
+    docs = []
+    for n in range(3, 62):
+        docs += [(10 * n, words(f"b{n}_", n)), (10 * n + 1, words(f"b{n}_", n + 1)), (10 * n + 2, "first " + words(f"b{n}_", n))]
+    want = brute_components(docs, size, percent)
+    assert sum(d != r for d, r in want.items()) > 80
+    assert found_components(spark, docs, size, percent) == want

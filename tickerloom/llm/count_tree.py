@@ -93,7 +93,8 @@ def group_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         if 100 * n < percent * lows[c]:
             break  # too small for this class and all after it
         high = int(highs[c])
-        differ = 2 * high - 2 * needed(2 * high, percent)
+        # the difference has the parity of the summed size, and grows with it among sums of one parity
+        differ = max(total - 2 * needed(total, percent) for total in (2 * high - 1, 2 * high))
         if differ < 1:
             continue  # only equal sets link
         spare = 3 + differ // 8
