@@ -5,9 +5,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import public_tokenizers as P
 import pytest
 
-from tickerloom.llm import count_tree
+from tickerloom.llm import count_tree, heap_counts
+
+PIECES = P.path("piece_bpe_32k.model")
 
 
 def brute_components(docs, size, percent):
@@ -76,3 +79,13 @@ def test_short_texts_that_differ_by_an_end_word_link(spark, size, percent):
     want = brute_components(docs, size, percent)
     assert sum(d != r for d, r in want.items()) > 80
     assert found_components(spark, docs, size, percent) == want
+
+
+@pytest.mark.parametrize("text", ["\U0001f600" * 5000, "\u1200\u1208\u1210\u1218\u1228" * 1000, "a\u0301\u0302" * 2000, "word" + "\u20ac\u1200" * 900 + "word"])
+def test_long_runs_that_no_entry_joins_are_counted(text):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    counted = heap_counts.PieceCounter(PIECES)
+    assert counted.count(text) == len(library.encode(text))
+    assert max(map(len, counted.counts)) <= len(text) + 1 and len(counted.counts) < 20

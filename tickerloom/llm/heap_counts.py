@@ -53,10 +53,12 @@ class PieceCounter:
         self.counts = Cache(self._piece)
 
     def _piece(self, text: str) -> int:
-        """Count of a piece, whose last character is counted alone where no entry joins it."""
-        if len(text) > 2 and text[-2:] not in self.pairs:
-            return self.counts[text[:-1]] + self.counts[text[-1]]
-        return self.merge(text)
+        """Count of a piece, cut between all neighbours that no entry joins; a part has no such cut, so this calls itself once."""
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs]
+        if not cuts:
+            return self.merge(text)
+        return sum(self.counts[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)]))
 
     def merge(self, text: str) -> int:
         """Tokens of one piece, white space already written as the mark."""
