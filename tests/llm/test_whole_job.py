@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tickerloom.llm import count_tree, heap_counts
+from tickerloom.llm import aligned_lines, count_tree, heap_counts
 
 PIECES = P.path("piece_bpe_32k.model")
 
@@ -89,3 +89,43 @@ def test_long_runs_that_no_entry_joins_are_counted(text):
     counted = heap_counts.PieceCounter(PIECES)
     assert counted.count(text) == len(library.encode(text))
     assert max(map(len, counted.counts)) <= len(text) + 1 and len(counted.counts) < 20
+
+
+def brute_lines(docs, min_chars=100):
+    """Every document without the lines of runs of enough bytes that some document of a smaller id holds."""
+    out, split = {}, {d: (t or "").split("\n") for d, t in docs}
+    held = {d: [x for x in lines if x.split()] for d, lines in split.items()}
+    for doc, lines in split.items():
+        ink, gone = [k for k, x in enumerate(lines) if x.split()], set()
+        for other in (o for o in held if o < doc):
+            runs = {tuple(held[other][i:j]) for i in range(len(held[other])) for j in range(i + 1, len(held[other]) + 1)}
+            for i in range(len(ink)):
+                for j in range(i, len(ink)):
+                    if tuple(lines[k] for k in ink[i : j + 1]) not in runs:
+                        break
+                    if sum(len(x.encode()) for x in lines[ink[i] : ink[j] + 1]) >= min_chars:
+                        gone |= set(range(ink[i], ink[j] + 1))
+        out[doc] = (len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def passage(name, lines, width=40):
+    return [f"{name} line {k} ".ljust(width, "x") for k in range(lines)]
+
+
+def test_all_blocks_of_earlier_documents_leave(spark):
+    common, second, block = passage("common", 5), passage("second", 4), passage("whole", 3)
+    rare = ["a rare line of two documents"]
+    docs = [(1, common + ["one"]), (2, ["two"] + rare), (3, second + ["three"])]
+    docs += [(100 + i, [f"own {i}"] + common) for i in range(60)] + [(200 + i, [f"other {i}"] + second) for i in range(30)]
+    docs += [(300, common + rare), (301, common + ["between"] + second)]
+    # a block whose lines, and pairs of lines, have other earliest holders than the whole
+    docs += [(10, ["p", *block[:2]]), (11, [*block[1:], "q"]), (12, ["r", *block]), (400, ["s", *block, "t"])]
+    # blank lines that hold bytes, and a tail that no run from its first line covers
+    docs += [(20, ["u", block[0], "", block[2]]), (401, ["v", block[0], " " * 30, block[2]])]
+    docs += [(21, passage("tail", 2, 60) + ["w"]), (22, ["y"] + passage("tail", 2, 60) + ["short last line"]), (402, passage("tail", 2, 60) + ["short last line", "z"])]
+    docs = [(d, "\n".join(x)) for d, x in docs] + [(500, None), (501, ""), (502, "\n \n")]
+    found = aligned_lines.kept_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute_lines(docs)
+    assert [want[d][0] for d in (300, 301, 400, 401, 402)] == [5, 9, 3, 3, 3]
+    assert {r["doc_id"]: (r["n_removed"], r["kept"]) for r in found} == want

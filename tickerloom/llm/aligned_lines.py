@@ -1,10 +1,13 @@
 """Removal of aligned common blocks of lines from the later of two documents.
 
-Lines that occur in several documents are found by their hashes (a count-min sketch
-drops the others).  Each document is paired with the earliest holder of every line it
-shares that few documents hold; one with only common shared lines is paired with the
-earliest holder of the rarest of them, so no document goes without.  A line gives each
+Runs of lines that occur in several documents are found by their hashes (a count-min
+sketch drops the others).  From every line a run goes on, and to every line one comes,
+until it holds ``min_chars`` bytes; the two kinds cover every line of a block of so many
+bytes, wherever the block begins and ends.  Each document is paired with the earliest
+holder of every run it shares, however many documents hold it.  A run gives each
 document one partner at most, and so pairs never grow with the square of a group.
+Blank lines aren't counted in runs; where some hold bytes (spaces, a carriage return)
+that could make a block long enough, all shorter runs are taken as well.
 Partners are aligned by patience diff (equal ends, then lines unique in both in their
 longest common order, then the gaps), and runs aligned in both are deleted from the
 later document if they hold at least ``min_chars`` bytes.
@@ -31,8 +34,6 @@ from .inputs import map_frames
 from .sketch import maybe_repeated, repeated_bits
 from .substrings import LAST, keyed
 
-#: a line that at most so many documents hold is rare
-RARE = 20
 MIN_CHARS = 100
 
 
@@ -48,6 +49,26 @@ def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return hashes, ends - starts
 
 
+def run_hashes(lines: np.ndarray, sizes: np.ndarray, min_chars: int, shorter: bool = False) -> np.ndarray:
+    """Distinct hashes of the least runs of enough bytes from and to every line that isn't blank, and of all shorter ones."""
+    inked = np.flatnonzero(lines)
+    n = len(inked)
+    if not n:
+        return np.zeros(0, U64)
+    min_chars = max(min_chars, 1)
+    held = np.r_[0, np.cumsum(sizes[inked].astype(np.int64))]
+    first, last = np.arange(n), np.searchsorted(held, held[:-1] + min_chars)
+    ends = np.arange(1, n + 1)
+    begin = np.searchsorted(held, held[1:] - min_chars, "right") - 1
+    whole = last <= n
+    starts, stops = [first[whole], begin[begin >= 0]], [last[whole], ends[begin >= 0]]
+    if shorter:
+        count = np.minimum(last - 1, n) - first
+        starts.append(first.repeat(count))
+        stops.append(starts[-1] + 1 + np.arange(count.sum()) - (np.cumsum(count) - count).repeat(count))
+    return np.unique(span_hashes(prefix_sums(lines[inked].view(U64)), np.concatenate(starts), np.concatenate(stops), salt=7))
+
+
 def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Most pairs whose second parts rise; the first parts do already."""
     tops: list[int] = []
@@ -107,34 +128,41 @@ def common_blocks(later: np.ndarray, sizes: np.ndarray, earlier: np.ndarray, min
     return blocks
 
 
-def deleted_blocks(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
+def deleted_blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc, tag and blocks (lists of first line and end) to delete."""
 
     def lines(frame: pd.DataFrame) -> pd.DataFrame:
         found = [line_hashes(t) for t in frame["text"]]
-        return pd.DataFrame({"doc": frame["doc"], "tag": frame["tag"], "lines": [signed(h) for h, _ in found], "sizes": [s for _, s in found]})
+        return pd.DataFrame(
+            {
+                "doc": frame["doc"],
+                "tag": frame["tag"],
+                "lines": [signed(h) for h, _ in found],
+                "sizes": [s for _, s in found],
+                "white": [bool(((h == 0) & (s > 0)).any()) for h, s in found],
+            }
+        )
+
+    lined = cut_lineage(map_frames(keyed(docs), lines, "doc long, tag long, lines array<long>, sizes array<int>, white boolean"))
+    shorter = lined.where("white").limit(1).count() > 0
+
+    def runs(frame: pd.DataFrame) -> list[np.ndarray]:
+        return [run_hashes(np.asarray(x, np.int64), np.asarray(s, np.int64), min_chars, shorter) for x, s in zip(frame["lines"], frame["sizes"])]
 
-    lined = cut_lineage(map_frames(keyed(docs), lines, "doc long, tag long, lines array<long>, sizes array<int>"))
-    as_hashes = lambda f: np.concatenate([np.unique(np.asarray(x, np.int64)) for x in f["lines"]]).view(U64) if len(f) else np.zeros(0, U64)
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(lined.select("lines"), as_hashes))  # 8 MB, fixed
+    as_hashes = lambda f: np.concatenate(runs(f)) if len(f) else np.zeros(0, U64)
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(lined.select("lines", "sizes"), as_hashes))  # 8 MB, fixed
 
     def repeated(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [np.unique(np.asarray(x, np.int64)) for x in frame["lines"]]
-        out = [x[(x != 0) & maybe_repeated(x.view(U64), bits.value)] for x in out]
+        out = [signed(x[maybe_repeated(x, bits.value)]) for x in runs(frame)]
         count = np.array([len(x) for x in out], int)
         return pd.DataFrame(
-            {"line": np.concatenate(out) if out else [], "doc": frame["doc"].to_numpy().repeat(count), "tag": frame["tag"].to_numpy().repeat(count)}
+            {"run": np.concatenate(out) if out else [], "doc": frame["doc"].to_numpy().repeat(count), "tag": frame["tag"].to_numpy().repeat(count)}
         )
 
-    held = map_frames(lined.select("doc", "tag", "lines"), repeated, "line long, doc long, tag long")
-    holders = held.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc", "tag")).alias("owner")).where("df > 1")
-    shared = held.join(holders, "line").where("doc > owner.doc")
-    partners = shared.groupBy("doc", "tag").agg(
-        F.collect_set(F.when(F.col("df") <= rare, F.col("owner"))).alias("few"), F.min(F.struct("df", "owner")).alias("rarest")
-    )
-    chosen = F.when(F.size("few") > 0, F.col("few")).otherwise(F.array("rarest.owner"))
-    pairs = partners.select("doc", "tag", F.explode(chosen).alias("with"))
-    once = lined.dropDuplicates(["doc", "tag"])
+    held = map_frames(lined.select("doc", "tag", "lines", "sizes"), repeated, "run long, doc long, tag long")
+    holders = held.groupBy("run").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc", "tag")).alias("owner")).where("df > 1").drop("df")
+    pairs = held.join(holders, "run").where("doc > owner.doc").select("doc", "tag", F.col("owner").alias("with")).distinct()
+    once = lined.drop("white").dropDuplicates(["doc", "tag"])
     earlier = once.select(F.col("doc").alias("doc2"), F.col("tag").alias("tag2"), F.col("lines").alias("lines2"))
     both = pairs.join(once, ["doc", "tag"]).join(earlier, (F.col("with.doc") == F.col("doc2")) & (F.col("with.tag") == F.col("tag2")))
 
@@ -161,7 +189,7 @@ def keep_lines(text: str, blocks) -> tuple[str, int, int]:
     return "\n".join([x for x, g in zip(lines, gone.tolist()) if not g]), n, int(gone.sum())
 
 
-def kept_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, the kept text and its digest, of every row."""
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
@@ -171,6 +199,6 @@ def kept_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) ->
         out.insert(0, "doc", frame["doc"].to_numpy())
         return out
 
-    joined = keyed(docs).join(deleted_blocks(docs, rare, min_chars), ["doc", "tag"], "left").select("doc", "text", "blocks")
+    joined = keyed(docs).join(deleted_blocks(docs, min_chars), ["doc", "tag"], "left").select("doc", "text", "blocks")
     out = map_frames(joined, each, "doc long, kept string, n_lines long, n_removed long, kept_sha256 string")
     return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_lines", "n_removed", "kept", "kept_sha256")
