@@ -52,7 +52,7 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-#: SQL can't express the stages; tests compare them with plain Python
+#: SQL can't express the stages; tests compare lines, near duplicates and windows with plain Python, not language and packed ids
 ORACLE_SQL = None
 
 

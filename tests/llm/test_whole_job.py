@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tickerloom.llm import aligned_lines, count_tree, heap_counts
+from tickerloom.llm import aligned_lines, count_tree, heap_counts, stages
 
 PIECES = P.path("piece_bpe_32k.model")
 
@@ -129,3 +129,42 @@ def test_all_blocks_of_earlier_documents_leave(spark):
     want = brute_lines(docs)
     assert [want[d][0] for d in (300, 301, 400, 401, 402)] == [5, 9, 3, 3, 3]
     assert {r["doc_id"]: (r["n_removed"], r["kept"]) for r in found} == want
+
+
+def test_stages_equal_plain_python(spark, texts):
+    """Lines, near duplicates at (5, 80) and windows, each on what the one before kept; with planted near copies."""
+    docs = sorted(texts)[:60]
+    last = docs[-1][0]
+    for k, (_, text) in enumerate(docs[:20]):
+        w = text.split()
+        docs += [(last + 10 * k + 1, " ".join(w[: len(w) - len(w) // 12])), (last + 10 * k + 2, "\n".join([f"own start {k}", *text.split("\n")[1:]]))]
+        docs.append((last + 10 * k + 3, f"begins otherwise {k} " + " ".join(w[:70]) + f" ends otherwise {k}"))
+    frame = spark.createDataFrame([(d, t, len(t)) for d, t in docs], "doc_id long, text string, n_chars int")
+
+    def kept(out):
+        return {r["doc_id"]: r["text"] for r in out.collect()}
+
+    got = kept(stages.without_common_blocks(frame))
+    want = {d: t for d, (n, t) in brute_lines(docs).items() if not n or t.split()}
+    assert got == want != dict(docs)
+
+    docs = sorted(want.items())
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = kept(stages.without_near_duplicates(frame, 5, 80))
+    root = brute_components(docs, 5, 80)
+    want = {d: t for d, t in docs if root[d] == d}
+    assert got == want and len(want) < len(docs)
+
+    docs = sorted(want.items())
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    first, want = {}, {}
+    for doc, text in docs:
+        w = text.split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), doc) < doc:
+                gone[i : i + 50] = [True] * 50
+        if not all(gone) or not w:
+            want[doc] = [x for x, g in zip(w, gone) if not g]
+    assert {d: t.split() for d, t in kept(stages.without_repeated_windows(frame)).items()} == want
+    assert sum(map(len, want.values())) < sum(len(t.split()) for _, t in docs)
