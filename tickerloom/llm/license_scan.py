@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .inputs import id_and_text, text_key
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: what stands between words: ASCII without digits and lower-case letters
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -61,18 +60,25 @@ TEMPLATES = {
 }
 
 
-def spaced_words(text: Column) -> Column:
-    """The words in ASCII lower case, joined by single spaces, with one before the first and after the last."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), BETWEEN, " ")), F.lit(" "))
+def lowered(text: Column) -> Column:
+    """Text in lower case; the one other character whose lower case is an ASCII letter (U+212A) is put aside first.
+
+    Other letters may change as well, but no word of ASCII letters and digits comes or
+    goes by that, and only such words are looked for.
+    """
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138")))
 
 
-def split_words(spaced: Column) -> Column:
-    return F.when(spaced == "  ", F.array().cast("array<string>")).otherwise(F.split(F.trim(spaced), " "))
+def split_words(low: Column) -> Column:
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def places(phrase: str) -> Column:
-    """Starts of a phrase in ``words``; texts that lack it aren't walked."""
+    """Starts of a phrase in ``words``; texts that lack one of its words aren't walked."""
     parts = phrase.split()
+    may = F.size("words") >= len(parts)
+    for part in set(parts):
+        may = may & F.contains("low", F.lit(part))
     at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - len(parts)))
 
     def here(i: Column) -> Column:
@@ -81,32 +87,34 @@ def places(phrase: str) -> Column:
             out = out & (F.get("words", i + k) == part)
         return out
 
-    return F.when(F.contains("spaced", F.lit(f" {phrase} ")), F.filter(at, here)).otherwise(F.array().cast("array<int>"))
+    return F.when(may, F.filter(at, here)).otherwise(F.array().cast("array<int>"))
 
 
-def text_blocks(texts: DataFrame, block_words: int) -> DataFrame:
-    """text_tag and the words of every block."""
-    step = block_words // 2
+def block_vocabulary(texts: DataFrame, vocabulary: Sequence[str], block_words: int) -> DataFrame:
+    """text_tag and, for every block, the words of the vocabulary that it holds, in the vocabulary's order."""
+    step, known = block_words // 2, F.array(*map(F.lit, vocabulary))
     last = F.greatest(F.lit(0), F.ceil((F.size("words") - block_words) / step)).cast("int")
-    numbered = texts.where(F.size("words") > 0).select("text_tag", "words", F.explode(F.sequence(F.lit(0), last)).alias("no"))
-    return numbered.select("text_tag", F.slice("words", F.col("no") * step + 1, F.lit(block_words)).alias("block"))
+    numbers = F.when(F.size("words") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    held = F.transform(numbers, lambda no: F.array_intersect(known, F.slice("words", no * step + 1, F.lit(block_words))))
+    return texts.select("text_tag", F.explode(held).alias("held"))
 
 
-def word_order(blocks: DataFrame, vocabulary: Sequence[str]) -> list[str]:
+def word_order(texts: DataFrame, vocabulary: Sequence[str], block_words: int) -> list[str]:
     """The templates' words, those of the fewest blocks of the corpus first (ties by the word)."""
-    known = F.array(*map(F.lit, vocabulary))
-    held = blocks.select(F.explode(F.array_intersect(known, "block")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    held = block_vocabulary(texts, vocabulary, block_words).select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["word"]: r["n"] for r in held.collect()}  # no more rows than the templates have words
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def notice_hits(blocks: DataFrame, templates: Mapping[str, Sequence[str]], percent: int, block_words: int) -> DataFrame:
+def notice_hits(texts: DataFrame, templates: Mapping[str, Sequence[str]], percent: int, block_words: int) -> DataFrame:
     """text_tag, label and score of every (block, template) pair that meets the threshold."""
-    spark = blocks.sparkSession
-    notices = [(label, sorted(set(t.split()))) for label, texts in templates.items() for t in texts]
-    if any(len(t.split()) > block_words // 2 or not t.split() for texts in templates.values() for t in texts):
+    spark = texts.sparkSession
+    notices = [(label, sorted(set(t.split()))) for label, ts in templates.items() for t in ts]
+    if not all(w.isascii() and w.isalnum() for _, words in notices for w in words):
+        raise ValueError("a template consists of words of ASCII letters and digits")
+    if any(len(t.split()) > block_words // 2 or not t.split() for ts in templates.values() for t in ts):
         raise ValueError("a template has from one word to half a block")
-    order = word_order(blocks, sorted({w for _, words in notices for w in words}))
+    order = word_order(texts, sorted({w for _, words in notices for w in words}), block_words)
     index = []
     for no, (label, words) in enumerate(notices):
         ordered = [w for w in order if w in set(words)]
@@ -115,7 +123,7 @@ def notice_hits(blocks: DataFrame, templates: Mapping[str, Sequence[str]], perce
     prefixes = F.broadcast(spark.createDataFrame(index, "word string, t_at int, notice int, label string, template array<string>, least int"))
     fewest = min(least for *_, least in index)
     heads = {w for w, *_ in index}
-    ranked = blocks.select("text_tag", F.array_intersect(F.array(*map(F.lit, order)), "block").alias("ranked"))
+    ranked = block_vocabulary(texts, order, block_words).withColumnRenamed("held", "ranked")
     # the longest prefix that any template asks for
     long = ranked.where(F.size("ranked") >= fewest).where(F.arrays_overlap("ranked", F.array(*map(F.lit, sorted(heads)))))
     keyed = long.select("text_tag", "ranked", F.posexplode(F.slice("ranked", F.lit(1), F.size("ranked") - fewest + 1)).alias("b_at", "word"))
@@ -140,8 +148,8 @@ def license_labels(
     ``score`` is the largest share of a template's words found in a block, 1 where a
     phrase is found and 0 where nothing is.
     """
-    texts = id_and_text(docs, id_col, text_col).select("doc_id", text_key().alias("text_tag"), spaced_words(F.col("text")).alias("spaced"))
-    texts = texts.withColumn("words", split_words(F.col("spaced")))
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", text_key().alias("text_tag"), lowered(F.col("text")).alias("low"))
+    texts = texts.withColumn("words", split_words(F.col("low")))
     found = [(label, places(phrase)) for phrase, label in phrases.items()]
     base = texts.select("doc_id", "text_tag", F.size("words").cast("long").alias("n_words"), *[p.alias(f"p{k}") for k, (_, p) in enumerate(found)])
     at = F.concat(*[F.col(f"p{k}") for k in range(len(found))])
@@ -155,7 +163,7 @@ def license_labels(
         F.array_max(at).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(held)).alias("own"),
     )
-    hits = notice_hits(text_blocks(texts, block_words), templates, percent, block_words)
+    hits = notice_hits(texts, templates, percent, block_words)
     # no more entries than there are labels
     by_text = hits.groupBy("text_tag").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     both = base.join(by_text, "text_tag", "left")
@@ -178,7 +186,7 @@ def oracle(spark_templates: Mapping[str, Sequence[str]] = TEMPLATES, phrases: Ma
     step, sought = block_words // 2, ", ".join(f"('{label}', {p.split()})" for p, label in phrases.items())
     return rf"""
     WITH rows AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
-    w AS (SELECT id, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM rows),
+    w AS (SELECT id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM rows),
     sought(label, parts) AS (VALUES {sought}),
     found AS (
         SELECT id, label, i FROM (SELECT id, label, parts, words, unnest(range(0, greatest(0, len(words) - len(parts) + 1))) AS i FROM w, sought)
