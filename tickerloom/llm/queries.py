@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import aligned_lines, best_fit, count_tree, heap_counts, language, license_scan, repetition, substrings, suffix_dedup, topk_search, transducer
+from . import aligned_lines, best_fit, count_tree, heap_counts, language, license_scan, prefix_trie, repetition, substrings, suffix_dedup, topk_search, transducer
 from .inputs import set_batch_rows, table
 
 
@@ -71,6 +71,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(documents(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_transducer_round_trip,
         op10_heap_token_counts,
         op12_license_scan,
+        op13_prefix_trie,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op12_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {"op12_license_scan": license_scan.oracle(), "op13_prefix_trie": prefix_trie.oracle()}
