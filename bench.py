@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from tickerloom.catalog import all_queries
@@ -55,6 +56,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
     print(
         json.dumps(

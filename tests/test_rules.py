@@ -150,6 +150,38 @@ def test_policy_links_prefer_the_company_name(spark):
     assert got == {("NV", "a"): ("direct", -0.1), ("NV", "b"): ("thematic:export control", 0.0), ("NV", "d"): ("direct", -0.3)}
 
 
+def test_equal_titles_are_linked_once_by_the_first_event(spark):
+    assets = spark.createDataFrame(
+        [("NV", "Nvidia", ["ai"], None, None), ("XX", "Unknown", ["ai"], None, None), ("YY", "Other", None, "AI", None)],
+        "ticker string, company_name string, strategy_tags array<string>, sector string, industry string",
+    )
+    rows = [("Nvidia and ai safety", "a", k, p) for p, k in ((7, "policy"), (3, "fda"), (5, "trump_admin"))] + [("ai safety", None, "policy", 9), (None, "a", "policy", 1)]
+    events = spark.createDataFrame(rows * 40, "title string, source string, kind string, position int")
+    got = sorted((r.ticker, r.source, r.position, r.kind, r.match_kind) for r in text.map_impacts(assets, events).collect() if r.source)
+    assert got == [("NV", "a", 3, "fda", "direct"), ("XX", "a", 5, "trump_admin", "thematic:ai safety"), ("YY", "a", 5, "trump_admin", "thematic:ai safety")]
+    touches, members = text.impact_links(assets, events)
+    assert touches.count() == 3 and "title" not in touches.columns and members.count() == 6
+
+
+def test_names_in_long_texts_take_linear_time(spark):
+    import time
+
+    assets = spark.createDataFrame([("ABC.D", "Metallic Dawn"), ("Q#1.2", "Zzz")], "ticker string, company_name string")
+
+    def seconds(n: int) -> float:
+        body = "some plain words and 12 numbers " * (n // 32)
+        rows = [(1, body + " metallicity here", ""), (2, body + "(abc.d)", ""), (3, body + "xabc.d q#1.23", ""), (4, "x" * n, "")]
+        news = spark.createDataFrame(rows, "news_id int, title string, url string")
+        start = time.perf_counter()
+        got = {(r.news_id, r.ticker) for r in text.attach_entities(news, assets).collect()}
+        assert got == {(1, "ABC.D"), (2, "ABC.D")}
+        return time.perf_counter() - start
+
+    seconds(1000)
+    short, long = seconds(100_000), seconds(1_000_000)
+    assert long < 15 * max(short, 0.5)
+
+
 def test_many_copies_of_a_title_keep_the_first(spark):
     rows = [("T", f"Same  Title!{'?' * (i % 3)}", 1 + i % 4, i, f"p{i}") for i in range(5000)]
     df = spark.createDataFrame(rows, "ticker string, title string, priority int, position int, provider string")

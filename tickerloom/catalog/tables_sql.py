@@ -130,6 +130,6 @@ SELECT text AS title, source,
   TIMESTAMP '2024-01-31 00:00:00' - (doc_id % 97) * INTERVAL '1' HOUR AS published_at, doc_id AS position FROM documents)"""
 
 ASSETS = """assets AS (
-SELECT 'Brand#' || CAST(1 + item_id % 25 AS VARCHAR) || '.' || CAST(item_id AS VARCHAR) AS ticker, SUBSTRING(text, 1, 40) AS company_name,
+SELECT 'Brand#' || CAST(1 + item_id % 25 AS VARCHAR) || '.' || CAST(item_id AS VARCHAR) AS ticker, text AS company_name,
   [['semiconductors','ai','cloud','energy','pharma'][item_id % 5 + 1], ['semiconductors','ai','cloud','energy','pharma'][(item_id + 2) % 5 + 1]] AS strategy_tags,
   item_id FROM benchmark)"""

@@ -235,7 +235,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array(*[F.lit(t) for t in ASSET_TAGS])
     return table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("Brand#"), (1 + item % 25).cast("string"), F.lit("."), item.cast("string")).alias("ticker"),
-        F.substring("text", 1, 40).alias("company_name"),
+        F.col("text").alias("company_name"),
         F.array(
             F.element_at(tags, (item % 5 + 1).cast("int")), F.element_at(tags, ((item + 2) % 5 + 1).cast("int"))
         ).alias("strategy_tags"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import clamp, rnd_stable
+from ..session import cut_lineage
 
 # fixed values: reliability of a source type, and freshness limits in minutes
 RELIABILITY = {
@@ -83,35 +84,69 @@ def recent_lenient(published_at: Column, as_of: Column, days: int) -> Column:
     return published_at.isNull() | (published_at >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def text_runs(items: DataFrame, text: Column, least: int) -> DataFrame:
+    """(news_id, kind, run): the distinct runs of each text, in one linear pass.
+
+    Kind n: lower-case letters, digits and & at least ``least`` long, in which company
+    words stand; kind s: upper-case letters and digits, of which symbols are made.
+    """
+    kinds = F.array(
+        F.struct(F.lit("n").alias("kind"), F.array_distinct(F.split(F.lower(text), "[^a-z0-9&]+")).alias("runs")),
+        F.struct(F.lit("s").alias("kind"), F.array_distinct(F.split(F.upper(text), "[^A-Z0-9]+")).alias("runs")),
+    )
+    found = items.select("news_id", F.inline(kinds)).select("news_id", "kind", F.explode("runs").alias("run"))
+    return found.where(F.when(F.col("kind") == "n", F.length("run") >= least).otherwise(F.col("run") != ""))
+
+
+def run_grams(runs: DataFrame, text: str, gram: int) -> DataFrame:
+    """Each row with each distinct gram of its (short) text, by one look-ahead pass."""
+    return runs.select("*", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1)))).alias("gram"))
+
+
+def runs_with_words(vocabulary: DataFrame, words: DataFrame, gram: int = 4) -> DataFrame:
+    """(run, token) pairs of which the run contains the token.
+
+    Expects distinct ``run`` and distinct ``token`` of ``gram`` letters or more.  A token is
+    looked up by the gram that the fewest runs hold, so a common gram costs nothing.
+    """
+    token_grams = run_grams(words.select("token"), "token", gram)
+    pieces = run_grams(vocabulary.select("run"), "run", gram).join(token_grams.select("gram").distinct(), "gram", "left_semi")
+    held = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    keys = token_grams.join(held, "gram").groupBy("token").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return pieces.join(keys, "gram").where(F.contains("run", F.col("token"))).select("run", "token")
+
+
 def attach_entities(items: DataFrame, assets: DataFrame) -> DataFrame:
     """Pairs (item, ticker) where the text names the symbol or the company.
 
-    Substring tests become equality joins: a symbol is looked up by its first run
-    of letters and digits, a company word by its first four letters.  Only ids and
-    keys go through these joins, reduced to the keys that some asset has; the text
-    is fetched once for the surviving candidates and verified whole.
+    Linear in the length of the texts, which are cut into runs once; the runs are written,
+    as cutting costs far more than reading them.  A company word consists of letters,
+    digits and &, so it stands within one run of these: the substring test is made once
+    for each distinct run of the corpus, by the word's rarest 4-gram, and texts are joined
+    by whole runs.  A symbol is looked up by the run of letters and digits of it that the
+    fewest texts hold; if it has one run only, that is the test, else the texts of the
+    candidates are fetched and searched.  A symbol without letter or digit names nothing.
     """
     text = F.concat_ws(" ", "title", "url")
-    base = items.select("news_id", text.alias("_text"))
-    symbols = assets.where(F.col("ticker") != "").select(
-        "ticker", F.lit(None).cast("string").alias("_token"), F.regexp_extract(F.upper("ticker"), "[A-Z0-9]+", 0).alias("_key")
-    )
-    names = assets.select("ticker", F.explode(tx.company_tokens(F.col("company_name"))).alias("_token"))
-    names = names.withColumn("_key", F.substring("_token", 1, 4))
-
-    upper_runs = F.array_distinct(F.regexp_extract_all(F.upper("_text"), F.lit("[A-Z0-9]+"), F.lit(0)))
-    runs = base.select("news_id", F.explode(upper_runs).alias("_key")).join(symbols.select("_key").distinct(), "_key", "left_semi")
-    low = F.lower("_text")
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - 3)), lambda i: F.substr(low, i, F.lit(4)))
-    )
-    pieces = base.select("news_id", F.explode(grams).alias("_key")).join(names.select("_key").distinct(), "_key", "left_semi")
-
-    by_symbol = runs.join(symbols, "_key").select("news_id", "ticker", "_token")
-    by_name = pieces.join(names, "_key").select("news_id", "ticker", "_token")
-    found = by_symbol.union(by_name).join(base, "news_id")
-    named = F.when(F.col("_token").isNull(), tx.mentions_symbol(F.col("_text"), F.col("ticker"))).otherwise(F.contains(F.lower("_text"), F.col("_token")))
-    return found.where(named).select("news_id", "ticker").distinct()
+    runs = cut_lineage(text_runs(items, text, 4))
+    named = runs.where(F.col("kind") == "n").select("news_id", "run")
+    spelt = runs.where(F.col("kind") == "s").select("news_id", "run")
+
+    names = assets.select("ticker", F.explode(tx.company_tokens(F.col("company_name"))).alias("token"))
+    pairs = runs_with_words(named.select("run").distinct(), names.select("token").distinct())
+    by_name = named.join(pairs, "run").select("news_id", "token").distinct().join(names, "token").select("news_id", "ticker")
+
+    whole = F.upper("ticker")
+    parts = assets.select("ticker", F.explode(F.array_distinct(F.regexp_extract_all(whole, F.lit("[A-Z0-9]+"), F.lit(0)))).alias("run")).distinct()
+    seen = spelt.join(parts.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    counted = parts.join(seen, "run", "left")
+    key = counted.groupBy("ticker").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("_k")).where("_k.n > 0")
+    keyed = key.select("ticker", F.col("_k.run").alias("run"), (whole == F.col("_k.run")).alias("sure"))
+    spotted = spelt.join(keyed, "run").select("news_id", "ticker", "sure")
+    unsure = spotted.where(~F.col("sure")).join(items.select("news_id", text.alias("_text")), "news_id")
+    searched = unsure.where(tx.mentions_symbol(F.col("_text"), F.col("ticker")))
+    by_symbol = spotted.where("sure").select("news_id", "ticker").unionByName(searched.select("news_id", "ticker"))
+    return by_name.unionByName(by_symbol).distinct()
 
 
 def label_tally(posts: DataFrame, by: list[str]) -> DataFrame:
@@ -262,35 +297,65 @@ def brand_token(company_name: Column) -> Column:
     return F.try_element_at(F.filter(cleaned, lambda t: (F.length(t) > 2) & ~F.array_contains(drop, t)), F.lit(1))
 
 
-def map_impacts(assets: DataFrame, events: DataFrame, tag_keywords: dict[str, tuple[str, ...]] = TAG_KEYWORDS) -> DataFrame:
-    """Policy events linked to the names they touch.
+def impact_links(assets: DataFrame, events: DataFrame, tag_keywords: dict[str, tuple[str, ...]] = TAG_KEYWORDS) -> tuple[DataFrame, DataFrame]:
+    """The links of policy events in factors: events with what they touch, and names with how they are touched.
 
-    Direct: the brand word is a word of the title.  Thematic: a policy title holds a
-    keyword of one of the asset's tags.  Both are equality joins on words found in
-    the title.  Per asset and (source, title) the first matching event counts, and
-    within it the direct tier, then the first keyword.
+    Events of equal source and title are one group (``event_tag``, 128 bits), so a title
+    repeated a billion times is matched once; no text leaves the stage that reads it.  A
+    name is touched through its brand word, or through the set of keywords of its tags
+    (``theme``), and there are far fewer such sets than names.  The first table has
+    (event_tag, source, touch, position, tier, kw, kind, polarity), one row for each group and
+    touch, the second (touch, ticker).
     """
-    base = events.withColumn("_low", F.lower("title"))
-    brands = assets.select("ticker", brand_token(F.col("company_name")).alias("_word")).where("_word is not null")
-    direct = base.select("*", F.explode(tx.tokens(F.col("title"))).alias("_word")).join(brands, "_word")
-    adverse = F.when(F.col("kind").isin("fda", "antitrust"), -0.3).otherwise(-0.1)
-    direct = direct.withColumn("_tier", F.lit(0)).withColumn("_kw", F.lit("")).withColumn("polarity", adverse)
-
+    tag = F.unhex(F.md5(F.concat_ws("\u0001", F.coalesce("source", F.lit("\u0002")), F.coalesce("title", F.lit("\u0002")))))
+    first = F.struct("position", "kind")
+    broad = F.col("kind").isin("policy", "trump_admin")
+    keyed = events.withColumn("event_tag", tag)
+    # smallest positions of all events and of the policy ones: a group needs no other event
+    firsts = keyed.groupBy("event_tag").agg(F.min(first).alias("any"), F.min(F.when(broad, first)).alias("broad"), F.min("source").alias("source"))
+    low = F.lower("title")
     keywords = sorted({k for words in tag_keywords.values() for k in words})
-    present = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(k)), F.lit(k)) for k in keywords]))
-    broad = base.where(F.col("kind").isin("policy", "trump_admin")).select("*", F.explode(present).alias("_kw"))
+    present = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in keywords]))
+
+    brands = assets.select("ticker", brand_token(F.col("company_name")).alias("word")).where("word is not null")
+    spoken = keyed.select("event_tag", F.explode(tx.tokens(F.col("title"))).alias("word"))
+    direct = spoken.join(brands.select("word").distinct(), "word", "left_semi").distinct().join(firsts, "event_tag")
+    adverse = F.when(F.col("any.kind").isin("fda", "antitrust"), -0.3).otherwise(-0.1)
+    direct = direct.select(
+        "event_tag", "source", F.concat(F.lit("word:"), "word").alias("touch"), "any.position", F.lit(0).alias("tier"), F.lit("").alias("kw"), "any.kind", adverse.alias("polarity")
+    )
+
     tag_map = F.create_map(*[x for t, ks in tag_keywords.items() for x in (F.lit(t), F.array(*[F.lit(k) for k in ks]))])
-    tags = F.transform(F.array_compact(F.concat("strategy_tags", F.array("sector", "industry"))), F.lower)
-    wanted = F.array_distinct(F.flatten(F.array_compact(F.transform(tags, lambda t: F.try_element_at(tag_map, t)))))
-    themes = assets.select("ticker", F.explode(wanted).alias("_kw"))
-    thematic = broad.join(themes, "_kw").withColumn("_tier", F.lit(1)).withColumn("polarity", F.lit(0.0))
-
-    columns = ["ticker", "source", "title", "position", "_tier", "_kw", "kind", "polarity"]
-    both = direct.select(*columns).unionByName(thematic.select(*columns))
-    first = F.min(F.struct("position", "_tier", "_kw", "kind", "polarity")).alias("_m")
-    out = both.groupBy("ticker", "source", "title").agg(first)
-    match = F.when(F.col("_m._tier") == 0, "direct").otherwise(F.concat(F.lit("thematic:"), F.col("_m._kw")))
-    return out.select("ticker", "source", "title", "_m.position", "_m.kind", match.alias("match_kind"), "_m.polarity")
+    tags = F.transform(F.array_compact(F.concat(F.coalesce("strategy_tags", F.array().cast("array<string>")), F.array("sector", "industry"))), F.lower)
+    wanted = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.transform(tags, lambda t: F.try_element_at(tag_map, t))))))
+    themed = assets.select("ticker", wanted.alias("wanted")).where(F.size("wanted") > 0)
+    themed = themed.select("ticker", "wanted", F.concat(F.lit("theme:"), F.array_join("wanted", "|")).alias("touch"))
+    themes = themed.select("touch", F.explode("wanted").alias("kw")).distinct()
+    found = keyed.where(broad).select("event_tag", F.explode(present).alias("kw")).distinct()
+    by_theme = found.join(themes, "kw").groupBy("event_tag", "touch").agg(F.min("kw").alias("kw")).join(firsts, "event_tag")
+    by_theme = by_theme.select("event_tag", "source", "touch", "broad.position", F.lit(1).alias("tier"), "kw", "broad.kind", F.lit(0.0).alias("polarity"))
+
+    members = brands.select(F.concat(F.lit("word:"), "word").alias("touch"), "ticker").unionByName(themed.select("touch", "ticker"))
+    return direct.unionByName(by_theme), members
+
+
+def map_impacts(assets: DataFrame, events: DataFrame, tag_keywords: dict[str, tuple[str, ...]] = TAG_KEYWORDS, salts: int = 32) -> DataFrame:
+    """Policy events linked to the names they touch.
+
+    Direct: the brand word is a word of the title.  Thematic: a policy title holds a
+    keyword of one of the asset's tags.  Per asset and (source, title) the first matching
+    event counts, and within it the direct tier, then the first keyword.  The factors are
+    expanded here only: one theme may hold most events, so they are dealt over ``salts``
+    copies of the names.
+    """
+    touches, members = impact_links(assets, events, tag_keywords)
+    salt = F.pmod(F.xxhash64("event_tag"), F.lit(salts)).cast("int")
+    dealt = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = touches.withColumn("salt", salt).join(dealt, ["touch", "salt"])
+    match = F.min(F.struct("position", "tier", "kw", "kind", "polarity", "source")).alias("_m")
+    out = both.groupBy("ticker", "event_tag").agg(match)
+    kind = F.when(F.col("_m.tier") == 0, "direct").otherwise(F.concat(F.lit("thematic:"), F.col("_m.kw")))
+    return out.select("ticker", "_m.source", "_m.position", "_m.kind", kind.alias("match_kind"), "_m.polarity")
 
 
 def top_per_kind(events: DataFrame, n: int = 2) -> DataFrame:
