@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import aligned_lines, best_fit, count_tree, heap_counts, language, license_scan, prefix_trie, repetition, substrings, suffix_dedup, topk_search, transducer
+from . import aligned_lines, best_fit, count_tree, heap_counts, language, license_scan, prefix_trie, repetition, substrings, suffix_dedup, token_alignment, topk_search, transducer
 from .inputs import set_batch_rows, table
 
 
@@ -67,6 +67,10 @@ def op10_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(documents(spark, sf_dir))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_families,
         op9_transducer_round_trip,
         op10_heap_token_counts,
+        op11_token_alignment,
         op12_license_scan,
         op13_prefix_trie,
     )
