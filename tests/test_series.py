@@ -46,6 +46,50 @@ def test_no_block_exceeds_its_size(bars):
     assert df.where("_own").count() == bars.count()
 
 
+def jumping(spark):
+    """A price that falls from a million to a hundredth, stays there, moves, and is flat at last."""
+    rng = np.random.default_rng(11)
+    close = np.r_[1e6 * np.exp(rng.normal(0, 0.01, 700)), np.full(300, 0.01), 0.01 * np.exp(rng.normal(0, 0.3, 900)), np.full(400, 0.07)]
+    pdf = pd.DataFrame({"ticker": "J", "date": pd.bdate_range("2015-01-01", periods=len(close)).date, "open": close, "high": close, "low": close, "close": close, "volume": 1e6})
+    return close, series.with_positions(spark.createDataFrame(pdf))
+
+
+@pytest.mark.parametrize("size", [300, 1100])
+def test_sliding_statistics_of_a_jumping_series(spark, size):
+    close, numbered = jumping(spark)
+    lengths = (20, 50, 200, 252)
+    df = series.add_rolling_means(series.blocks(numbered, 253, size=size), "close", *lengths)
+    df = series.add_sliding(df, "close", 252, {"var": "var", "max": "max", "count": "held", "mean": "mean"})
+    got = collect(series.own_rows(signals.add_return_stats(df)), *[f"_mean_{n}" for n in lengths], "var", "max", "held", "mean", "_mu", "_sigma")["J"]
+    exact = close.astype(np.longdouble)
+    returns = np.log(close[1:] / close[:-1]).astype(np.longdouble)
+    for i in range(len(close)):
+        for n in lengths:
+            want = exact[max(0, i - n + 1) : i + 1].mean()
+            assert abs(got[f"_mean_{n}"][i] - want) <= 1e-12 * want
+        window = exact[max(0, i - 251) : i + 1]
+        assert (got["held"][i], got["max"][i]) == (len(window), window.max())
+        assert abs(got["var"][i] - window.var()) <= 1e-12 * window.max() ** 2 * (len(set(window.tolist())) > 1)
+        if i >= 30:
+            held = returns[max(0, i - 252) : i]
+            assert abs(got["_mu"][i] - held.mean()) <= 1e-12 * np.abs(held).max() and abs(got["_sigma"][i] - held.std()) <= 1e-12 * np.abs(held).max()
+    assert got["_sigma"][len(close) - 1] == 0 and got["_mean_200"][len(close) - 1] == 0.07 and got["var"][960] == 0
+
+
+def test_sliding_statistics_skip_unknown_values(spark):
+    values = [None, 1.0, None, None, 4.0, 2.0, None, None, None, None, 8.0]
+    df = spark.createDataFrame([("T", i + 1, len(values), v) for i, v in enumerate(values)], "ticker string, pos long, n long, v double")
+    names = {"mean": "m", "var": "s", "max": "x", "count": "c"}
+    got = collect(series.own_rows(series.add_sliding(series.blocks(df, 3, size=4), "v", 3, names)), *names.values())["T"]
+    for i in range(len(values)):
+        window = [v for v in values[max(0, i - 2) : i + 1] if v is not None]
+        assert got.c[i] == len(window)
+        if window:
+            assert (got.m[i], got.x[i]) == (np.mean(window), max(window)) and got.s[i] == np.var(window)
+        else:
+            assert pd.isna(got.m[i]) and pd.isna(got.x[i]) and pd.isna(got.s[i])
+
+
 def test_block_must_hold_the_lookback(bars):
     with pytest.raises(ValueError):
         series.blocks(bars, 500, size=300)

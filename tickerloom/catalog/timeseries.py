@@ -61,7 +61,7 @@ SELECT b.ticker, CAST(b.date AS VARCHAR) AS date, {r('e.e12')} AS ema12, {r('e.e
 FROM bars b JOIN ema e ON b.ticker = e.ticker AND b.pos = e.pos"""))
 def macd_ema(spark, sf_dir):
     df = _macd_frame(spark, sf_dir)
-    df = df.withColumn("ema12", series.ema(F.col("close"), 12)).withColumn("ema26", series.ema(F.col("close"), 26))
+    df = series.add_emas(df, "close", {"ema12": 12, "ema26": 26})
     df = series.own_rows(ind.add_macd(df))
     return df.select("ticker", "date", "ema12", "ema26", "macd", "macd_signal", "macd_hist")
 
@@ -122,7 +122,7 @@ def relative_volume(spark, sf_dir):
     return df.select("ticker", "date", "relative_volume")
 
 
-TECH = f"""ti AS (SELECT x.*, CASE WHEN ABS(e.macd - e.sig) < 1e-11 * x.close THEN 0 ELSE e.macd - e.sig END AS hist,
+TECH = f"""ti AS (SELECT x.*, e.macd - e.sig AS hist,
    {_avg('x.close', 20).replace('ticker', 'x.ticker').replace('ORDER BY date', 'ORDER BY x.date').replace('pos', 'x.pos')} AS s20 FROM adx x JOIN ema e ON x.ticker = e.ticker AND x.pos = e.pos),
 ti2 AS (SELECT *, {_avg('close', 50)} AS s50, {_avg('close', 200)} AS s200,
    CASE WHEN pos >= 20 THEN STDDEV_SAMP(close) OVER {rows(20)} END AS sd,

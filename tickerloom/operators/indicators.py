@@ -18,8 +18,6 @@ MACD_SPANS = (12, 26, 9)
 MACD_LOOKBACK = series.ema_lookback(26) + series.ema_lookback(9)
 MACD_BLOCK = series.ema_block(MACD_LOOKBACK, *MACD_SPANS)
 SCORE_LOOKBACK = MACD_LOOKBACK
-# a flat price gives a zero histogram; rounding of the sums must not give it a sign
-MACD_NOISE = 1e-11
 
 
 def add_sma(df: DataFrame, *lengths: int, source: str = "close") -> DataFrame:
@@ -47,11 +45,9 @@ def add_rsi(df: DataFrame, n: int = 14) -> DataFrame:
 
 def add_macd(df: DataFrame, spans: tuple[int, int, int] = MACD_SPANS) -> DataFrame:
     fast, slow, signal = spans
-    df = df.withColumn("macd", series.ema(F.col("close"), fast) - series.ema(F.col("close"), slow))
-    df = df.withColumn("macd_signal", series.ema(F.col("macd"), signal))
-    hist = F.col("macd") - F.col("macd_signal")
-    noise = F.abs(hist) < F.col("close") * MACD_NOISE
-    return df.withColumn("macd_hist", F.when(noise, F.lit(0.0)).otherwise(hist))
+    df = series.add_emas(df, "close", {"_fast": fast, "_slow": slow})
+    df = series.add_emas(df.withColumn("macd", F.col("_fast") - F.col("_slow")), "macd", {"macd_signal": signal})
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
 
 
 def add_bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:

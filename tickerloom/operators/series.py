@@ -107,38 +107,66 @@ def full(expr: Column, rows: int) -> Column:
     return F.when(F.col("pos") >= rows, expr)
 
 
+#: from so many rows on a window is put together from two parts instead of being run through for every row
 LONG_WINDOW = 50
 
 
-def add_rolling_means(df: DataFrame, source: str, *lengths: int, key: str = "ticker", prefix: str = "_mean_") -> DataFrame:
-    """Means of the last n rows (fewer at the start of the series).
+def add_sliding(df: DataFrame, source: str, n: int, names: dict[str, str], key: str = "ticker") -> DataFrame:
+    """Statistics of the last n rows (fewer at the start of the series): mean, var, max or count, by the names given.
 
-    A sliding frame is summed anew for every row, so from `LONG_WINDOW` rows on the
-    mean comes from the block's running sum and its value n rows earlier.  Where all
-    values of the window are equal the mean is that value, without rounding.
+    The series is cut into segments of n rows.  A window of n rows is the end of one
+    segment and the beginning of the next, so running statistics from both ends of every
+    segment give each window by one merge of two parts (count, mean, squared deviations,
+    maximum), whatever n is.  Both parts hold rows of the window only and are sums of
+    differences from a row of theirs: values outside the window leave no rounding behind,
+    and equal values have their own mean and no deviation.  Segments follow the positions,
+    so that blocks and tails of a series give the same doubles.
     """
-    w = ordered(key)
-    if max(lengths) >= LONG_WINDOW:
-        total = F.sum(source).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        df = add_steady_rows(df.withColumn("_running", total), source, key)
-    means = {}
-    for n in lengths:
-        if n < LONG_WINDOW:
-            means[f"{prefix}{n}"] = F.avg(source).over(w.rowsBetween(-(n - 1), 0))
-        else:
-            before = F.coalesce(F.lag("_running", n).over(w), F.lit(0.0))
-            held = F.least(F.col("pos"), F.lit(n))
-            means[f"{prefix}{n}"] = F.when(F.col("_steady") >= held, F.col(source)).otherwise((F.col("_running") - before) / held)
-    return df.withColumns(means).drop("_running", "_steady")
+    df = df.withColumn("_segment", F.floor((F.col("pos") - 1) / F.lit(n)))
+    part = Window.partitionBy(key, "_block", "_segment")
+    moments = "mean" in names or "var" in names
+    for side, order in (("head", F.asc("pos")), ("rest", F.desc("pos"))):
+        running = part.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        found = {f"_{side}_max": F.max(source).over(running)} if "max" in names else {}
+        if moments:
+            df = df.withColumn(f"_{side}_ref", F.first(source, ignorenulls=True).over(running))
+            found[f"_{side}_off"] = F.avg(F.col(source) - F.col(f"_{side}_ref")).over(running)
+        if "var" in names:
+            found[f"_{side}_var"] = F.var_pop(source).over(running)
+        df = df.withColumns({**found, f"_{side}_count": F.count(source).over(running)})
+        if moments:
+            df = df.withColumn(f"_{side}_mean", F.col(f"_{side}_ref") + F.col(f"_{side}_off"))
+    kept = ["count", *(["mean"] if moments else []), *(x for x in ("var", "max") if x in names)]
+    # the end of the earlier segment from the window's first row on; a whole segment is a window of its own
+    df = df.withColumns({f"_old_{x}": F.lag(f"_rest_{x}", n - 1).over(ordered(key)) for x in kept})
+    split = ((F.col("pos") - 1) % n != n - 1) & (F.coalesce(F.col("_old_count"), F.lit(0)) > 0)
+    alone = ~split
+    n1, n2 = F.col("_old_count"), F.col("_head_count")
+    total = n1 + n2
+    out = {"count": F.when(alone, n2).otherwise(total)}
+    if moments:
+        apart = F.col("_head_mean") - F.col("_old_mean")
+        out["mean"] = F.when(alone, F.col("_head_mean")).when(n2 == 0, F.col("_old_mean")).otherwise(F.col("_old_mean") + apart * n2 / total)
+    if "var" in names:
+        both = (F.col("_old_var") * n1 + F.col("_head_var") * n2 + apart * apart * n1 * n2 / total) / total
+        out["var"] = F.when(alone, F.col("_head_var")).when(n2 == 0, F.col("_old_var")).otherwise(both)
+    if "max" in names:
+        out["max"] = F.when(alone, F.col("_head_max")).otherwise(F.greatest("_old_max", "_head_max"))
+    helpers = [f"_{side}_{x}" for side in ("head", "rest", "old") for x in ("ref", "off", "mean", "var", "max", "count")]
+    return df.withColumns({name: out[x] for x, name in names.items()}).drop("_segment", *helpers)
 
 
-def add_steady_rows(df: DataFrame, source: str, key: str = "ticker") -> DataFrame:
-    """`_steady`: how many rows up to this one hold its value without a break, within the block."""
-    w = ordered(key)
-    moved = F.when(~F.col(source).eqNullSafe(F.lag(source).over(w)), F.col("pos"))
-    df = df.withColumn("_moved", moved)
-    since = F.last("_moved", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_steady", F.col("pos") - since + 1).drop("_moved")
+def add_rolling_means(df: DataFrame, source: str, *lengths: int, key: str = "ticker", prefix: str = "_mean_") -> DataFrame:
+    """Means of the last n rows (fewer at the start of the series); equal values have their own mean, without rounding."""
+    short = {}
+    for n in lengths:
+        if n >= LONG_WINDOW:
+            df = add_sliding(df, source, n, {"mean": f"{prefix}{n}"}, key)
+        else:
+            w = last(n, key)
+            flat = F.min(source).over(w) == F.max(source).over(w)
+            short[f"{prefix}{n}"] = F.when(flat, F.col(source)).otherwise(F.avg(source).over(w))
+    return df.withColumns(short)
 
 
 def own_rows(df: DataFrame) -> DataFrame:
@@ -162,16 +190,20 @@ def ema_block(lookback: int, *spans: int) -> int:
     return size
 
 
-def ema(value: Column, span: int, key: str = "ticker") -> Column:
-    """Exponential average seeded with the first value of the block.
+def add_emas(df: DataFrame, source: str, spans: dict[str, int], key: str = "ticker") -> DataFrame:
+    """Exponential averages by name, seeded with the first value of the block.
 
-    A running sum of values scaled by q^-k, scaled back by q^k: one streaming
-    window, no lambda and no list.  The warm-up rows of a block make the seed's
-    weight vanish.
+    A running sum of values scaled by q^-k, scaled back by q^k: one streaming window, no
+    lambda and no list.  The warm-up rows of a block make the seed's weight vanish.
+    Values enter as differences from the seed, so that a flat series stays exactly flat.
     """
-    alpha = 2 / (span + 1)
-    rate = -math.log(1 - alpha)
-    weight = F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     frame = ordered(key).rowsBetween(Window.unboundedPreceding, 0)
-    scaled = F.sum(value * weight * F.exp(F.col("_k") * rate)).over(frame)
-    return scaled * F.exp(-F.col("_k") * rate)
+    df = df.withColumn("_seed", F.first(source).over(frame))
+    out = {}
+    for name, span in spans.items():
+        alpha = 2 / (span + 1)
+        rate = -math.log(1 - alpha)
+        weight = F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+        scaled = F.sum((F.col(source) - F.col("_seed")) * weight * F.exp(F.col("_k") * rate)).over(frame)
+        out[name] = F.col("_seed") + scaled * F.exp(-F.col("_k") * rate)
+    return df.withColumns(out).drop("_seed")

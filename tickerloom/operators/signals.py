@@ -72,8 +72,9 @@ def add_event_radar(df: DataFrame, news_items: Column | None = None, policy_link
     for n in (5, 20, 60, 252):
         df = df.withColumn(f"ret_{n}d", ind.change_over(n, n + 1))
     df = series.add_rolling_means(df, "close", 20, 50)
+    df = series.add_sliding(df, "close", 252, {"max": "_high"})
     df = (
-        df.withColumn("drawdown", pct_change(F.col("close"), F.max("close").over(last(252))))
+        df.withColumn("drawdown", pct_change(F.col("close"), F.col("_high")))
         .withColumn("above_ma20", pct_change(F.col("close"), F.col("_mean_20")))
         .withColumn("above_ma50", pct_change(F.col("close"), F.col("_mean_50")))
         .withColumn("volume_ratio", full(F.try_divide(F.col("volume"), F.avg("volume").over(last(20))), 21))
@@ -128,7 +129,7 @@ def add_event_radar(df: DataFrame, news_items: Column | None = None, policy_link
         .withColumn("exhaustion_score", F.when(enough, rnd(F.least(F.lit(100.0), e), 1)))
         .withColumn("bullish_clues", F.when(enough, bull))
         .withColumn("bearish_clues", F.when(enough, bear))
-        .drop("_breakout", "_exhaustion", "_mean_20", "_mean_50")
+        .drop("_breakout", "_exhaustion", "_mean_20", "_mean_50", "_high")
     )
 
 
@@ -137,24 +138,9 @@ def add_return_stats(df: DataFrame) -> DataFrame:
     if "log_return" not in df.columns:
         df = ind.add_returns(df)
     enough = F.col("pos") >= MIN_BARS + 1
-    w = ordered()
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    # the first bar has no return, so row k of the series holds k - 1 of them
-    held = F.least(F.col("pos") - 1, F.lit(252))
-    ret = F.coalesce(F.col("log_return"), F.lit(0.0))
-    df = df.withColumns({"_s1": F.sum(ret).over(running), "_s2": F.sum(ret * ret).over(running)})
-
-    def mean(total: str) -> Column:
-        return F.try_divide(F.col(total) - F.coalesce(F.lag(total, 252).over(w), F.lit(0.0)), held)
-
-    df = df.withColumns({"_m1": mean("_s1"), "_m2": mean("_s2")})
-    # returns that are all equal have no spread, and their mean no rounding
-    df = series.add_steady_rows(df, "log_return")
-    df = df.withColumn("_m1", F.when(F.col("_steady") >= held, F.col("log_return")).otherwise(F.col("_m1")))
-    df = df.withColumn("_m2", F.when(F.col("_steady") >= held, F.col("_m1") * F.col("_m1")).otherwise(F.col("_m2")))
-    variance = F.greatest(F.lit(0.0), F.col("_m2") - F.col("_m1") * F.col("_m1"))
-    df = df.withColumns({"_mu": F.when(enough, F.col("_m1")), "_sigma": F.when(enough, F.sqrt(variance))})
-    return df.drop("_s1", "_s2", "_m1", "_m2", "_steady")
+    df = series.add_sliding(df, "log_return", 252, {"mean": "_m1", "var": "_v"})
+    df = df.withColumns({"_mu": F.when(enough, F.col("_m1")), "_sigma": F.when(enough, F.sqrt("_v"))})
+    return df.drop("_m1", "_v")
 
 
 def return_band(horizon: Column, mu: str = "_mu", sigma: str = "_sigma") -> dict[str, Column]:
