@@ -34,7 +34,7 @@ def aligned(texts):
     for text in texts:
         groups, a_bytes, b_bytes = [], b"", b""
         if text:
-            a, b = both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
+            a, b = both.library.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
             ends_a = np.cumsum([len(both.a_bytes[i]) for i in a]).tolist()
             ends_b = np.cumsum([len(both.b_bytes[i]) for i in b]).tolist()
             i = j = 0
@@ -63,7 +63,7 @@ def aligned(texts):
 def test_alignment_equals_whole_texts(spark, texts, awkward, segment):
     rows = texts[:60] if segment < T.SEGMENT else texts
     rows = rows + [(r["doc_id"], r["text"]) for r in awkward.collect()]
-    rows += [(900, "x" * 400), (901, "<|endoftext|> </s> <s> a  b \n\n  c "), (902, " "), (903, "  two"), (904, "日本語" * 200 + " end of it"), (905, "  odd　space a b")]
+    rows += [(900, "x" * 400), (901, "<|endoftext|> </s> <s> a  b \n\n  c "), (902, " "), (903, "  two"), (906, "a" + " " * 3000 + "b"), ((1 << 60) + 1, "large id"), (904, "日本語" * 200 + " end of it"), (905, "  odd　space a b")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, rid int")
     got = sorted_rows(T.alignment(df, JSON, PIECES, segment=segment))
     assert got == sorted(((i, *w) for (i, _), w in zip(rows, aligned([t for _, t in rows]))), key=str)

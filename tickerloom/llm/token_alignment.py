@@ -30,10 +30,9 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-import os
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -43,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .best_fit import _LONG_BLANK, byte_level_ranks
 from .digests import ordered_sha256
 from .inputs import id_and_text
 
@@ -145,10 +145,10 @@ class Pair:
     """Two tokenizers: the ids of their tokens, the bytes these stand for, and the pairs that may end together."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
         from sentencepiece import sentencepiece_model_pb2 as pb
-        from tokenizers import Tokenizer
 
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -163,15 +163,17 @@ class Pair:
             raise ValueError("texts have to be taken as they are, with a space before them")
         if any("▁" in p.piece.lstrip("▁") for p in model.pieces if p.type == kinds.NORMAL):
             raise ValueError("an entry reaches across the beginning of a word")
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a_path, self._library = a_path, None
+        ranks = byte_level_ranks(a_path)
+        self.ranked = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
 
         # printable bytes stand for themselves, the others for the code points from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.a_bytes: list[bytes] = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab(with_added_tokens=False).items():
+        vocab = spec["model"]["vocab"]
+        self.a_bytes: list[bytes] = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", ()))]))
+        for token, i in vocab.items():
             if all(c in byte_of for c in token):
                 self.a_bytes[i] = bytes(byte_of[c] for c in token)
         self.b_bytes = [b""] * len(model.pieces)
@@ -206,15 +208,28 @@ class Pair:
         a, b = (np.concatenate([x[k] for x in links]).astype(np.int64) for k in (0, 1))
         return np.searchsorted(self.codes, (a << 32) | b).astype(np.int32)
 
-    def tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    @property
+    def library(self):
+        """The tokenizer of A itself, loaded where it is needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.a_path)
+            self._library.encode_special_tokens = True
+        return self._library
+
+    def a_ids(self, text: str) -> np.ndarray:
+        """Ids from the ranks, which plain byte-level BPE gives alike at a fifth of the time; very long white space needs the tokenizer."""
+        if self.ranked is None or _LONG_BLANK.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
+    def tokens(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """Ids of both sides for texts that begin with a space, and whether both stand for the text's bytes."""
-        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        a_all = encode(texts, add_special_tokens=False)
-        b_all = self.b.encode([t[1:] for t in texts], num_threads=1)
-        for text, a, b in zip(texts, a_all, b_all):
-            a, data = a.ids, text.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
-            yield np.array(a, np.int64), np.array(b, np.int64), same
+        for text in texts:
+            a, b, data = self.a_ids(text), self.b.encode(text[1:], num_threads=1), text.encode()
+            same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
+            yield a, np.array(b, np.int64), same
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -237,9 +252,9 @@ def segments(text: str, size: int = SEGMENT) -> list[tuple[int, str]]:
     return [(int(offsets[i]), text[i:j]) for i, j in zip(chosen, chosen[1:]) if j > i]
 
 
-SEGMENTS = "rid long, doc_id long, no int, parts int, start long, text string"
+SEGMENTS = "rid long, doc_id string, no int, parts int, start long, text string"
 OPEN = "closed boolean, pa array<int>, pb array<int>, sa array<int>, sb array<int>"
-FRAGMENTS = f"rid long, doc_id long, no int, parts int, ok boolean, n_a long, n_b long, n_groups long, links array<int>, groups string, sha256 string, {OPEN}"
+FRAGMENTS = f"rid long, doc_id string, no int, parts int, ok boolean, n_a long, n_b long, n_groups long, links array<int>, groups string, sha256 string, {OPEN}"
 
 
 def fragment_rows(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -249,8 +264,8 @@ def fragment_rows(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
         both = pair(a_path, b_path)
         for frame in frames:
             out = []
-            marked = frame["text"].tolist()
-            for (rid, doc_id, no, parts, start), (a, b, ok) in zip(frame[["rid", "doc_id", "no", "parts", "start"]].itertuples(index=False, name=None), both.tokens(marked)):
+            keys = frame[["rid", "doc_id", "no", "parts", "start"]].itertuples(index=False, name=None)
+            for (rid, doc_id, no, parts, start), (a, b, ok) in zip(keys, both.tokens(frame["text"])):
                 if not ok:
                     out.append((rid, doc_id, no, parts, False, 0, 0, 0, [], None, "", False, [], [], [], []))
                     continue
@@ -356,7 +371,8 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row."""
     both = pair(a_path, b_path)
     texts = id_and_text(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
-    marked = texts.select("rid", "doc_id", F.concat(F.lit(" "), "text").alias("text"))
+    # ids travel as text: a batch with a null id would turn numbers into doubles
+    marked = texts.select("rid", F.col("doc_id").cast("string"), F.concat(F.lit(" "), "text").alias("text"))
     short = marked.where((F.octet_length("text") > 1) & (F.octet_length("text") <= segment))
     one = short.select("rid", "doc_id", F.lit(0).alias("no"), F.lit(1).alias("parts"), F.lit(0).cast("long").alias("start"), "text")
     none = marked.where(F.octet_length("text") <= 1).select("doc_id")
@@ -392,4 +408,4 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     for c in columns[1:-1]:
         zero = zero.withColumn(c, F.lit(0).cast("long"))
     out = done.select(*columns).unionByName(joined_up).unionByName(zero.withColumn("sha256", F.lit("")))
-    return out.withColumnRenamed("sha256", "groups_sha256")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumnRenamed("sha256", "groups_sha256")
