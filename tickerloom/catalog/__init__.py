@@ -6,9 +6,9 @@ from .base import Query
 
 
 def _catalogues():
-    from . import chains, feeds, flows, market, measure, records, runs, scoring, timeseries
+    from . import chains, feeds, flows, market, measure, records, run_logs, runs, scoring, timeseries
 
-    return [m.CATALOGUE for m in (timeseries, market, feeds, scoring, chains, measure, records, flows, runs)]
+    return [m.CATALOGUE for m in (timeseries, market, feeds, scoring, chains, measure, records, run_logs, flows, runs)]
 
 
 def all_queries() -> dict[str, Query]:
