@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import datasets as data
 from ..operators import indicators as ind
-from ..operators import series, signals
+from ..operators import quantiles, series, signals
 from .base import Catalogue
 from .tables_sql import BARS, BENCH, INDEX_BARS, clip, norm_cdf, r, rs, with_
 
@@ -239,6 +239,23 @@ def historical_move(spark, sf_dir):
     return ind.historical_move(data.numbered_bars(spark, sf_dir), 5)
 
 
+@add("return_percentiles", with_(BARS, DELTA, LOGRET, select=f"""
+SELECT ticker, COUNT(lr) AS rows, {r('QUANTILE_CONT(lr, 0.05)')} AS p05, {r('QUANTILE_CONT(lr, 0.5)')} AS median, {r('QUANTILE_CONT(lr, 0.95)')} AS p95 FROM lr GROUP BY ticker"""))
+def return_percentiles(spark, sf_dir):
+    """Exact fifth, fiftieth and ninety-fifth percentiles of each ticker's daily log returns."""
+    daily = series.own_rows(ind.add_returns(_frame(spark, sf_dir, 1))).select("ticker", "log_return")
+    return quantiles.exact_percentiles(daily, "ticker", "log_return", {"p05": 0.05, "median": 0.5, "p95": 0.95})
+
+
+@add("price_percentiles", """
+WITH p AS (SELECT l_returnflag AS flag, l_extendedprice::DOUBLE AS v FROM lineitem)
+SELECT flag, COUNT(*) AS rows, ROUND(QUANTILE_CONT(v, 0.01), 4) AS p01, ROUND(QUANTILE_CONT(v, 0.25), 4) AS p25, ROUND(QUANTILE_CONT(v, 0.5), 4) AS median, ROUND(QUANTILE_CONT(v, 0.999), 4) AS p999 FROM p GROUP BY flag""", digits=4)
+def price_percentiles(spark, sf_dir):
+    """Exact percentiles of the prices of each return flag: a few very large groups."""
+    prices = data.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return quantiles.exact_percentiles(prices, "flag", "l_extendedprice", {"p01": 0.01, "p25": 0.25, "median": 0.5, "p999": 0.999})
+
+
 PRIOR = "(PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 VOTES = f"""vi AS (SELECT *, CASE WHEN pos > 20 THEN MAX(close) OVER {PRIOR} END AS hi, CASE WHEN pos > 20 THEN MIN(close) OVER {PRIOR} END AS lo,
   {_avg('close', 20, 51)} AS fast, {_avg('close', 50, 51)} AS slow, CASE WHEN pos > 63 THEN close / LAG(close, 62) OVER {W} - 1 END AS mom FROM lr),
