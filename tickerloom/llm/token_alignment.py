@@ -7,6 +7,11 @@ and the tokens after the last one (an open suffix); a chunk without such an offs
 open as a whole.  Fragments compose: the suffix of one and the prefix of the next close a
 group, or stay open.  Composition is associative, so chunks may be joined in any tree.
 
+Both tokenizers end a token before a space that begins a word, so the words of a segment
+are its smallest byte ranges: each is aligned as it stands, and the fragments of short
+ones are kept by text (a bounded number, none above ``SHORT`` characters).  A word of many
+bytes is cut into chunks of ``CHUNK`` bytes, which end anywhere.
+
 Texts are cut into segments of about ``SEGMENT`` bytes, at spaces that no token of either
 vocabulary reaches across, and the segments of a long text go to different tasks.  The
 fragments of a segment are composed there; those of a text with several segments go up a
@@ -32,7 +37,7 @@ import hashlib
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -44,10 +49,13 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .best_fit import _LONG_BLANK, byte_level_ranks
 from .digests import ordered_sha256
+from .chunks import pieces
 from .inputs import id_and_text
 
 #: bytes of a chunk and of a segment, and fragments that a node of the tree joins
 CHUNK, SEGMENT, FAN = 8192, 32768, 16
+#: characters of a word that is kept, and words kept (some 30 MB)
+SHORT, KEPT = 48, 100_000
 
 #: a space that begins a word: neither pattern nor vocabulary reaches across the place before it
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -184,10 +192,12 @@ class Pair:
                 self.b_bytes[i] = p.piece.replace("▁", " ").encode()
         self.a_len, self.b_len = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.codes = self._codes()
+        self.kept: dict[str, tuple] = {}
+        self.mark = self.b.piece_to_id("▁")
 
     def _codes(self) -> np.ndarray:
         """All pairs of which one token's bytes end with the other's, as id of A times 2^32 plus id of B, sorted."""
-        found = set()
+        found = []
         sides = []
         for tokens in (self.a_bytes, self.b_bytes):
             held = defaultdict(list)
@@ -196,10 +206,10 @@ class Pair:
                     held[x].append(i)
             sides.append(held)
         for a, x in enumerate(self.a_bytes):
-            found.update((a << 32) | b for cut in range(len(x)) for b in sides[1].get(x[cut:], ()))
+            found += [(a << 32) | b for cut in range(len(x)) for b in sides[1].get(x[cut:], ())]
         for b, x in enumerate(self.b_bytes):
-            found.update((a << 32) | b for cut in range(len(x)) for a in sides[0].get(x[cut:], ()))
-        return np.array(sorted(found), np.int64)
+            found += [(a << 32) | b for cut in range(len(x)) for a in sides[0].get(x[cut:], ())]
+        return np.unique(np.array(found, np.int64))
 
     def code(self, links: list[tuple]) -> np.ndarray:
         """Places in ``codes`` of linked ids."""
@@ -224,12 +234,43 @@ class Pair:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
         return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
-    def tokens(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """Ids of both sides for texts that begin with a space, and whether both stand for the text's bytes."""
-        for text in texts:
-            a, b, data = self.a_ids(text), self.b.encode(text[1:], num_threads=1), text.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
-            yield a, np.array(b, np.int64), same
+    def word(self, text: str) -> tuple[Fragment, int, int] | None:
+        """Fragment of a word with the space before it (which B adds itself) and its tokens of both sides; None if the bytes differ."""
+        spaced = " " + text
+        a, data = self.a_ids(spaced), spaced.encode()
+        b = self.b.encode(text, num_threads=1) if text else [self.mark]  # the library adds no space to nothing
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        b = np.array(b, np.int64)
+        return segment_fragment(a, np.cumsum(self.a_len[a]), b, np.cumsum(self.b_len[b])), len(a), len(b)
+
+    def closed_word(self, text: str) -> tuple[str, bytes, int, int, int] | None:
+        """Groups, codes of links, number of groups and tokens of a word that stands after another."""
+        made = self.word(text)
+        if made is None:
+            return None
+        f = compose(Fragment(True), made[0])
+        return ";".join(f.groups), self.code(f.links).tobytes(), f.n_groups, made[1], made[2]
+
+    def words(self, parts: list[str]) -> list[tuple | None]:
+        """``closed_word`` of every word."""
+        kept, out = self.kept, []
+        for part in parts:
+            found = kept.get(part)
+            if found is None:
+                found = self.closed_word(part)
+                if len(part) <= SHORT and found:
+                    if len(kept) >= KEPT:
+                        kept.clear()
+                    kept[part] = found
+            out.append(found)
+        return out
+
+
+def spaced_words(text: str) -> list[str]:
+    """The words of a text that begins with a space, each without the space before it; white space stays with what follows."""
+    first, *others = pieces(text)
+    return [first[1:], *others] if first else others
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -252,7 +293,7 @@ def segments(text: str, size: int = SEGMENT) -> list[tuple[int, str]]:
     return [(int(offsets[i]), text[i:j]) for i, j in zip(chosen, chosen[1:]) if j > i]
 
 
-SEGMENTS = "rid long, doc_id string, no int, parts int, start long, text string"
+SEGMENTS = "rid long, doc_id string, no int, parts int, text string"
 OPEN = "closed boolean, pa array<int>, pb array<int>, sa array<int>, sb array<int>"
 FRAGMENTS = f"rid long, doc_id string, no int, parts int, ok boolean, n_a long, n_b long, n_groups long, links array<int>, groups string, sha256 string, {OPEN}"
 
@@ -264,18 +305,19 @@ def fragment_rows(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
         both = pair(a_path, b_path)
         for frame in frames:
             out = []
-            keys = frame[["rid", "doc_id", "no", "parts", "start"]].itertuples(index=False, name=None)
-            for (rid, doc_id, no, parts, start), (a, b, ok) in zip(keys, both.tokens(frame["text"])):
-                if not ok:
-                    out.append((rid, doc_id, no, parts, False, 0, 0, 0, [], None, "", False, [], [], [], []))
+            for rid, doc_id, no, parts, text in frame[["rid", "doc_id", "no", "parts", "text"]].itertuples(index=False, name=None):
+                head, n_a, n_b, row = Fragment(), 0, 0, spaced_words(text)
+                if parts > 1:  # the first group may belong to what stands before
+                    head, n_a, n_b = both.word(row.pop(0)) or (None, 0, 0)
+                words = both.words(row) if head else [None]
+                if None in words:
+                    out.append((rid, doc_id, no, parts, False, 0, 0, 0, _NONE, None, "", False, [], [], [], []))
                     continue
-                f = segment_fragment(a, start + np.cumsum(both.a_len[a]), b, start + np.cumsum(both.b_len[b]), start)
-                sha = None
-                if parts == 1:  # nothing stands before it, so its prefix is a group
-                    f = compose(Fragment(True), f)
-                    sha, f.groups = hashlib.sha256(";".join(f.groups).encode()).hexdigest(), []
-                groups = ";".join(f.groups) if f.groups else None
-                out.append((rid, doc_id, no, parts, True, len(a), len(b), f.n_groups, both.code(f.links), groups, sha, f.closed, *f.prefix, *f.suffix))
+                groups = ";".join([*head.groups, *(w[0] for w in words)])
+                links = np.frombuffer(both.code(head.links).tobytes() + b"".join([w[1] for w in words]), np.int32)
+                n_a, n_b = n_a + sum([w[3] for w in words]), n_b + sum([w[4] for w in words])
+                sha = hashlib.sha256(groups.encode()).hexdigest() if parts == 1 else None
+                out.append((rid, doc_id, no, parts, True, n_a, n_b, len(links), links, groups if groups and parts > 1 else None, sha, head.closed, *head.prefix, *head.suffix))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FRAGMENTS.split(", ")])
 
     return rows.mapInPandas(each, FRAGMENTS)
@@ -288,7 +330,7 @@ def text_segments(texts: DataFrame, size: int) -> DataFrame:
         for frame in frames:
             for rid, doc_id, text in frame[["rid", "doc_id", "text"]].itertuples(index=False, name=None):
                 parts = segments(text, size)
-                yield pd.DataFrame([(rid, doc_id, no, len(parts), start, part) for no, (start, part) in enumerate(parts)], columns=["rid", "doc_id", "no", "parts", "start", "text"])
+                yield pd.DataFrame([(rid, doc_id, no, len(parts), part) for no, (_, part) in enumerate(parts)], columns=["rid", "doc_id", "no", "parts", "text"])
 
     return texts.mapInPandas(each, SEGMENTS).repartition("rid", "no")
 
@@ -374,7 +416,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     # ids travel as text: a batch with a null id would turn numbers into doubles
     marked = texts.select("rid", F.col("doc_id").cast("string"), F.concat(F.lit(" "), "text").alias("text"))
     short = marked.where((F.octet_length("text") > 1) & (F.octet_length("text") <= segment))
-    one = short.select("rid", "doc_id", F.lit(0).alias("no"), F.lit(1).alias("parts"), F.lit(0).cast("long").alias("start"), "text")
+    one = short.select("rid", "doc_id", F.lit(0).alias("no"), F.lit(1).alias("parts"), "text")
     none = marked.where(F.octet_length("text") <= 1).select("doc_id")
     many = text_segments(marked.where(F.octet_length("text") > segment), segment)
     rows = cut_lineage(fragment_rows(one, a_path, b_path).unionByName(fragment_rows(many, a_path, b_path)))
