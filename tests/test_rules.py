@@ -283,9 +283,36 @@ def test_two_bars_of_a_day_give_one_answer(spark, random_bars):
     import pandas as pd
 
     from tickerloom.operators import series
-    from tickerloom.operators.outcomes import next_bar_by_day
+    from tickerloom.operators.outcomes import next_bars
 
     bars = random_bars[1].head(40)
     numbered = series.with_positions(spark.createDataFrame(pd.concat([bars, bars.iloc[10:12]])))
-    days = next_bar_by_day(numbered, 5)
-    assert days.count() == days.select("ticker", "target_date").distinct().count()
+    days = next_bars(numbered.withColumnRenamed("date", "target_date"), numbered)
+    assert days.count() == days.select("ticker", "target_date").distinct().count() == 40
+
+
+def test_next_bar_across_long_gaps(spark):
+    import bisect
+    import datetime as dt
+    import random
+    import re
+
+    from tickerloom.operators.outcomes import next_bars
+
+    rng, start = random.Random(6), dt.date(1900, 1, 1)
+    offsets = {"A": sorted(rng.sample(range(400), 90) + [700, 9_000, 50_000]), "B": [60_000], "C": list(range(0, 6_400, 64))}
+    bars = [(t, start + dt.timedelta(d), float(d), i + 1) for t, days in offsets.items() for i, d in enumerate(days)]
+    asked = [(t, d) for t in ("A", "B", "C", "D") for d in [*range(-700, 800, 9), 4_000, 8_999, 9_000, 9_001, 49_000, 50_000, 50_001, 60_000, 60_001, 6_336, 6_337]]
+    numbered = spark.createDataFrame(bars, "ticker string, date date, close double, pos long")
+    keys = spark.createDataFrame([(t, start + dt.timedelta(d)) for t, d in asked * 3 + [(None, 1)]], "ticker string, target_date date")
+    found = next_bars(keys, numbered)
+    exchanges = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().toString())
+    assert exchanges and not any(re.fullmatch(r"ticker#\d+, \d+", x) for x in exchanges)
+    got = {(r.ticker, r.target_date): (r.exit_date, r.exit_price) for r in found.collect()}
+    want = {}
+    for t, d in asked:
+        days = offsets.get(t, [])
+        at = bisect.bisect_left(days, d)
+        if at < len(days):
+            want[t, start + dt.timedelta(d)] = (start + dt.timedelta(days[at]), float(days[at]))
+    assert got == want

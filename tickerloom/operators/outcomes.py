@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bearish, bullish, clamp, rnd_stable
-from . import series
 from .scoring import severity
 
 BUCKETS = ("00-49", "50-64", "65-74", "75-84", "85-100")
@@ -34,20 +33,45 @@ def confidence_bucket(conf: Column) -> Column:
     )
 
 
-def next_bar_by_day(numbered: DataFrame, reach: int) -> DataFrame:
-    """For each (ticker, day): the first bar on or after that day.
+#: places of one bucket, and levels of buckets (64^3 days are 700 years)
+BUCKET_PLACES, BUCKET_LEVELS = 64, 3
 
-    A bar answers for the days since the bar before it; the first bar also for the
-    `reach` days before the series starts.  Of several bars on one day the first
-    answers, so that every day has one answer.  Looking the day up is an equality, so
-    calls never meet bars pairwise and the key is as fine as (ticker, day).
+
+def next_marks(keys: DataFrame, marks: DataFrame, level: int = 0) -> DataFrame:
+    """For each (ticker, place) of ``keys``: the value of the first mark at that place or later.
+
+    A merge by buckets of places.  Keys and marks of a bucket are run through together,
+    latest first; a key with no mark left in its bucket takes the first mark of the next
+    bucket that has one, found in the same way among the buckets' first marks.  So a gap of
+    any length costs no rows, and no window or join is keyed by the ticker alone.  Expects
+    distinct keys and one mark for each ticker and place; the value is null where no mark follows.
+    """
+    bucket = F.floor(F.col("place") / BUCKET_PLACES).alias("bucket")
+    wanted = keys.select("ticker", "place", bucket, F.lit(True).alias("asks"), F.lit(None).cast(marks.schema["value"].dataType).alias("value"))
+    given = marks.select("ticker", "place", bucket, F.lit(False).alias("asks"), "value")
+    # on the lowest level a mark of the same place answers; above it, only later buckets do
+    order = [F.desc("place"), F.asc("asks") if level == 0 else F.desc("asks")]
+    seen = Window.partitionBy("ticker", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    answered = wanted.unionByName(given).withColumn("value", F.last("value", ignorenulls=True).over(seen)).where("asks").drop("asks")
+    if level + 1 < BUCKET_LEVELS:
+        asking = answered.where(F.col("value").isNull()).select("ticker", F.col("bucket").alias("place")).distinct()
+        firsts = given.groupBy("ticker", F.col("bucket").alias("place")).agg(F.min_by("value", "place").alias("value"))
+        later = next_marks(asking, firsts.select("ticker", "place", "value"), level + 1)
+        later = later.select("ticker", F.col("place").alias("bucket"), F.col("value").alias("_later"))
+        answered = answered.join(later, ["ticker", "bucket"], "left").withColumn("value", F.coalesce("value", "_later"))
+    return answered.select("ticker", "place", "value")
+
+
+def next_bars(days: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(ticker, target_date, exit_date, exit_price): the first bar on or after each distinct (ticker, target_date).
+
+    Of several bars on one day the first answers.
     """
-    df = series.blocks(numbered, 1)
-    prev = F.lag("date").over(series.ordered())
-    df = series.own_rows(df.withColumn("_from", F.coalesce(F.date_add(prev, 1), F.date_sub("date", reach))))
-    df = df.where(F.col("_from") <= F.col("date"))
-    days = F.explode(F.sequence(F.col("_from"), F.col("date")))
-    return df.select("ticker", days.alias("target_date"), F.col("date").alias("exit_date"), F.col("close").alias("exit_price"))
+    bar = F.min_by(F.struct("date", "close"), "pos").alias("value")
+    marks = numbered.groupBy("ticker", F.unix_date("date").alias("place")).agg(bar)
+    keys = days.where(F.col("ticker").isNotNull() & F.col("target_date").isNotNull()).select("ticker", F.unix_date("target_date").alias("place")).distinct()
+    found = next_marks(keys, marks).where(F.col("value").isNotNull())
+    return found.select("ticker", F.date_from_unix_date("place").alias("target_date"), F.col("value.date").alias("exit_date"), F.col("value.close").alias("exit_price"))
 
 
 def forward_outcomes(calls: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -62,15 +86,7 @@ def forward_outcomes(calls: DataFrame, numbered: DataFrame) -> DataFrame:
         F.col("as_of").isNotNull() & (F.col("side") != "neutral") & (F.coalesce(F.col("entry_price"), F.lit(0.0)) != 0)
     )
     df = df.withColumn("_live", actionable)
-    bars = next_bar_by_day(numbered, 0)
-    first = numbered.where(F.col("pos") == 1).select(
-        "ticker", F.col("date").alias("_first_date"), F.col("close").alias("_first_close")
-    )
-    df = df.join(bars, ["ticker", "target_date"], "left").join(first, "ticker", "left")
-    early = F.col("exit_date").isNull() & (F.col("target_date") < F.col("_first_date"))
-    df = df.withColumn("exit_price", F.when(early, F.col("_first_close")).otherwise(F.col("exit_price"))).withColumn(
-        "exit_date", F.when(early, F.col("_first_date")).otherwise(F.col("exit_date"))
-    )
+    df = df.join(next_bars(df, numbered), ["ticker", "target_date"], "left")
     status = F.when(~F.col("_live"), "not_actionable").when(F.col("exit_date").isNull(), "pending").otherwise("scored")
     df = df.withColumn("status", status)
     scored = F.col("status") == "scored"
@@ -83,7 +99,7 @@ def forward_outcomes(calls: DataFrame, numbered: DataFrame) -> DataFrame:
         .withColumn("exit_price", F.when(scored, F.col("exit_price")))
         .withColumn("exit_date", F.when(scored, F.col("exit_date")))
         .withColumn("confidence_bucket", confidence_bucket(F.col("confidence_score")))
-        .drop("_live", "_first_date", "_first_close")
+        .drop("_live")
     )
 
 
