@@ -33,7 +33,7 @@ def confidence_bucket(conf: Column) -> Column:
     )
 
 
-#: places of one bucket, and levels of buckets (64^3 days are 700 years)
+#: places of one bucket, and levels of buckets; on the last one all of a ticker's (at most 900 for the dates there are) share a bucket
 BUCKET_PLACES, BUCKET_LEVELS = 64, 3
 
 
@@ -46,14 +46,15 @@ def next_marks(keys: DataFrame, marks: DataFrame, level: int = 0) -> DataFrame:
     any length costs no rows, and no window or join is keyed by the ticker alone.  Expects
     distinct keys and one mark for each ticker and place; the value is null where no mark follows.
     """
-    bucket = F.floor(F.col("place") / BUCKET_PLACES).alias("bucket")
+    last = level + 1 == BUCKET_LEVELS
+    bucket = F.floor((F.col("place") + (1 << 20)) / (1 << 22) if last else F.col("place") / BUCKET_PLACES).alias("bucket")
     wanted = keys.select("ticker", "place", bucket, F.lit(True).alias("asks"), F.lit(None).cast(marks.schema["value"].dataType).alias("value"))
     given = marks.select("ticker", "place", bucket, F.lit(False).alias("asks"), "value")
     # on the lowest level a mark of the same place answers; above it, only later buckets do
     order = [F.desc("place"), F.asc("asks") if level == 0 else F.desc("asks")]
     seen = Window.partitionBy("ticker", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     answered = wanted.unionByName(given).withColumn("value", F.last("value", ignorenulls=True).over(seen)).where("asks").drop("asks")
-    if level + 1 < BUCKET_LEVELS:
+    if not last:
         asking = answered.where(F.col("value").isNull()).select("ticker", F.col("bucket").alias("place")).distinct()
         firsts = given.groupBy("ticker", F.col("bucket").alias("place")).agg(F.min_by("value", "place").alias("value"))
         later = next_marks(asking, firsts.select("ticker", "place", "value"), level + 1)
