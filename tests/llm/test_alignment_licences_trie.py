@@ -107,10 +107,12 @@ def test_segments_are_the_text():
 
 def test_bytes_that_are_not_the_text_are_seen():
     both = T.Pair(JSON, PIECES)
-    assert both.word("a\u2581b") is None and None in both.words(["sound", "a\u2581b"])
-    both.b_bytes[both.b.encode("spoilt")[0]] = b"?"
-    assert both.word("spoilt") is None and both.word("sound") is not None
-    assert len(both.kept) == 1
+    assert [r[2] for r in both.tokens([" a\u2581b", " sound", " "])] == [False, True, False]
+    first = both.b.encode("sound")[0]
+    both.b_table = T.TokenBytes([b"?" * len(x) if i == first else x for i, x in enumerate(both.b_bytes)])
+    assert [r[2] for r in both.tokens([" sound", " a"])] == [False, True]
+    pairs = both.codes[::-7]
+    assert (both.codes[both.code([(pairs >> 32, pairs & 0xFFFFFFFF)])] == pairs).all()
 
 
 # ---- licences

@@ -68,7 +68,9 @@ def op10_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_alignment.alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    docs = documents(spark, sf_dir)
+    set_batch_rows(spark, 200)
+    return token_alignment.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

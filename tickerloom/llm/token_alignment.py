@@ -7,11 +7,6 @@ and the tokens after the last one (an open suffix); a chunk without such an offs
 open as a whole.  Fragments compose: the suffix of one and the prefix of the next close a
 group, or stay open.  Composition is associative, so chunks may be joined in any tree.
 
-Both tokenizers end a token before a space that begins a word, so the words of a segment
-are its smallest byte ranges: each is aligned as it stands, and the fragments of short
-ones are kept by text (a bounded number, none above ``SHORT`` characters).  A word of many
-bytes is cut into chunks of ``CHUNK`` bytes, which end anywhere.
-
 Texts are cut into segments of about ``SEGMENT`` bytes, at spaces that no token of either
 vocabulary reaches across, and the segments of a long text go to different tasks.  The
 fragments of a segment are composed there; those of a text with several segments go up a
@@ -37,7 +32,7 @@ import hashlib
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -49,13 +44,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .best_fit import _LONG_BLANK, byte_level_ranks
 from .digests import ordered_sha256
-from .chunks import pieces
 from .inputs import id_and_text
 
 #: bytes of a chunk and of a segment, and fragments that a node of the tree joins
 CHUNK, SEGMENT, FAN = 8192, 32768, 16
-#: characters of a word that is kept, and words kept (some 30 MB)
-SHORT, KEPT = 48, 100_000
 
 #: a space that begins a word: neither pattern nor vocabulary reaches across the place before it
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -97,45 +89,44 @@ def compose(f: Fragment, g: Fragment) -> Fragment:
     return Fragment(True, f.prefix, groups, f.n_groups + 1 + g.n_groups, links, g.suffix)
 
 
-_shown: dict[str, np.ndarray] = {}
+class PairTexts(dict):
+    """Text of a group of one token of each side; filled as pairs occur, and there are no more than the vocabularies allow."""
+
+    def __missing__(self, pair: int) -> str:
+        text = self[pair] = f"{pair >> 32}|{pair & 0xFFFFFFFF}"
+        return text
 
 
-def shown(mark: str, most: int) -> np.ndarray:
-    """Decimal ids with a mark after each, by id."""
-    if mark not in _shown or len(_shown[mark]) <= most:
-        _shown[mark] = np.array([f"{i}{mark}" for i in range(max(most + 1, 1 << 16))], dtype=object)
-    return _shown[mark]
+_texts = PairTexts()
 
 
 def closed_text(a: np.ndarray, last_a: np.ndarray, b: np.ndarray, last_b: np.ndarray) -> str:
     """Groups of tokens, given the place of each group's last token on both sides."""
-    texts = []
-    sides = []
-    for side, (ids, last, mark) in enumerate(((a, last_a, "|"), (b, last_b, ";"))):
-        most = int(ids.max())
-        text = shown(",", most)[ids]
-        text[last] = shown(mark, most)[ids[last]]
-        texts.append(text)
-        group = np.zeros(len(ids), np.int64)
-        group[last[:-1] + 1] = 1
-        sides.append(2 * np.cumsum(group) + side)
-    order = np.argsort(np.concatenate(sides), kind="stable")
-    return "".join(np.concatenate(texts)[order])[:-1]
+    texts = list(map(_texts.__getitem__, ((a[last_a] << 32) | b[last_b]).tolist()))
+    from_a, from_b = np.r_[0, last_a[:-1] + 1], np.r_[0, last_b[:-1] + 1]
+    longer = np.flatnonzero((last_a > from_a) | (last_b > from_b))
+    a, b = a.tolist(), b.tolist()
+    for k, i, j, m, n in zip(*(x.tolist() for x in (longer, from_a[longer], last_a[longer] + 1, from_b[longer], last_b[longer] + 1))):
+        texts[k] = group_text((a[i:j], b[m:n]))
+    return ";".join(texts)
 
 
 def chunk_fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Fragment:
     """The fragment of the tokens that end in one chunk."""
-    both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    if not len(both):
+    if not len(a) or not len(b):
+        return Fragment(prefix=(a.tolist(), b.tolist()))
+    near = np.minimum(np.searchsorted(b_ends, a_ends), len(b) - 1)
+    at_a = np.flatnonzero(b_ends[near] == a_ends)
+    at_b = near[at_a]
+    if not len(at_a):
         return Fragment(prefix=(a.tolist(), b.tolist()))
-    at_a, at_b = np.searchsorted(a_ends, both), np.searchsorted(b_ends, both)
     first = (a[: at_a[0] + 1].tolist(), b[: at_b[0] + 1].tolist())
     rest = (a[at_a[-1] + 1 :].tolist(), b[at_b[-1] + 1 :].tolist())
-    if len(both) == 1:
+    if len(at_a) == 1:
         return Fragment(True, first, suffix=rest)
     in_a, in_b = a[at_a[0] + 1 : at_a[-1] + 1], b[at_b[0] + 1 : at_b[-1] + 1]
     text = closed_text(in_a, at_a[1:] - at_a[0] - 1, in_b, at_b[1:] - at_b[0] - 1)
-    return Fragment(True, first, [text], len(both) - 1, [(a[at_a[1:]], b[at_b[1:]])], rest)
+    return Fragment(True, first, [text], len(at_a) - 1, [(a[at_a[1:]], b[at_b[1:]])], rest)
 
 
 def segment_fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, start: int = 0, chunk: int = CHUNK) -> Fragment:
@@ -149,6 +140,24 @@ def segment_fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: n
     return reduce(compose, parts, Fragment())
 
 
+class TokenBytes:
+    """The bytes of all tokens in one row, to compare many at once."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.length = np.array([len(x) for x in tokens], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.row = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def same(self, ids: np.ndarray, data: np.ndarray) -> bool:
+        """Do the tokens, none of them empty, join to the data?"""
+        length = self.length[ids]
+        if length.sum() != len(data) or not length.all():
+            return False
+        ends = np.cumsum(length)
+        at = np.arange(len(data)) + np.repeat(self.first[ids] - ends + length, length)
+        return bool((self.row[at] == data).all())
+
+
 class Pair:
     """Two tokenizers: the ids of their tokens, the bytes these stand for, and the pairs that may end together."""
 
@@ -190,10 +199,12 @@ class Pair:
                 self.b_bytes[i] = bytes([int(p.piece[1:-1], 16)])
             elif p.type == kinds.NORMAL:
                 self.b_bytes[i] = p.piece.replace("▁", " ").encode()
-        self.a_len, self.b_len = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.a_table, self.b_table = TokenBytes(self.a_bytes), TokenBytes(self.b_bytes)
+        self.a_len, self.b_len = self.a_table.length, self.b_table.length
         self.codes = self._codes()
-        self.kept: dict[str, tuple] = {}
-        self.mark = self.b.piece_to_id("▁")
+        # a pair's place by a hash of it; of pairs with one hash the last has the place
+        self.hashed = np.zeros(1 << 21, np.int32)
+        self.hashed[self._hash(self.codes)] = np.arange(len(self.codes))
 
     def _codes(self) -> np.ndarray:
         """All pairs of which one token's bytes end with the other's, as id of A times 2^32 plus id of B, sorted."""
@@ -211,12 +222,20 @@ class Pair:
             found += [(a << 32) | b for cut in range(len(x)) for a in sides[0].get(x[cut:], ())]
         return np.unique(np.array(found, np.int64))
 
+    def _hash(self, pairs: np.ndarray) -> np.ndarray:
+        mixed = (pairs ^ (pairs >> 32)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pairs.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (mixed >> np.uint64(43)).astype(np.int64)
+
     def code(self, links: list[tuple]) -> np.ndarray:
         """Places in ``codes`` of linked ids."""
         if not links:
             return _NONE
         a, b = (np.concatenate([x[k] for x in links]).astype(np.int64) for k in (0, 1))
-        return np.searchsorted(self.codes, (a << 32) | b).astype(np.int32)
+        pairs = (a << 32) | b
+        place = self.hashed[self._hash(pairs)]
+        other = np.flatnonzero(self.codes[place] != pairs)
+        place[other] = np.searchsorted(self.codes, pairs[other])
+        return place
 
     @property
     def library(self):
@@ -228,49 +247,18 @@ class Pair:
             self._library.encode_special_tokens = True
         return self._library
 
-    def a_ids(self, text: str) -> np.ndarray:
+    def a_ids(self, text: str) -> list[int]:
         """Ids from the ranks, which plain byte-level BPE gives alike at a fifth of the time; very long white space needs the tokenizer."""
         if self.ranked is None or _LONG_BLANK.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
-        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
-
-    def word(self, text: str) -> tuple[Fragment, int, int] | None:
-        """Fragment of a word with the space before it (which B adds itself) and its tokens of both sides; None if the bytes differ."""
-        spaced = " " + text
-        a, data = self.a_ids(spaced), spaced.encode()
-        b = self.b.encode(text, num_threads=1) if text else [self.mark]  # the library adds no space to nothing
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
-            return None
-        b = np.array(b, np.int64)
-        return segment_fragment(a, np.cumsum(self.a_len[a]), b, np.cumsum(self.b_len[b])), len(a), len(b)
-
-    def closed_word(self, text: str) -> tuple[str, bytes, int, int, int] | None:
-        """Groups, codes of links, number of groups and tokens of a word that stands after another."""
-        made = self.word(text)
-        if made is None:
-            return None
-        f = compose(Fragment(True), made[0])
-        return ";".join(f.groups), self.code(f.links).tobytes(), f.n_groups, made[1], made[2]
-
-    def words(self, parts: list[str]) -> list[tuple | None]:
-        """``closed_word`` of every word."""
-        kept, out = self.kept, []
-        for part in parts:
-            found = kept.get(part)
-            if found is None:
-                found = self.closed_word(part)
-                if len(part) <= SHORT and found:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[part] = found
-            out.append(found)
-        return out
-
-
-def spaced_words(text: str) -> list[str]:
-    """The words of a text that begins with a space, each without the space before it; white space stays with what follows."""
-    first, *others = pieces(text)
-    return [first[1:], *others] if first else others
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
+
+    def tokens(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Ids of both sides for texts that begin with a space, and whether both stand for the text's bytes."""
+        for text in texts:
+            a, b = np.array(self.a_ids(text), np.int64), np.array(self.b.encode(text[1:], num_threads=1), np.int64)
+            data = np.frombuffer(text.encode(), np.uint8)
+            yield a, b, self.a_table.same(a, data) and self.b_table.same(b, data)
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -293,7 +281,7 @@ def segments(text: str, size: int = SEGMENT) -> list[tuple[int, str]]:
     return [(int(offsets[i]), text[i:j]) for i, j in zip(chosen, chosen[1:]) if j > i]
 
 
-SEGMENTS = "rid long, doc_id string, no int, parts int, text string"
+SEGMENTS = "rid long, doc_id string, no int, parts int, start long, text string"
 OPEN = "closed boolean, pa array<int>, pb array<int>, sa array<int>, sb array<int>"
 FRAGMENTS = f"rid long, doc_id string, no int, parts int, ok boolean, n_a long, n_b long, n_groups long, links array<int>, groups string, sha256 string, {OPEN}"
 
@@ -305,19 +293,18 @@ def fragment_rows(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
         both = pair(a_path, b_path)
         for frame in frames:
             out = []
-            for rid, doc_id, no, parts, text in frame[["rid", "doc_id", "no", "parts", "text"]].itertuples(index=False, name=None):
-                head, n_a, n_b, row = Fragment(), 0, 0, spaced_words(text)
-                if parts > 1:  # the first group may belong to what stands before
-                    head, n_a, n_b = both.word(row.pop(0)) or (None, 0, 0)
-                words = both.words(row) if head else [None]
-                if None in words:
-                    out.append((rid, doc_id, no, parts, False, 0, 0, 0, _NONE, None, "", False, [], [], [], []))
+            keys = frame[["rid", "doc_id", "no", "parts", "start"]].itertuples(index=False, name=None)
+            for (rid, doc_id, no, parts, start), (a, b, ok) in zip(keys, both.tokens(frame["text"])):
+                if not ok:
+                    out.append((rid, doc_id, no, parts, False, 0, 0, 0, [], None, "", False, [], [], [], []))
                     continue
-                groups = ";".join([*head.groups, *(w[0] for w in words)])
-                links = np.frombuffer(both.code(head.links).tobytes() + b"".join([w[1] for w in words]), np.int32)
-                n_a, n_b = n_a + sum([w[3] for w in words]), n_b + sum([w[4] for w in words])
-                sha = hashlib.sha256(groups.encode()).hexdigest() if parts == 1 else None
-                out.append((rid, doc_id, no, parts, True, n_a, n_b, len(links), links, groups if groups and parts > 1 else None, sha, head.closed, *head.prefix, *head.suffix))
+                f = segment_fragment(a, start + np.cumsum(both.a_len[a]), b, start + np.cumsum(both.b_len[b]), start)
+                sha = None
+                if parts == 1:  # nothing stands before it, so its prefix is a group
+                    f = compose(Fragment(True), f)
+                    sha, f.groups = hashlib.sha256(";".join(f.groups).encode()).hexdigest(), []
+                groups = ";".join(f.groups) if f.groups else None
+                out.append((rid, doc_id, no, parts, True, len(a), len(b), f.n_groups, both.code(f.links), groups, sha, f.closed, *f.prefix, *f.suffix))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FRAGMENTS.split(", ")])
 
     return rows.mapInPandas(each, FRAGMENTS)
@@ -330,7 +317,7 @@ def text_segments(texts: DataFrame, size: int) -> DataFrame:
         for frame in frames:
             for rid, doc_id, text in frame[["rid", "doc_id", "text"]].itertuples(index=False, name=None):
                 parts = segments(text, size)
-                yield pd.DataFrame([(rid, doc_id, no, len(parts), part) for no, (_, part) in enumerate(parts)], columns=["rid", "doc_id", "no", "parts", "text"])
+                yield pd.DataFrame([(rid, doc_id, no, len(parts), start, part) for no, (start, part) in enumerate(parts)], columns=["rid", "doc_id", "no", "parts", "start", "text"])
 
     return texts.mapInPandas(each, SEGMENTS).repartition("rid", "no")
 
@@ -416,7 +403,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     # ids travel as text: a batch with a null id would turn numbers into doubles
     marked = texts.select("rid", F.col("doc_id").cast("string"), F.concat(F.lit(" "), "text").alias("text"))
     short = marked.where((F.octet_length("text") > 1) & (F.octet_length("text") <= segment))
-    one = short.select("rid", "doc_id", F.lit(0).alias("no"), F.lit(1).alias("parts"), "text")
+    one = short.select("rid", "doc_id", F.lit(0).alias("no"), F.lit(1).alias("parts"), F.lit(0).cast("long").alias("start"), "text")
     none = marked.where(F.octet_length("text") <= 1).select("doc_id")
     many = text_segments(marked.where(F.octet_length("text") > segment), segment)
     rows = cut_lineage(fragment_rows(one, a_path, b_path).unionByName(fragment_rows(many, a_path, b_path)))
