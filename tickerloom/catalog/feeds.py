@@ -168,13 +168,17 @@ def social_mood(spark, sf_dir):
 
 
 NEWS_MOOD = f"""nmood AS (SELECT ticker, COUNT(*) AS message_count, SUM(CASE WHEN p > n THEN 1 ELSE 0 END)::BIGINT AS bullish, SUM(CASE WHEN n > p THEN 1 ELSE 0 END)::BIGINT AS bearish FROM pol GROUP BY 1),
-allm AS (SELECT ticker, role AS source, CASE role WHEN 'user' THEN 1 ELSE 2 END AS pr, message_count, bullish, bearish, net_sentiment FROM mood WHERE LENGTH(ticker) % 2 = 0
+allm AS (SELECT ticker, role AS source, CASE role WHEN 'user' THEN 1 ELSE 2 END AS pr, CASE WHEN LENGTH(ticker) % 2 = 0 THEN message_count ELSE 0 END AS message_count, bullish, bearish, net_sentiment FROM mood
   UNION ALL SELECT ticker, 'news_derived', 9, message_count, bullish, bearish, COALESCE({rs('(bullish - bearish)::DOUBLE / NULLIF(bullish + bearish, 0)', 3)}, 0) FROM nmood)"""
 
 
 def chosen_mood(spark, sf_dir):
-    """Best available mood source per ticker; the news-derived one is last."""
-    social = moods(spark, sf_dir).where(F.length("ticker") % 2 == 0)
+    """Best available mood source per ticker; the news-derived one is last.
+
+    Social sources count no messages for the tickers of odd length, so both ways occur.
+    """
+    social = moods(spark, sf_dir)
+    social = social.withColumn("message_count", F.when(F.length("ticker") % 2 == 0, F.col("message_count")).otherwise(0))
     social = social.withColumnRenamed("role", "source").withColumn("priority", F.when(F.col("source") == "user", 1).otherwise(2))
     from_news = news(spark, sf_dir).withColumn("label", tx.post_class(F.col("title"), POS, NEG))
     derived = ops.label_tally(from_news, ["ticker"]).withColumn("source", F.lit("news_derived")).withColumn("priority", F.lit(9))
@@ -216,7 +220,7 @@ def daily_read_quota(spark, sf_dir):
 
 
 SENT = f"""s15 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, priority, news_id) AS rn FROM pol) WHERE rn <= 15),
-sn AS (SELECT ticker, AVG(polarity) AS ap, COUNT(*) AS hc, SUM(CASE WHEN polarity > 0 THEN 1 ELSE 0 END)::BIGINT AS pc, SUM(CASE WHEN polarity < 0 THEN 1 ELSE 0 END)::BIGINT AS nc FROM s15 WHERE LENGTH(ticker) = 8 GROUP BY 1),
+sn AS (SELECT ticker, AVG(polarity) AS ap, COUNT(*) AS hc, SUM(CASE WHEN polarity > 0 THEN 1 ELSE 0 END)::BIGINT AS pc, SUM(CASE WHEN polarity < 0 THEN 1 ELSE 0 END)::BIGINT AS nc FROM s15 GROUP BY 1),
 ss AS (SELECT ticker, net_sentiment FROM mood WHERE role = 'user' AND bullish + bearish > 0),
 sj AS (SELECT COALESCE(sn.ticker, ss.ticker) AS ticker, ap, hc, pc, nc, net_sentiment FROM sn FULL JOIN ss ON sn.ticker = ss.ticker)"""
 
@@ -224,8 +228,8 @@ sj AS (SELECT COALESCE(sn.ticker, ss.ticker) AS ticker, ap, hc, pc, nc, net_sent
 @add("sentiment_score", with_(NEWS, NEWS_O, POL, POSTS, TALLY, SENT, select=f"""
 SELECT ticker, {r('ap')} AS avg_polarity, hc AS headline_count, pc AS positive_count, nc AS negative_count, net_sentiment, {r(clip('COALESCE(0.75::DOUBLE * (50 + ap * 35) + 0.25::DOUBLE * (50 + net_sentiment * 15), 50 + ap * 35, 50 + net_sentiment * 15)'))} AS sentiment FROM sj"""))
 def sentiment_score(spark, sf_dir):
-    """News for the two-digit tickers, social mood for all."""
-    heads = news(spark, sf_dir).where(F.length("ticker") == 8)
+    """News and the users' social mood, blended per ticker."""
+    heads = news(spark, sf_dir)
     social = moods(spark, sf_dir).where(F.col("role") == "user")
     return ops.sentiment(heads, social, POS, NEG)
 

@@ -34,15 +34,16 @@ def _pivot_sql(where: str) -> str:
 @add("macro_snapshot", with_(MACRO, LATEST, select=f"""
 SELECT CAST(DATE_TRUNC('year', date) AS DATE)::VARCHAR AS year, CASE WHEN MAX(CASE WHEN source = 'official' THEN 1 ELSE 0 END) = 1 THEN 'official' ELSE 'keyless' END AS macro_source,
   {', '.join(f"{r(f'''CASE WHEN MAX(CASE WHEN source = 'official' THEN 1 ELSE 0 END) = 1 THEN MAX(CASE WHEN source = 'official' AND series = '{s}' THEN v END) ELSE MAX(CASE WHEN source <> 'official' AND series = '{s}' THEN v END) END''')} AS {s}" for s in SNAP_SERIES)}
-FROM (SELECT *, TRY_CAST(value AS DOUBLE) AS v FROM macro_obs) WHERE v IS NOT NULL AND NOT (source = 'official' AND YEAR(date) % 2 = 0) GROUP BY 1"""))
+FROM (SELECT *, TRY_CAST(CASE WHEN source = 'official' AND YEAR(date) % 2 = 0 THEN '.' ELSE value END AS DOUBLE) AS v FROM macro_obs) WHERE v IS NOT NULL GROUP BY 1"""))
 def macro_snapshot(spark, sf_dir):
     """Wide snapshot per year: official readings first, keyless ones otherwise.
 
-    Official readings of even years are left out, so both ways occur.
+    Official readings of even years are blank, so both ways occur.
     """
     obs = data.macro_observations(spark, sf_dir)
+    blank = (F.col("source") == "official") & (F.year("date") % 2 == 0)
+    obs = obs.withColumn("value", F.when(blank, ".").otherwise(F.col("value")))
     known = obs.withColumn("value", macro.reading(F.col("value"))).where(F.col("value").isNotNull())
-    known = known.where((F.col("source") != "official") | (F.year("date") % 2 != 0))
     yearly = known.withColumn("year", F.to_date(F.date_trunc("year", "date")))
     return macro.snapshot(yearly, ["year"]).select("year", "macro_source", *SNAP_SERIES)
 
@@ -183,7 +184,7 @@ def fundamental_score(spark, sf_dir):
 
 
 CURATED = """curated AS (SELECT CAST(o_orderdate AS DATE) AS date, CASE MIN(o_custkey) % 3 WHEN 0 THEN 'fomc' WHEN 1 THEN 'cpi' ELSE 'gdp' END AS kind,
-  CASE MIN(o_custkey) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'high' ELSE 'low' END AS impact FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING MIN(o_orderkey) % 10 = 0)"""
+  CASE MIN(o_custkey) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'high' ELSE 'low' END AS impact FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)"""
 RULES = """rules AS (SELECT d::DATE AS date, 'nfp' AS kind, 'high' AS impact, 'Non-farm payrolls / jobs report' AS title FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 DAY) t(d)
    WHERE isodow(d) = 5 AND day(d) <= 7
   UNION ALL SELECT d::DATE, 'jobless_claims', 'medium', 'Initial jobless claims' FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) = 4),
@@ -191,13 +192,11 @@ cal AS (SELECT date, kind, impact, kind || ' release' AS title FROM curated UNIO
 
 
 def curated_dates(spark, sf_dir):
-    """Published dates: a tenth of the days that carried an urgent order."""
+    """Published dates: the days that carried an urgent order."""
     urgent = data.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-    days = urgent.groupBy(F.to_date("o_orderdate").alias("date")).agg(
-        F.min("o_custkey").alias("c"), F.min("o_orderkey").alias("k")
-    )
+    days = urgent.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.min("o_custkey").alias("c"))
     kind = F.when(F.col("c") % 3 == 0, "fomc").when(F.col("c") % 3 == 1, "cpi").otherwise("gdp")
-    return days.where(F.col("k") % 10 == 0).select(
+    return days.select(
         "date",
         kind.alias("kind"),
         F.concat(kind, F.lit(" release")).alias("title"),
@@ -243,12 +242,11 @@ def calendar_load(spark, sf_dir):
 
 EARN = """earn AS (SELECT ticker, COALESCE(nx, ps) AS d, nx IS NULL AND ps IS NOT NULL AS est FROM (
   SELECT 'Brand#' || CAST(1 + o_custkey % 25 AS VARCHAR) AS ticker, MIN(CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1998-06-15' THEN CAST(o_orderdate AS DATE) END) AS nx,
-    MAX(CASE WHEN CAST(o_orderdate AS DATE) < DATE '1998-06-15' THEN CAST(o_orderdate AS DATE) END) AS ps FROM orders WHERE o_totalprice > 490000 GROUP BY 1))"""
+    MAX(CASE WHEN CAST(o_orderdate AS DATE) < DATE '1998-06-15' THEN CAST(o_orderdate AS DATE) END) AS ps FROM orders GROUP BY 1))"""
 
 
 def report_dates(spark, sf_dir):
-    big = data.table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 490000)
-    return big.select(
+    return data.table(spark, sf_dir, "orders").select(
         F.concat(F.lit("Brand#"), (1 + F.col("o_custkey") % 25).cast("string")).alias("ticker"),
         F.to_date("o_orderdate").alias("date"),
     )

@@ -35,8 +35,8 @@ mk AS (SELECT *, {market.REG_LABEL} AS regime FROM mk1)"""
 ENGINES = f"""sopt AS (SELECT ticker, {chains.OPTIONS_SCORE} AS c_options_intelligence, avg_iv, total_oi FROM metrics QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY dte) = 1),
 s15 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY published_at DESC NULLS LAST, priority, news_id) AS rn FROM pol) WHERE rn <= 15),
 smood AS (SELECT ticker, {clip('50 + AVG(polarity) * 35')} AS c_sentiment, COUNT(*) AS news_items FROM s15 GROUP BY 1),
-sfund AS (SELECT 'Brand#' || CAST(1 + cik % 25 AS VARCHAR) AS ticker, CASE WHEN COALESCE(revenue, net_income, assets, liabilities, stockholders_equity, cash) IS NOT NULL THEN {market.FUND} END AS c_fundamentals
-  FROM (SELECT *, net_income / NULLIF(revenue, 0) * 100 AS m, liabilities / NULLIF(stockholders_equity, 0) AS de FROM facts WHERE cik < 25)),
+sfund AS (SELECT cik AS ticker, CASE WHEN COALESCE(revenue, net_income, assets, liabilities, stockholders_equity, cash) IS NOT NULL THEN {market.FUND} END AS c_fundamentals
+  FROM (SELECT *, net_income / NULLIF(revenue, 0) * 100 AS m, liabilities / NULLIF(stockholders_equity, 0) AS de FROM facts)),
 slink AS (SELECT SPLIT_PART(ticker, '.', 1) AS ticker, COUNT(*) AS policy_links FROM impacts GROUP BY 1),
 sworld AS (SELECT ticker, AVG(ABS(corr)) AS avg_abs_corr FROM gc GROUP BY 1),
 srs AS (SELECT ticker, CASE WHEN rs IS NOT NULL THEN {clip('50 + ' + clip('rs * 1.2::DOUBLE', -20, 20))} END AS c_cross_market_correlation FROM rstr WHERE pos = n),
@@ -57,7 +57,7 @@ LEVELS = f"""g0 AS (SELECT *, {r('current_price * (1 + (CASE WHEN dn AND ret > 0
   CASE WHEN ret IS NOT NULL THEN {r('current_price + (CASE WHEN dn THEN 1 ELSE -1 END) * (CASE WHEN atr > 0 THEN LEAST(GREATEST(1.5 * atr, current_price * 0.025::DOUBLE), current_price * 0.10::DOUBLE) ELSE current_price * LEAST(GREATEST(COALESCE(ABS(p05) / 100 * 0.75::DOUBLE, 0.045), 0.035), 0.095) END)', 4)} END AS stop FROM x14)"""
 SCAN_SQL = (
     *TECH_PARTS, PATTERNS, SIGNED, PV, LOGRET, VOTES, STATS, BENCH, JOINT, INDEX_BARS, GC, GCP, CHAIN, chains.METRICS, NEWS, feeds.NEWS_O,
-    feeds.polarity_cte(feeds.tx.NEWS_POSITIVE, feeds.tx.NEWS_NEGATIVE), GOV_EVENTS, ASSETS, feeds.IMPACT, MACRO, market.LATEST, market.FACTS, market.CURATED, market.RULES,
+    feeds.polarity_cte(feeds.tx.NEWS_POSITIVE, feeds.tx.NEWS_NEGATIVE), GOV_EVENTS, ASSETS, feeds.IMPACT, MACRO, market.LATEST, market.FACTS.replace("SELECT o_custkey AS cik", "SELECT 'Brand#' || CAST(1 + o_custkey % 25 AS VARCHAR) AS cik"), market.CURATED, market.RULES,
     market.EARN.replace("1998-06-15", "2001-11-30"), _regime_rows, MARKET_SQL, ENGINES, WEIGHTS, BLEND_MATH, CONTEXT, RISK, CONF, COVER, LEVELS, GATE_STEPS,
 )
 SCAN_SELECT = f"""ticker, direction, {r('opp')} AS opportunity_score, {r('conf')} AS confidence, {r('risk_score')} AS risk_score, risk_level,
@@ -69,8 +69,9 @@ def tables(spark, sf_dir) -> plan.ScanTables:
     """Scan inputs from the given tables."""
     # three engines read the bars; their lineage is cut once instead of run three times
     bars = cut_lineage(data.numbered_bars(spark, sf_dir))
-    facts = filings.latest_facts(market.fact_rows(spark, sf_dir)).where(F.col("cik") < 25)
+    # a ticker is one company here, whose filings come under several numbers
     ticker = F.concat(F.lit("Brand#"), (1 + F.col("cik") % 25).cast("string"))
+    facts = filings.latest_facts(market.fact_rows(spark, sf_dir).withColumn("cik", ticker))
     links = txt.map_impacts(data.assets(spark, sf_dir), data.gov_events(spark, sf_dir), feeds.TAGS)
     links = links.withColumn("ticker", F.substring_index("ticker", ".", 1))
     latest = macro.latest_observation(data.macro_observations(spark, sf_dir))
@@ -86,7 +87,7 @@ def tables(spark, sf_dir) -> plan.ScanTables:
         macro=both,
         headlines=feeds.news(spark, sf_dir),
         social=None,
-        facts=facts.withColumn("ticker", ticker),
+        facts=facts.withColumnRenamed("cik", "ticker"),
         links=links,
         events=data.gov_events(spark, sf_dir),
         calendar=market.calendar(spark, sf_dir),
