@@ -595,23 +595,24 @@ def contract_quote(spark, sf_dir):
 SOURCES = {"broker": 0, "delayed": 1}
 
 
-@add("chain_fallback", with_(CHAIN, """cs AS (SELECT ticker, contract_id, s FROM (SELECT *, UNNEST([0, 1]) AS s FROM chain) WHERE s = 1 OR (LENGTH(ticker) = 7 AND contract_id % 3 = 0)),
+@add("chain_fallback", with_(CHAIN, """cs AS (SELECT ticker, contract_id, CASE WHEN LENGTH(ticker) = 7 AND contract_id % 3 = 0 THEN 0 ELSE 1 END AS s FROM chain),
 cw AS (SELECT ticker, MIN(s) AS s FROM cs GROUP BY 1)""", select="SELECT c.ticker, ['broker', 'delayed'][c.s + 1] AS source, COUNT(*) AS contracts FROM cs c JOIN cw w ON w.ticker = c.ticker AND w.s = c.s GROUP BY 1, 2"))
 def chain_fallback(spark, sf_dir):
     """Contracts per ticker from the first source that has a chain."""
-    both = contracts(spark, sf_dir).withColumn("source", F.explode(F.array(F.lit("broker"), F.lit("delayed"))))
-    held = both.where((F.col("source") == "delayed") | ((F.length("ticker") == 7) & (F.col("contract") % 3 == 0)))
+    broker = (F.length("ticker") == 7) & (F.col("contract") % 3 == 0)
+    held = contracts(spark, sf_dir).withColumn("source", F.when(broker, "broker").otherwise("delayed"))
     kept = opt.chain_with_fallback(held, SOURCES)
     return kept.groupBy("ticker", "source").agg(F.count(F.lit(1)).alias("contracts"))
 
 
 @add("expected_move", with_(BARS, CHAIN, METRICS, DELTA, LOGRET, f"hm AS (SELECT ticker, STDDEV_SAMP(lr) * SQRT(5::DOUBLE) * 100 AS mv FROM lr GROUP BY 1)", select=f"""
-SELECT h.ticker, COALESCE(m.expected_move_pct, {rs('h.mv', 1)}) AS move_pct, CASE WHEN m.expected_move_pct IS NOT NULL THEN 'straddle' ELSE 'history' END AS basis FROM hm h
-LEFT JOIN (SELECT * FROM metrics WHERE LENGTH(ticker) = 7 QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY dte) = 1) m ON m.ticker = h.ticker"""))
+SELECT h.ticker, COALESCE(m.em, {rs('h.mv', 1)}) AS move_pct, CASE WHEN m.em IS NOT NULL THEN 'straddle' ELSE 'history' END AS basis FROM hm h
+LEFT JOIN (SELECT *, CASE WHEN LENGTH(ticker) = 7 THEN expected_move_pct END AS em FROM metrics QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY dte) = 1) m ON m.ticker = h.ticker"""))
 def expected_move(spark, sf_dir):
     """Straddle move of the one-digit names' nearest expiry, historical move otherwise."""
     history = historical_move(data.numbered_bars(spark, sf_dir), 5)
-    near = opt.select_expiries(metrics(spark, sf_dir).where(F.length("ticker") == 7), n=1)
-    df = history.join(near.select("ticker", "expected_move_pct"), "ticker", "left")
+    near = opt.select_expiries(metrics(spark, sf_dir), n=1)
+    straddle = F.when(F.length("ticker") == 7, F.col("expected_move_pct")).alias("expected_move_pct")
+    df = history.join(near.select("ticker", straddle), "ticker", "left")
     move, basis = opt.expected_move(F.col("expected_move_pct"), F.col("move_pct"))
     return df.select("ticker", move.alias("move_pct"), basis.alias("basis"))

@@ -22,20 +22,14 @@ CATALOGUE = Catalogue()
 add = CATALOGUE.add
 
 PROVIDERS = {"primary": 0, "second": 1, "cache": 2}
-PB = """pb AS (SELECT ticker, date, close, ['primary', 'second', 'cache'][p + 1] AS provider, p FROM (SELECT *, UNNEST([0, 1, 2]) AS p FROM bars) WHERE (p = 0 AND date < DATE '1995-02-15' AND LENGTH(ticker) = 8) OR (p = 1 AND LENGTH(ticker) = 8) OR (p = 2 AND ticker <> 'Brand#3'))"""
+PB = """pb AS (SELECT ticker, date, close, ['primary', 'second', 'cache'][p + 1] AS provider, p FROM (SELECT *, CASE WHEN ticker = 'Brand#3' THEN NULL WHEN LENGTH(ticker) < 8 THEN 2 WHEN date < DATE '1995-02-15' THEN 0 ELSE 1 END AS p FROM bars))"""
 
 
 def provider_bars(spark, sf_dir):
-    """The same bars as three providers would hold them: short, full, cached."""
-    names = F.array(*[F.struct(F.lit(n).alias("provider"), F.lit(p).alias("p")) for n, p in PROVIDERS.items()])
-    df = data.bars(spark, sf_dir).select("*", F.inline(names))
-    two = F.length("ticker") == 8
-    keep = (
-        ((F.col("p") == 0) & (F.col("date") < F.lit("1995-02-15").cast("date")) & two)
-        | ((F.col("p") == 1) & two)
-        | ((F.col("p") == 2) & (F.col("ticker") != "Brand#3"))
-    )
-    return df.where(keep).drop("p")
+    """All bars, each tagged with the provider that holds it: early and later ones, cached ones, and some that nobody names."""
+    early = F.col("date") < F.lit("1995-02-15").cast("date")
+    name = F.when(F.length("ticker") < 8, "cache").when(early, "primary").otherwise("second")
+    return data.bars(spark, sf_dir).withColumn("provider", F.when(F.col("ticker") != "Brand#3", name))
 
 
 @add("provider_fallback", with_(BARS, PB, "pc AS (SELECT ticker, provider, p, COUNT(*) AS c FROM pb GROUP BY 1, 2, 3), pw AS (SELECT ticker, MIN(p) AS p FROM pc WHERE c >= 30 GROUP BY 1)", select=f"""
@@ -116,14 +110,15 @@ def asset_list(spark, sf_dir):
 
 
 @add("theme_baskets", """
-WITH b AS (SELECT p_type AS theme, p_name AS bucket, UPPER(p_brand) AS ticker FROM part GROUP BY 1, 2, 3), l AS (SELECT 'BRAND#' || CAST(c_custkey AS VARCHAR) AS ticker, c_mktsegment AS final_label, c_acctbal AS confidence FROM customer WHERE c_custkey % 3 = 0)
+WITH b AS (SELECT p_type AS theme, p_name AS bucket, UPPER(p_brand) AS ticker FROM part GROUP BY 1, 2, 3), l AS (SELECT 'BRAND#' || CAST(c_custkey AS VARCHAR) AS ticker, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS final_label, c_acctbal AS confidence FROM customer)
 SELECT b.theme, b.bucket, b.ticker, l.final_label, """ + r("l.confidence") + """ AS confidence, COALESCE(l.final_label, 'not_scored') AS status FROM b LEFT JOIN l ON l.ticker = b.ticker""")
 def theme_baskets(spark, sf_dir):
     part = data.table(spark, sf_dir, "part")
     baskets = part.groupBy(F.col("p_type").alias("theme"), F.col("p_name").alias("bucket")).agg(F.collect_set("p_brand").alias("tickers"))
-    who = data.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 0)
-    live = who.select(
-        F.concat(F.lit("BRAND#"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_mktsegment").alias("final_label"), F.col("c_acctbal").alias("confidence")
+    key = F.col("c_custkey")
+    label = F.when(key % 3 == 0, F.col("c_mktsegment"))
+    live = data.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("BRAND#"), key.cast("string")).alias("ticker"), label.alias("final_label"), F.col("c_acctbal").alias("confidence")
     )
     return config.theme_rows(baskets, live).select("theme", "bucket", "ticker", "final_label", "confidence", "status")
 
