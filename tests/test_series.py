@@ -180,6 +180,31 @@ def test_steady_fall_scores_low(spark):
     assert series.latest(signals.add_technical_score(df)).first().technical_score < 45
 
 
+def test_correlation_of_the_last_joint_days(spark):
+    """Sparse overlaps: the last 60 joint days may reach far back, and pairs with few of them have no value."""
+    rng = np.random.default_rng(2)
+    days = pd.date_range("1960-01-01", periods=3000).date
+    wide = {}
+    for name, share in (("A", 1.0), ("B", 0.08), ("C", 0.4), ("X", 0.9), ("Y", 0.1), ("Z", 0.012)):
+        picked = np.sort(rng.choice(3000, int(3000 * share), replace=False))
+        wide[name] = pd.Series(100 * np.exp(np.cumsum(rng.normal(0, 0.02, len(picked)))), index=[days[i] for i in picked])
+
+    def frame(names, key):
+        rows = [(n, d, float(c)) for n in names for d, c in wide[n].items()]
+        return series.with_positions(spark.createDataFrame(rows, f"{key} string, date date, close double"), key=key)
+
+    got = {(r.ticker, r.index_name): r["corr"] for r in signals.global_correlations(frame("ABC", "ticker"), frame("XYZ", "index_name")).collect()}
+    want = {}
+    for t in "ABC":
+        for i in "XYZ":
+            joint = pd.concat([wide[t].pct_change(), wide[i].pct_change()], axis=1, join="inner").dropna().tail(60)
+            if len(joint) >= 30:
+                want[t, i] = joint.corr().iloc[0, 1]
+    assert set(got) == set(want) and len(want) >= 5
+    for pair in want:
+        assert abs(got[pair] - want[pair]) <= 0.00501
+
+
 def test_two_bars_are_not_enough_for_a_forecast(spark):
     df = series.tail(trend(spark, 100, 101, rows=2), 253)
     row = series.latest(signals.add_forecasts(df, {"h5": 5})).first()

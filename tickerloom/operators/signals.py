@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import Z95, bearish, bullish, clamp, lines, norm_cdf, pct_change, rnd, rnd_stable
+from ..session import cut_lineage
 from . import indicators as ind
 from . import series
 from .series import blocks, full, last, ordered, own_rows
@@ -216,20 +217,38 @@ def daily_returns(numbered: DataFrame, key: str) -> DataFrame:
     return own_rows(df.withColumn("ret", ret)).where(F.col("ret").isNotNull()).select(key, "date", "ret", "n")
 
 
+#: days of a block; each block of a series is one bitmap
+BITS = 64
+
+
+def day_bits(returns: DataFrame, key: str) -> DataFrame:
+    """(key, block, bits): which days of each block have a return."""
+    one = F.lit(1).cast("long")
+    place = F.pmod(F.col("day"), F.lit(BITS)).cast("int")
+    return returns.groupBy(key, "block").agg(F.bit_or(F.call_function("shiftleft", one, place)).alias("bits"))
+
+
 def global_correlations(bars: DataFrame, index_bars: DataFrame, window: int = 60) -> DataFrame:
     """Correlation of each ticker with each index over their last joint returns.
 
-    The ranked filter keeps `window` rows per pair and Spark applies it before the
-    shuffle as well, so a long joint history never reaches one task.
+    Blocks of 64 days meet as bitmaps, so that a pair's joint days are counted without a
+    row for each.  From the newest block back, only the blocks before the count reaches
+    `window` are read: a pair reads a bounded number of rows however long its history.
     """
-    a = daily_returns(bars, "ticker").select("ticker", "date", F.col("ret").alias("a"))
+    day = F.unix_date("date")
+    block = F.floor(day / BITS)
+    a = daily_returns(bars, "ticker").select("ticker", day.alias("day"), block.alias("block"), F.col("ret").alias("a"))
     b = daily_returns(index_bars, "index_name").where(F.col("n") >= MIN_BARS)
-    joint = a.join(b.select("index_name", "date", F.col("ret").alias("b")), "date")
-    recent = Window.partitionBy("ticker", "index_name").orderBy(F.desc("date"))
+    b = b.select("index_name", day.alias("day"), block.alias("block"), F.col("ret").alias("b"))
+    a, b = cut_lineage(a), cut_lineage(b)
+    both = day_bits(a, "ticker").join(day_bits(b, "index_name").withColumnRenamed("bits", "other"), "block")
+    shared = both.select("ticker", "index_name", "block", F.bit_count(F.col("bits").bitwiseAND(F.col("other"))).alias("n")).where(F.col("n") > 0)
+    newer = Window.partitionBy("ticker", "index_name").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = shared.withColumn("_newer", F.coalesce(F.sum("n").over(newer), F.lit(0))).where(F.col("_newer") < window)
+    joint = needed.select("ticker", "index_name", "block").join(a, ["ticker", "block"]).join(b, ["index_name", "block", "day"])
+    recent = Window.partitionBy("ticker", "index_name").orderBy(F.desc("day"))
     joint = joint.withColumn("_rank", F.row_number().over(recent)).where(F.col("_rank") <= window)
-    out = joint.groupBy("ticker", "index_name").agg(
-        F.corr("a", "b").alias("_corr"), F.count(F.lit(1)).alias("_rows")
-    )
+    out = joint.groupBy("ticker", "index_name").agg(F.corr("a", "b").alias("_corr"), F.count(F.lit(1)).alias("_rows"))
     out = out.where((F.col("_rows") >= MIN_BARS) & F.col("_corr").isNotNull() & ~F.isnan("_corr"))
     return out.select("ticker", "index_name", rnd_stable(F.col("_corr"), 2).alias("corr"))
 
