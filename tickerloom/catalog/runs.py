@@ -120,15 +120,18 @@ def full_scan_leaders(spark, sf_dir):
     return plan.ranked(predictions(spark, sf_dir), 10).select(*SCAN_COLUMNS)
 
 
-HISTORY = f"""ivm AS (SELECT 'Brand#' || CAST(1 + CAST(ticker AS BIGINT) % 25 AS VARCHAR) AS ticker, seq, as_of, avg_iv FROM iv_snapshots QUALIFY ROW_NUMBER() OVER (PARTITION BY 'Brand#' || CAST(1 + CAST(ticker AS BIGINT) % 25 AS VARCHAR) ORDER BY as_of DESC, seq DESC) <= 250),
-ivz AS (SELECT ticker, COUNT(*) AS cnt, MIN(avg_iv) AS lo, MAX(avg_iv) AS hi FROM ivm GROUP BY 1)"""
+HISTORY = f"""ivm AS (SELECT 'Brand#' || CAST(1 + CAST(ticker AS BIGINT) % 25 AS VARCHAR) AS ticker, seq, as_of, expiration, avg_iv FROM iv_snapshots QUALIFY ROW_NUMBER() OVER (PARTITION BY 'Brand#' || CAST(1 + CAST(ticker AS BIGINT) % 25 AS VARCHAR) ORDER BY as_of DESC, seq DESC) <= 250),
+ivz AS (SELECT ticker, COUNT(*) AS cnt, MIN(avg_iv) AS lo, MAX(avg_iv) AS hi FROM ivm GROUP BY 1),
+ivx AS (SELECT ticker, expiration, MIN(avg_iv) AS lo, MAX(avg_iv) AS hi FROM ivm GROUP BY 1, 2 HAVING COUNT(*) >= 20)"""
 _confluence = """COALESCE((up AND c_technical_structure >= 55) OR (dn AND c_technical_structure <= 45), FALSE)::INT + COALESCE((up AND c_price_volume_momentum >= 55) OR (dn AND c_price_volume_momentum <= 45), FALSE)::INT
    + ((up AND opp >= 58) OR (dn AND opp <= 42))::INT + COALESCE((up AND prob >= 0.55) OR (dn AND prob <= 0.45), FALSE)::INT + COALESCE((up AND near_pcr < 0.9) OR (dn AND near_pcr > 1.1), FALSE)::INT"""
 SIGNAL_SQL = f"""gx0 AS (SELECT g.*, s.prob, s.rv, m.put_call_ratio AS near_pcr FROM gated g
     JOIN (SELECT ticker, {r(band(5)['prob_up'], 3)} AS prob, rv, pos, n FROM (SELECT st.*, STDDEV_SAMP(lr) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * SQRT(252::DOUBLE) * 100 AS rv FROM st) WHERE pos = n) s ON s.ticker = g.ticker
     LEFT JOIN (SELECT * FROM metrics QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY dte) = 1) m ON m.ticker = g.ticker),
 gx1 AS (SELECT ticker, CASE WHEN up THEN 'up' WHEN dn THEN 'down' ELSE 'neutral' END AS lean, conviction, data_quality, {_confluence} AS algo, risk_score AS ticker_risk, rv AS realized_vol, dte AS days_to_earnings, is_index, ABS(ret / 100 * current_price) AS expected_points FROM gx0),
-sig2 AS (SELECT t.*, g.* EXCLUDE (ticker), CASE WHEN z.cnt >= 20 AND t.avg_iv IS NOT NULL THEN {rs(clip('CASE WHEN z.hi <= z.lo THEN 50 ELSE (t.avg_iv - z.lo) / (z.hi - z.lo) * 100 END'), 1)} END AS iv_rank FROM term t JOIN gx1 g ON g.ticker = t.ticker LEFT JOIN ivz z ON z.ticker = t.ticker)"""
+sig2 AS (SELECT t.*, g.* EXCLUDE (ticker), CASE WHEN z.cnt >= 20 AND t.avg_iv IS NOT NULL THEN {rs(clip('CASE WHEN COALESCE(x.hi, z.hi) <= COALESCE(x.lo, z.lo) THEN 50 ELSE (t.avg_iv - COALESCE(x.lo, z.lo)) / (COALESCE(x.hi, z.hi) - COALESCE(x.lo, z.lo)) * 100 END'), 1)} END AS iv_rank,
+    CASE WHEN z.cnt >= 20 AND t.avg_iv IS NOT NULL THEN CASE WHEN x.lo IS NOT NULL THEN 'exact_expiration' ELSE 'ticker' END END AS iv_history_scope
+    FROM term t JOIN gx1 g ON g.ticker = t.ticker LEFT JOIN ivz z ON z.ticker = t.ticker LEFT JOIN ivx x ON x.ticker = t.ticker AND x.expiration = CAST(DATE '2024-02-02' + t.dte::INT AS VARCHAR))"""
 _steps = chains.SIGNAL[chains.SIGNAL.index("s3 AS (SELECT") :].replace("CASE WHEN c.contract_id % 3 <> 0 THEN c.oi - 40 * (c.contract_id % 5 - 2) END AS prev", "c.oi - 40 AS prev")
 
 
@@ -140,12 +143,12 @@ def _materialised(sql: str) -> str:
 
 
 @add("scan_expiry_ideas", _materialised(with_(*SCAN_SQL, IV_SNAPSHOTS, HISTORY, chains.TERM, SIGNAL_SQL, _steps, chains.IDEAS, select=f"""
-SELECT * FROM (SELECT ticker, dte::BIGINT AS dte, action, {r('gconf')} AS confidence, {r('option_quality')} AS option_quality, risk_gate, {chains.READY} AS readiness, iv_rank, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY gconf DESC, dte) AS rank FROM ideas) WHERE rank <= 3""")))
+SELECT * FROM (SELECT ticker, dte::BIGINT AS dte, action, {r('gconf')} AS confidence, {r('option_quality')} AS option_quality, risk_gate, {chains.READY} AS readiness, iv_rank, iv_history_scope, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY gconf DESC, dte) AS rank FROM ideas) WHERE rank <= 3""")))
 def scan_expiry_ideas(spark, sf_dir):
     """The three best expiries of every scanned ticker."""
     stored = data.chain(spark, sf_dir).select(
         "ticker", F.col("contract_id").cast("string").alias("contract"), (F.col("oi") - 40).alias("exact_oi")
     )
     history = opt.iv_history(data.iv_snapshots(spark, sf_dir).withColumn("ticker", F.concat(F.lit("Brand#"), (1 + F.col("ticker").cast("long") % 25).cast("string"))))
-    ideas = plan.expiry_ideas(cut_lineage(predictions(spark, sf_dir)), chains.contracts(spark, sf_dir), history, stored)
-    return opt.rank_expiries(ideas).select("ticker", "dte", "action", "confidence", "option_quality", "risk_gate", "readiness", "iv_rank", "rank")
+    ideas = plan.expiry_ideas(cut_lineage(predictions(spark, sf_dir)), chains.contracts(spark, sf_dir), history, stored, F.lit("2024-02-02").cast("date"))
+    return opt.rank_expiries(ideas).select("ticker", "dte", "action", "confidence", "option_quality", "risk_gate", "readiness", "iv_rank", "iv_history_scope", "rank")

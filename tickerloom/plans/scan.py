@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct_change
@@ -151,12 +151,16 @@ def scan(t: ScanTables, profile: str = "swing", horizon_days: int = 5) -> DataFr
     return df.withColumn("severity", level)
 
 
-def expiry_ideas(predictions: DataFrame, chain: DataFrame, iv_history: DataFrame, stored: DataFrame, min_index_points: float = 50.0) -> DataFrame:
-    """Option ideas of every expiry under each ticker's prediction."""
+def expiry_ideas(predictions: DataFrame, chain: DataFrame, iv_history: DataFrame, stored: DataFrame, as_of: Column, min_index_points: float = 50.0) -> DataFrame:
+    """Option ideas of every expiry under each ticker's prediction.
+
+    The history knows expiries by date, so a chain's days to expiry are counted from ``as_of``.
+    """
     metrics = opt.add_skew(opt.add_term_structure(opt.expiry_metrics(chain, ["ticker", "dte"])))
     metrics = opt.join_previous_oi(metrics, stored)
-    current = metrics.select("ticker", F.col("dte").cast("string").alias("expiration"), F.col("avg_iv").alias("current_iv"))
-    ranks = opt.iv_rank(current, iv_history).select("ticker", F.col("expiration").cast("int").alias("dte"), "iv_rank", "iv_percentile")
+    expiry = F.date_add(as_of, F.col("dte").cast("int")).cast("string")
+    current = metrics.select("ticker", "dte", expiry.alias("expiration"), F.col("avg_iv").alias("current_iv"))
+    ranks = opt.iv_rank(current, iv_history).select("ticker", "dte", "iv_rank", "iv_percentile", "iv_history_scope")
     d = F.col("direction")
     votes = scoring.confluence(
         d, F.col("c_technical_structure"), F.col("c_price_volume_momentum"), F.col("opportunity_score"), F.col("prob_up"), F.col("put_call_ratio")
