@@ -97,7 +97,15 @@ class PairTexts(dict):
         return text
 
 
-_texts = PairTexts()
+class IdTexts(dict):
+    """Decimal ids, filled as they occur."""
+
+    def __missing__(self, i: int) -> str:
+        text = self[i] = str(i)
+        return text
+
+
+_texts, _ids = PairTexts(), IdTexts()
 
 
 def closed_text(a: np.ndarray, last_a: np.ndarray, b: np.ndarray, last_b: np.ndarray) -> str:
@@ -107,7 +115,7 @@ def closed_text(a: np.ndarray, last_a: np.ndarray, b: np.ndarray, last_b: np.nda
     longer = np.flatnonzero((last_a > from_a) | (last_b > from_b))
     a, b = a.tolist(), b.tolist()
     for k, i, j, m, n in zip(*(x.tolist() for x in (longer, from_a[longer], last_a[longer] + 1, from_b[longer], last_b[longer] + 1))):
-        texts[k] = group_text((a[i:j], b[m:n]))
+        texts[k] = ",".join([_ids[x] for x in a[i:j]]) + "|" + ",".join([_ids[x] for x in b[m:n]])
     return ";".join(texts)
 
 
@@ -129,7 +137,9 @@ def chunk_fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.
     return Fragment(True, first, [text], len(at_a) - 1, [(a[at_a[1:]], b[at_b[1:]])], rest)
 
 
-def segment_fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, start: int = 0, chunk: int = CHUNK) -> Fragment:
+def segment_fragment(
+    a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, start: int = 0, chunk: int = CHUNK
+) -> Fragment:
     """The fragments of a segment's chunks, composed.  Ends are offsets in the document, past ``start``."""
     end = max(a_ends[-1] if len(a_ends) else start, b_ends[-1] if len(b_ends) else start)
     bounds = [*range((start // chunk + 1) * chunk, int(end), chunk), int(end)]
@@ -145,7 +155,7 @@ class TokenBytes:
 
     def __init__(self, tokens: list[bytes]) -> None:
         self.length = np.array([len(x) for x in tokens], np.int64)
-        self.first = np.cumsum(self.length) - self.length
+        self.first = (np.cumsum(self.length) - self.length).astype(np.int32)
         self.row = np.frombuffer(b"".join(tokens), np.uint8)
 
     def same(self, ids: np.ndarray, data: np.ndarray) -> bool:
@@ -153,8 +163,8 @@ class TokenBytes:
         length = self.length[ids]
         if length.sum() != len(data) or not length.all():
             return False
-        ends = np.cumsum(length)
-        at = np.arange(len(data)) + np.repeat(self.first[ids] - ends + length, length)
+        shift = self.first[ids] - (np.cumsum(length) - length).astype(np.int32)
+        at = np.arange(len(data), dtype=np.int32) + np.repeat(shift, length)
         return bool((self.row[at] == data).all())
 
 
@@ -231,7 +241,9 @@ class Pair:
         if not links:
             return _NONE
         a, b = (np.concatenate([x[k] for x in links]).astype(np.int64) for k in (0, 1))
-        pairs = (a << 32) | b
+        return self.places((a << 32) | b)
+
+    def places(self, pairs: np.ndarray) -> np.ndarray:
         place = self.hashed[self._hash(pairs)]
         other = np.flatnonzero(self.codes[place] != pairs)
         place[other] = np.searchsorted(self.codes, pairs[other])
@@ -258,7 +270,8 @@ class Pair:
         for text in texts:
             a, b = np.array(self.a_ids(text), np.int64), np.array(self.b.encode(text[1:], num_threads=1), np.int64)
             data = np.frombuffer(text.encode(), np.uint8)
-            yield a, b, self.a_table.same(a, data) and self.b_table.same(b, data)
+            # merges of bytes stand for them as they are, so lengths tell of A; B has marks for spaces
+            yield a, b, int(self.a_len[a].sum()) == len(data) and self.b_table.same(b, data)
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
