@@ -22,14 +22,16 @@ CATALOGUE = Catalogue()
 add = CATALOGUE.add
 
 PROVIDERS = {"primary": 0, "second": 1, "cache": 2}
-PB = """pb AS (SELECT ticker, date, close, ['primary', 'second', 'cache'][p + 1] AS provider, p FROM (SELECT *, CASE WHEN ticker = 'Brand#3' THEN NULL WHEN LENGTH(ticker) < 8 THEN 2 WHEN date < DATE '1995-02-15' THEN 0 ELSE 1 END AS p FROM bars))"""
+PB = """pb AS (SELECT ticker, date, close, ['primary', 'second', 'cache'][p + 1] AS provider, p FROM (SELECT * EXCLUDE (k), CASE WHEN (k = 0 AND date < DATE '1995-02-15' AND LENGTH(ticker) = 8) OR (k = 1 AND LENGTH(ticker) = 8) OR (k = 2 AND ticker <> 'Brand#3') THEN k END AS p FROM (SELECT *, UNNEST([0, 1, 2]) AS k FROM bars)))"""
 
 
 def provider_bars(spark, sf_dir):
-    """All bars, each tagged with the provider that holds it: early and later ones, cached ones, and some that nobody names."""
+    """Every bar from each of the three providers: short, full, cached; a bar that one of them does not hold has no provider's name."""
     early = F.col("date") < F.lit("1995-02-15").cast("date")
-    name = F.when(F.length("ticker") < 8, "cache").when(early, "primary").otherwise("second")
-    return data.bars(spark, sf_dir).withColumn("provider", F.when(F.col("ticker") != "Brand#3", name))
+    full = F.length("ticker") == 8
+    held = {"primary": early & full, "second": full, "cache": F.col("ticker") != "Brand#3"}
+    names = F.array(*[F.when(held[name], name) for name in PROVIDERS])
+    return data.bars(spark, sf_dir).withColumn("provider", F.explode(names))
 
 
 @add("provider_fallback", with_(BARS, PB, "pc AS (SELECT ticker, provider, p, COUNT(*) AS c FROM pb GROUP BY 1, 2, 3), pw AS (SELECT ticker, MIN(p) AS p FROM pc WHERE c >= 30 GROUP BY 1)", select=f"""
@@ -39,7 +41,9 @@ def provider_fallback(spark, sf_dir):
     kept = src.with_fallback(provider_bars(spark, sf_dir), PROVIDERS)
     from ..functions.numeric import rnd
 
-    return kept.groupBy("ticker", "provider").agg(F.count(F.lit(1)).alias("bar_count"), rnd(F.sum("close"), 3).alias("close_sum"))
+    # closes have four digits, so their sum as decimals is exact in any order
+    total = F.sum(F.col("close").cast("decimal(38,4)")).cast("double")
+    return kept.groupBy("ticker", "provider").agg(F.count(F.lit(1)).alias("bar_count"), rnd(total, 3).alias("close_sum"))
 
 
 @add("provider_status", with_(BARS, PB, """pt AS (SELECT ticker, p, ['primary', 'second', 'cache'][p + 1] AS provider FROM (SELECT DISTINCT ticker, UNNEST([0, 1, 2]) AS p FROM bars)),
