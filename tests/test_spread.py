@@ -29,3 +29,12 @@ def test_fallback_chooses_among_the_bars_of_three_providers(spark, bar_tables):
     }
     kept = {(r.ticker, r.provider, r.bar_count) for r in records.provider_fallback(spark, bar_tables).collect()}
     assert kept == {("Brand#44", "second", 40), ("Brand#7", "cache", 40)}
+
+
+def test_status_tells_of_every_provider_up_to_the_one_that_won(spark, bar_tables):
+    got = {(r.ticker, r.provider): (r.bar_count, r.status) for r in records.provider_status(spark, bar_tables).collect()}
+    assert got == {
+        ("Brand#44", "primary"): (2, "insufficient_rows"), ("Brand#44", "second"): (40, "ok"),
+        ("Brand#7", "primary"): (0, "missing"), ("Brand#7", "second"): (0, "missing"), ("Brand#7", "cache"): (40, "ok"),
+        ("Brand#3", "primary"): (0, "missing"), ("Brand#3", "second"): (0, "missing"), ("Brand#3", "cache"): (0, "missing"),
+    }
