@@ -1,10 +1,16 @@
 """Whole inputs, and rows that stay spread over the tasks, on hand-made rows."""
 
 import datetime as dt
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tickerloom.catalog import records
+from tickerloom.catalog import feeds, records
+from tickerloom.functions import text as tx
+from tickerloom.operators import text
+from tickerloom.session import run_folder
+from tickerloom.sources import run_logs
 
 
 @pytest.fixture
@@ -38,3 +44,40 @@ def test_status_tells_of_every_provider_up_to_the_one_that_won(spark, bar_tables
         ("Brand#7", "primary"): (0, "missing"), ("Brand#7", "second"): (0, "missing"), ("Brand#7", "cache"): (40, "ok"),
         ("Brand#3", "primary"): (0, "missing"), ("Brand#3", "second"): (0, "missing"), ("Brand#3", "cache"): (0, "missing"),
     }
+
+
+@pytest.fixture
+def documents(spark, tmp_path):
+    """Titles with marks, capitals, foreign letters, copies, white space alone and nothing."""
+    texts = ["Fed & Co: RATES up!", "fed  co rates up", "  --  ", None, "", "İstanbul Kelvin 4K", "日本 a\nb\tc", "x" * 200]
+    rows = [(k, t, f"src-{k % 3}", "en") for k, t in enumerate([*texts, *texts])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_cut_by_their_runs_and_words(spark, documents):
+    items = feeds.news(spark, documents)
+    cut = text.text_runs(items, F.col("title"), 4)
+    assert "split(" not in plan_of(cut)
+    want = set()
+    for r in items.collect():
+        want |= {(r.news_id, "n", w) for w in re.split("[^a-z0-9&]+", (r.title or "").lower()) if len(w) >= 4}
+        want |= {(r.news_id, "s", w) for w in re.split("[^A-Z0-9]+", (r.title or "").upper()) if w}
+    got = [tuple(r) for r in cut.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_items_are_dealt_once_for_their_names(spark, tmp_path):
+    titles = [(1, "Acme rallies, ACME acme", "u"), (2, "B.1 and B.12", "u"), (None, "acme", "u")]
+    names = [("A", "Acme Inc"), ("A", "acmes & acme"), ("B.1", "zz"), (None, "acme")]
+    spark.createDataFrame(titles, "news_id long, title string, url string").write.parquet(f"{tmp_path}/items")
+    spark.createDataFrame(names, "ticker string, company_name string").write.parquet(f"{tmp_path}/assets")
+    items, assets = spark.read.parquet(f"{tmp_path}/items"), spark.read.parquet(f"{tmp_path}/assets")
+    found = text.attach_entities(items, assets)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(1, "A"), (1, None), (2, "B.1"), (None, "A"), (None, None)}
+    assert not re.search(r"hashpartitioning\(news_id#\d+L?, (ticker|token)#", found._jdf.queryExecution().executedPlan().toString())

@@ -90,12 +90,15 @@ def text_runs(items: DataFrame, text: Column, least: int) -> DataFrame:
     Kind n: lower-case letters, digits and & at least ``least`` long, in which company
     words stand; kind s: upper-case letters and digits, of which symbols are made.
     """
+
+    def runs(of: Column, pattern: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(of, F.lit(pattern), F.lit(0)))
+
     kinds = F.array(
-        F.struct(F.lit("n").alias("kind"), F.array_distinct(F.split(F.lower(text), "[^a-z0-9&]+")).alias("runs")),
-        F.struct(F.lit("s").alias("kind"), F.array_distinct(F.split(F.upper(text), "[^A-Z0-9]+")).alias("runs")),
+        F.struct(F.lit("n").alias("kind"), runs(F.lower(text), f"[a-z0-9&]{{{least},}}").alias("runs")),
+        F.struct(F.lit("s").alias("kind"), runs(F.upper(text), "[A-Z0-9]+").alias("runs")),
     )
-    found = items.select("news_id", F.inline(kinds)).select("news_id", "kind", F.explode("runs").alias("run"))
-    return found.where(F.when(F.col("kind") == "n", F.length("run") >= least).otherwise(F.col("run") != ""))
+    return items.select("news_id", F.inline(kinds)).select("news_id", "kind", F.explode("runs").alias("run"))
 
 
 def run_grams(runs: DataFrame, text: str, gram: int) -> DataFrame:
@@ -134,7 +137,7 @@ def attach_entities(items: DataFrame, assets: DataFrame) -> DataFrame:
 
     names = assets.select("ticker", F.explode(tx.company_tokens(F.col("company_name"))).alias("token"))
     pairs = runs_with_words(named.select("run").distinct(), names.select("token").distinct())
-    by_name = named.join(pairs, "run").select("news_id", "token").distinct().join(names, "token").select("news_id", "ticker")
+    by_name = named.join(pairs, "run").select("news_id", F.concat(F.lit("n:"), "token").alias("key"))
 
     whole = F.upper("ticker")
     parts = assets.select("ticker", F.explode(F.array_distinct(F.regexp_extract_all(whole, F.lit("[A-Z0-9]+"), F.lit(0)))).alias("run")).distinct()
@@ -146,7 +149,11 @@ def attach_entities(items: DataFrame, assets: DataFrame) -> DataFrame:
     unsure = spotted.where(~F.col("sure")).join(items.select("news_id", text.alias("_text")), "news_id")
     searched = unsure.where(tx.mentions_symbol(F.col("_text"), F.col("ticker")))
     by_symbol = spotted.where("sure").select("news_id", "ticker").unionByName(searched.select("news_id", "ticker"))
-    return by_name.unionByName(by_symbol).distinct()
+    hits = by_name.unionByName(by_symbol.select("news_id", F.concat(F.lit("s:"), "ticker").alias("key")))
+    symbols = assets.select(F.concat(F.lit("s:"), "ticker").alias("key"), "ticker").where("ticker is not null").distinct()
+    meant = names.select(F.concat(F.lit("n:"), "token").alias("key"), "ticker").unionByName(symbols)
+    # dealt by item once: keys and tickers are made distinct within an item's rows
+    return hits.repartition("news_id").distinct().join(meant, "key").select("news_id", "ticker").distinct()
 
 
 def label_tally(posts: DataFrame, by: list[str]) -> DataFrame:
