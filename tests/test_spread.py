@@ -59,6 +59,20 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("query", [feeds.deduped_titles])
+def test_titles_are_keyed_before_any_exchange(spark, documents, query):
+    lines = plan_of(query(spark, documents)).splitlines()
+    grouped = [x for x in lines if "Aggregate" in x]
+    assert grouped and not any("text#" in x or " title#" in x or "[title#" in x for x in grouped)
+    assert not any("regexp_replace" in x for x in lines)
+
+
+def test_title_keys_as_python_makes_them(spark, documents):
+    for r in feeds.news(spark, documents).select("title", tx.title_key(F.col("title")).alias("key")).collect():
+        want = None if r.title is None else re.sub("[^a-z0-9 ]", "", r.title.lower()).strip(" ")[:90]
+        assert r.key == want
+
+
 def test_texts_are_cut_by_their_runs_and_words(spark, documents):
     items = feeds.news(spark, documents)
     cut = text.text_runs(items, F.col("title"), 4)

@@ -32,6 +32,11 @@ def news(spark, sf_dir):
     )
 
 
+def keyed_news(spark, sf_dir):
+    """Headlines with the key of their title in place of the text."""
+    return news(spark, sf_dir).withColumn("title_key", tx.title_key(F.col("title"))).drop("title")
+
+
 NEWS_O = f"""news_o AS (SELECT *, COALESCE(TRY_CAST(REGEXP_EXTRACT(provider, '(\\d+)', 1) AS INT), 99) AS priority, 'https://news.example/' || CAST(news_id AS VARCHAR) AS url, {KEY} AS tkey FROM news)"""
 MERGED = f"""merged AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker, tkey ORDER BY priority, news_id) AS rn FROM news_o WHERE tkey <> '') WHERE rn = 1 AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR)"""
 
@@ -61,9 +66,9 @@ def newest_headlines(spark, sf_dir):
 SELECT tkey AS title_key, MIN_BY(news_id, {'p': priority, 'i': news_id}) AS news_id, COUNT(*) AS copies FROM news_o WHERE tkey <> '' GROUP BY 1"""))
 def deduped_titles(spark, sf_dir):
     """First item per title over all feeds, with the number of copies."""
-    items = news(spark, sf_dir)
-    first = ops.dedupe_titles(items.select("news_id", "title", "priority", "position"), [], ["priority", "position"])
-    copies = items.groupBy(tx.title_key(F.col("title")).alias("title_key")).agg(F.count(F.lit(1)).alias("copies"))
+    items = keyed_news(spark, sf_dir)
+    first = ops.dedupe_titles(items.select("news_id", "title_key", "priority", "position"), [], ["priority", "position"])
+    copies = items.groupBy("title_key").agg(F.count(F.lit(1)).alias("copies"))
     return first.select("title_key", "news_id").join(copies, "title_key")
 
 

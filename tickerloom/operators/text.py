@@ -49,13 +49,14 @@ def freshness(published_at: Column, as_of: Column, data_type: Column) -> tuple[C
 def dedupe_titles(items: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """First item per normalised title in trust order; empty titles are dropped.
 
+    Items may carry their ``title_key`` instead of the title, so that no text is shuffled.
     A minimum per key combines map-side, so a title copied a billion times costs
     one row per task, not one hot task.
     """
-    keyed = items.withColumn("title_key", tx.title_key(F.col("title"))).where(F.col("title_key") != "")
-    rest = [c for c in items.columns if c not in by and c not in order]
+    keyed = items if "title_key" in items.columns else items.withColumn("title_key", tx.title_key(F.col("title")))
+    rest = [c for c in items.columns if c not in (*by, *order, "title_key")]
     pick = F.min(F.struct(*order, *rest)).alias("_first")
-    return keyed.groupBy(*by, "title_key").agg(pick).select(*by, "title_key", "_first.*")
+    return keyed.where(F.col("title_key") != "").groupBy(*by, "title_key").agg(pick).select(*by, "title_key", "_first.*")
 
 
 def merge_feeds(items: DataFrame, as_of: Column, max_age_hours: int = 24) -> DataFrame:
