@@ -58,7 +58,7 @@ def merged_headlines(spark, sf_dir):
 SELECT * FROM (SELECT ticker, news_id, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY published_at DESC, priority, news_id) AS rank FROM merged) WHERE rank <= 15"""))
 def newest_headlines(spark, sf_dir):
     """The fifteen newest merged headlines of each ticker."""
-    kept = ops.merge_feeds(news(spark, sf_dir), as_of(), 24)
+    kept = ops.merge_feeds(keyed_news(spark, sf_dir), as_of(), 24)
     return ops.newest(kept, "ticker", 15).select("ticker", "news_id", "rank")
 
 
