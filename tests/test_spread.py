@@ -59,7 +59,7 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("query", [feeds.deduped_titles, feeds.newest_headlines])
+@pytest.mark.parametrize("query", [feeds.deduped_titles, feeds.merged_headlines, feeds.newest_headlines])
 def test_titles_are_keyed_before_any_exchange(spark, documents, query):
     lines = plan_of(query(spark, documents)).splitlines()
     grouped = [x for x in lines if "Aggregate" in x]
