@@ -95,3 +95,22 @@ def test_items_are_dealt_once_for_their_names(spark, tmp_path):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == {(1, "A"), (1, None), (2, "B.1"), (None, "A"), (None, None)}
     assert not re.search(r"hashpartitioning\(news_id#\d+L?, (ticker|token)#", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rows_of_logs_are_not_dealt_by_run(spark, monkeypatch):
+    """A first commit knows no run, and its empty manifest has no size that a planner could go by."""
+    rows = spark.createDataFrame([("r0", k) for k in range(50)], "run_id string, value long")
+    rows = rows.withColumn("as_of", F.lit("2024-02-01 10:00:00").cast("timestamp"))
+    base, plans, write = run_folder(spark, "t"), [], run_logs.stage
+
+    def watched(given, *rest):
+        plans.extend(df._jdf.queryExecution().executedPlan().toString() for df in given.values())
+        write(given, *rest)
+
+    monkeypatch.setattr(run_logs, "stage", watched)
+    for _ in range(2):
+        run_logs.commit_runs({"evidence_snapshots": rows}, base)
+    kept = run_logs.read_runs(spark, base, "evidence_snapshots")
+    assert len(plans) == 2 and kept.count() == 50
+    for text_of_plan in plans:
+        assert "BroadcastHashJoin" in text_of_plan and "SortMergeJoin" not in text_of_plan

@@ -4,7 +4,8 @@ The rows of a run go to six tables.  They are staged below an attempt of their o
 become visible together when the run's manifest is written: one small file, put in place
 by one rename.  Readers take the logs through the manifests, so a crash between two logs
 leaves rows that nobody sees, a repeated run adds nothing, and of two attempts at one run
-the first to be committed counts.
+the first to be committed counts.  Manifests hold one row for each run, so they are sent to
+the rows: rows dealt by their run would be as many tasks as there are runs.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def commit_runs(tables: dict[str, DataFrame], base: str, attempt: str | None = N
     spark = next(iter(tables.values())).sparkSession
     attempt = attempt or f"a{uuid.uuid4().hex}"
     known = committed_runs(spark, base).select("run_id")
-    stage({name: df.join(known, "run_id", "left_anti") for name, df in tables.items()}, base, attempt)
+    stage({name: df.join(F.broadcast(known), "run_id", "left_anti") for name, df in tables.items()}, base, attempt)
     counts = []
     for name, df in tables.items():
         staged = spark.read.schema(df.schema).parquet(f"{base}/{name}/attempt={attempt}")
@@ -85,4 +86,4 @@ def read_runs(spark: SparkSession, base: str, name: str, schema: str | None = No
     """The rows of a log that belong to committed runs."""
     reader = spark.read.schema(schema) if schema else spark.read
     rows = reader.parquet(f"{base}/{name}")
-    return rows.join(committed_runs(spark, base).select("run_id", "attempt"), ["run_id", "attempt"]).drop("attempt")
+    return rows.join(F.broadcast(committed_runs(spark, base).select("run_id", "attempt")), ["run_id", "attempt"]).drop("attempt")
