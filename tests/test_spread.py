@@ -85,6 +85,16 @@ def test_texts_are_cut_by_their_runs_and_words(spark, documents):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_texts_are_lowered_once_for_all_keywords(spark, documents):
+    from tickerloom import datasets as data
+
+    names = spark.createDataFrame([("A", "Acme", ["ai", "cloud"], None, None)], "ticker string, company_name string, strategy_tags array<string>, sector string, industry string")
+    links = text.map_impacts(names, data.gov_events(spark, documents), {"ai": ("rates", "kelvin"), "cloud": ("up",)})
+    assert sorted((r.position, r.match_kind) for r in links.collect()) == [(0, "thematic:rates"), (1, "thematic:rates"), (5, "thematic:kelvin")]
+    exploded = [x for x in plan_of(links).splitlines() if "Generate explode" in x and "rates" in x]
+    assert exploded and not any("lower(" in x for x in exploded)
+
+
 def test_items_are_dealt_once_for_their_names(spark, tmp_path):
     titles = [(1, "Acme rallies, ACME acme", "u"), (2, "B.1 and B.12", "u"), (None, "acme", "u")]
     names = [("A", "Acme Inc"), ("A", "acmes & acme"), ("B.1", "zz"), (None, "acme")]

@@ -321,7 +321,7 @@ def impact_links(assets: DataFrame, events: DataFrame, tag_keywords: dict[str, t
     keyed = events.withColumn("event_tag", tag)
     # smallest positions of all events and of the policy ones: a group needs no other event
     firsts = keyed.groupBy("event_tag").agg(F.min(first).alias("any"), F.min(F.when(broad, first)).alias("broad"), F.min("source").alias("source"))
-    low = F.lower("title")
+    low = F.col("_low")
     keywords = sorted({k for words in tag_keywords.values() for k in words})
     present = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in keywords]))
 
@@ -339,7 +339,9 @@ def impact_links(assets: DataFrame, events: DataFrame, tag_keywords: dict[str, t
     themed = assets.select("ticker", wanted.alias("wanted")).where(F.size("wanted") > 0)
     themed = themed.select("ticker", "wanted", F.concat(F.lit("theme:"), F.array_join("wanted", "|")).alias("touch"))
     themes = themed.select("touch", F.explode("wanted").alias("kw")).distinct()
-    found = keyed.where(broad).select("event_tag", F.explode(present).alias("kw")).distinct()
+    # a column of its own: within the generator each keyword would lower the whole text again
+    lowered = keyed.where(broad).select("event_tag", F.lower("title").alias("_low"))
+    found = lowered.select("event_tag", F.explode(present).alias("kw")).distinct()
     by_theme = found.join(themes, "kw").groupBy("event_tag", "touch").agg(F.min("kw").alias("kw")).join(firsts, "event_tag")
     by_theme = by_theme.select("event_tag", "source", "touch", "broad.position", F.lit(1).alias("tier"), "kw", "broad.kind", F.lit(0.0).alias("polarity"))
 
