@@ -8,7 +8,8 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tickerloom.llm import aligned_lines, count_tree, heap_counts, stages
+from tickerloom.llm import aligned_lines, count_tree, hashing, heap_counts, stages, suffix_dedup
+from tickerloom.llm.suffix_array import suffix_array
 
 PIECES = P.path("piece_bpe_32k.model")
 
@@ -168,3 +169,43 @@ def test_stages_equal_plain_python(spark, texts):
             want[doc] = [x for x, g in zip(w, gone) if not g]
     assert {d: t.split() for d, t in kept(stages.without_repeated_windows(frame)).items()} == want
     assert sum(map(len, want.values())) < sum(len(t.split()) for _, t in docs)
+
+
+def test_sets_of_one_chance_key_make_no_family(spark):
+    """Unlike sets that share a key aren't joined by it; near copies are."""
+    rng = np.random.default_rng(12)
+    base = [rng.integers(0, 2**63, 200).astype(np.uint64) for _ in range(40)]
+    near = [np.r_[s[:-4], rng.integers(0, 2**63, 4).astype(np.uint64)] for s in base[:10]]
+    rows = []
+    for k, s in enumerate([*base, *near]):
+        lists = count_tree.class_keys(np.unique(s), 80)
+        # one key that all sets have in common, as a group of one frequent shingle would give
+        keys = [[7, *hashing.signed(found).tolist()] for found, _ in lists]
+        assert all(need > 1 for _, need in lists)
+        rows.append((bytes([k]) * 16, keys, [need for _, need in lists], b""))
+    sets = spark.createDataFrame(rows, "sig binary, keys array<array<long>>, needs array<int>, shingles binary")
+    names = {r["set"]: r["sig"][0] for r in sets.selectExpr("xxhash64(sig) as set", "sig").collect()}
+    got = {frozenset((names[r["a"]], names[r["b"]])) for r in count_tree.family_links(sets).where("a <> b").collect()}
+    assert {x for pair in got for x in pair} == {*range(10), *range(40, 50)}
+
+
+def test_repeated_starts_side_by_side_are_one_entry(spark):
+    """A passage in unlike surroundings brings a few runs of starts, not one entry for each byte."""
+    rng = np.random.default_rng(8)
+    some = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = some(2000)
+    docs = spark.createDataFrame([(k, some(700) + str(k) + passage + str(k) + some(700)) for k in range(3)], "doc_id long, text string")
+    found = {r["doc"]: r["starts"] for r in suffix_dedup.repeated_places(docs, 400).collect()}
+    for k in range(3):
+        starts = sorted(s["start"] + i for s in found[k] for i in range(s["n"]))
+        assert sorted(set(starts)) == list(range(701, 2302))
+        assert len(found[k]) < 100
+
+
+def test_suffixes_of_many_symbols():
+    """Strings of names as the recursion meets them: many symbols and long repeats."""
+    rng = np.random.default_rng(6)
+    part = rng.integers(1, 900, 300)
+    s = np.r_[part, rng.integers(1, 900, 200), part, part, np.full(100, 5), 0]
+    text = s.tolist()
+    assert suffix_array(s, 900).tolist() == sorted(range(len(text)), key=lambda i: text[i:])

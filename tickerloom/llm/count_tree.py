@@ -15,7 +15,10 @@ The other points are dealt out by content.  Sets that link differ in at most D s
 (D follows from the threshold and the largest size of their size class), so of D + r
 groups at least r hold the same shingles in both.  A key is made of each group that
 isn't empty (and of each two empty ones, of a set with r or more), so linked sets
-always share a key.  Sets that share keys form families, and one family is joined in
+always share a key, and a set with e empty groups shares r - e keys or more with any
+that it links with.  Sets that have fewer keys in common with all others together are
+left out of a size class, so that a group of few shingles, which unlike sets may have
+in common, joins none.  The others that share keys form families, and one family is joined in
 blocks: within each block, among the blocks' most central sets, and then, only where a
 family still has several components, between its blocks.  Sets of one component are
 never compared again, so a group of near copies costs about one comparison for each.
@@ -34,7 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -79,11 +82,11 @@ def class_bounds(limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(lows), np.array(highs)
 
 
-def group_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set; linked sets that aren't equal share at least one."""
+def class_keys(hashes: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """Keys of a set for each size class it may link in, and how many it shares at least with any set it links with there."""
     n = len(hashes)
     if not n:
-        return hashes
+        return []
     # sets link with sets of up to 100 / percent of their size
     limit = 1 << max(12, int(100 * n // percent).bit_length())
     lows, highs = class_bounds(limit)
@@ -107,11 +110,19 @@ def group_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         full = np.flatnonzero(count)
         content = sums[ends[full]] - sums[ends[full] - count[full]]
         tag = U64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        out.append(mix(content + mix(full.astype(U64) + tag, 9)))
+        keys = mix(content + mix(full.astype(U64) + tag, 9))
         empty = np.flatnonzero(count == 0).astype(U64)
         if len(empty) >= spare:
             a, b = np.triu_indices(len(empty), 1)
-            out.append(mix(mix(empty[a] + tag, 10) + mix(empty[b], 11)))
+            keys = np.r_[keys, mix(mix(empty[a] + tag, 10) + mix(empty[b], 11))]
+        # of the groups alike, at least ``spare``, only the empty ones have no key
+        out.append((keys, max(1, spare - len(empty))))
+    return out
+
+
+def group_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set; linked sets that aren't equal share at least one."""
+    out = [keys for keys, _ in class_keys(hashes, percent)]
     return np.concatenate(out) if out else hashes[:0]
 
 
@@ -148,7 +159,9 @@ def linkable(signed_docs: DataFrame, percent: int) -> DataFrame:
 
 
 def keyed_sets(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """sig, n, keys and shingles of the sets, made where their texts are read; no text is shuffled.
+    """sig, keys (a list for each size class), needs (how many of each list a link takes) and shingles of the sets.
+
+    They are made where the texts are read; no text is shuffled.
 
     Bits of the rows asked for (8 MB, fixed) keep most other texts out.  What else they
     let through is a set that was put aside, and has no place among the blocks.
@@ -160,24 +173,32 @@ def keyed_sets(texts: DataFrame, sets: DataFrame, size: int, percent: int) -> Da
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame[maybe_repeated(frame["name"].to_numpy(np.int64).view(U64), bits.value)]
         made = [shingles(t, size) for t in frame["text"]]
+        keys = [class_keys(s, percent) for s in made]
         # typed as objects, since a batch may have no row left
         return pd.DataFrame(
             {
                 "sig": [hashlib.md5(s.tobytes()).digest() for s in made],
-                "n": np.array([len(s) for s in made], np.int64),
-                "keys": pd.Series([signed(group_keys(s, percent)) for s in made], dtype=object),
+                "keys": pd.Series([[signed(k) for k, _ in lists] for lists in keys], dtype=object),
+                "needs": pd.Series([[need for _, need in lists] for lists in keys], dtype=object),
                 "shingles": [s.tobytes() for s in made],
             }
         )
 
-    return map_frames(texts.select(name, "text"), each, "sig binary, n long, keys array<long>, shingles binary")
+    return map_frames(texts.select(name, "text"), each, "sig binary, keys array<array<long>>, needs array<int>, shingles binary")
+
+
+def _met(held: DataFrame) -> DataFrame:
+    """Rows whose key another set has too, with low, the smallest set of the key."""
+    same = Window.partitionBy("key")
+    return held.withColumn("low", F.min("set").over(same)).withColumn("high", F.max("set").over(same)).where("low <> high").drop("high")
 
 
-def families(sets: DataFrame) -> DataFrame:
-    """node (a sig) and root for all sets that share a key with another set."""
-    held = sets.select("sig", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key", "low")
-    return components(held.join(shared, "key").where("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b")))
+def family_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between 64-bit names of sets that share a key and have enough shared ones for a link."""
+    lists = sets.select(F.xxhash64("sig").alias("set"), F.posexplode(F.arrays_zip("keys", "needs")).alias("part", "list"))
+    held = lists.select("set", "part", "list.needs", F.explode("list.keys").alias("key"))
+    able = _met(held).withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("set", "part"))).where("times >= needs")
+    return _met(able.select("set", "key")).where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b"))
 
 
 class CountTree:
@@ -261,12 +282,12 @@ def set_links(signed_docs: DataFrame, texts: DataFrame, size: int, percent: int,
     """Links (a, b) between signatures that join every component."""
     able = cut_lineage(linkable(signed_docs, percent))
     sets = cut_lineage(keyed_sets(texts, able, size, percent))
-    family = families(sets).select(F.col("node").alias("sig"), F.col("root").alias("family"))
+    family = components(family_links(sets)).select(F.col("node").alias("set"), F.col("root").alias("family"))
     members = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
     # a family of several blocks is cut by size: sets link within a band or with the next one only
     wide_family = F.col("members") > block_rows
     band = F.when(wide_family, F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))).otherwise(F.lit(0)).cast("int")
-    place = able.select("sig", "n").join(family, "sig").join(members, "family")
+    place = able.select("sig", "n", F.xxhash64("sig").alias("set")).join(family, "set").join(members, "family")
     place = cut_lineage(place.select("family", "sig", wide_family.alias("wide"), band.alias("band")))
     bands = place.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
     place = place.join(bands, ["family", "band"]).withColumn("block", _code(F.col("band"), F.pmod(F.xxhash64("sig"), F.col("parts")))).drop("parts")
