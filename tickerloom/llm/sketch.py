@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .hashing import U64, mix
 
@@ -87,3 +88,16 @@ def maybe_repeated(hashes: np.ndarray, bits: np.ndarray, width: int = WIDTH) ->
     """Mask of the hashes whose cells all have their bit: every hash met often enough, and few others."""
     c = cells(hashes, width)
     return ((bits[(c >> U64(3)).astype(np.int64)] >> (c & U64(7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def maybe_among(wanted: DataFrame) -> Column:
+    """Condition on doc and tag that holds for those of all wanted rows, and for few others (8 MB of bits, fixed)."""
+    name = F.xxhash64("doc", "tag")
+    found = repeated_bits(wanted.select(name.alias("name")), lambda f: f["name"].to_numpy(np.int64).view(U64), least=1)
+    bits = wanted.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf("boolean")
+    def among(names: pd.Series) -> pd.Series:
+        return pd.Series(maybe_repeated(names.to_numpy(np.int64).view(U64), bits.value))
+
+    return among(name)

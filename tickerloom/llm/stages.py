@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import aligned_lines, count_tree, language, substrings
+from .sketch import maybe_among
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -36,15 +38,21 @@ def _with_text(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def _rewritten(docs: DataFrame, marks: DataFrame, mark: str, rewrite) -> DataFrame:
-    """Documents with the texts that ``rewrite(text, marks)`` gives; one that loses its last word goes."""
-    rows = _carried(docs).join(marks, ["doc", "tag"], "left")
+    """Documents with the texts that ``rewrite(text, marks)`` gives; one that loses its last word goes.
+
+    Only rows that may have marks are shuffled, each with one copy of its text.
+    """
+    marks = cut_lineage(marks)
+    rows = _carried(docs).drop("text").withColumn("marked", maybe_among(marks))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
 
     @F.pandas_udf("string")
     def new_text(text: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([None if f is None or not len(f) else rewrite(t, f) for t, f in zip(text, found)], dtype=object)
 
-    rows = rows.withColumn("new_text", new_text("text", mark))
-    return _with_text(rows.where(F.col("new_text").isNull() | F.col("new_text").rlike(r"[^\x20\x09-\x0D]")), docs)
+    changed = rows.where("marked").join(marks, ["doc", "tag"], "left").select("row", new_text(text, mark).alias("new_text"))
+    changed = changed.where(F.col("new_text").isNull() | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
+    return _with_text(rows.where("not marked").select("row", F.lit(None).cast("string").alias("new_text")).union(changed), docs)
 
 
 def known_language(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
