@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from tickerloom.llm import aligned_lines, count_tree, hashing, heap_counts, stages, suffix_dedup
 from tickerloom.llm.suffix_array import suffix_array
@@ -202,6 +203,28 @@ def test_repeated_starts_side_by_side_are_one_entry(spark):
         assert len(found[k]) < 100
 
 
+def test_starts_of_a_large_anchor_are_settled_in_pieces(spark):
+    """Near copies and periodic texts on the hash path: all repeated starts, in few entries."""
+    rng = np.random.default_rng(14)
+    some = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    width, base = 400, some(2500)
+    docs = []
+    for k in range(24):
+        at = int(rng.integers(0, len(base)))
+        docs.append((k, base[:at] + "#" + base[at + 1 :]))
+    docs += [(k, some(k * 10) + "all work and no play " * (30 + k) + some(50)) for k in range(24, 28)]
+    count = {}
+    for _, text in docs:
+        for i in range(len(text) - width + 1):
+            count[text[i : i + width]] = count.get(text[i : i + width], 0) + 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["doc"]: r["starts"] for r in suffix_dedup.repeated_places(frame, width, anchor_bytes=1).collect()}
+    for doc, text in docs:
+        starts = sorted(s["start"] + i for s in found[doc] for i in range(s["n"]))
+        assert sorted(set(starts)) == [i for i in range(len(text) - width + 1) if count[text[i : i + width]] > 1]
+        assert len(found[doc]) < 0.2 * len(starts)
+
+
 def test_suffixes_of_many_symbols():
     """Strings of names as the recursion meets them: many symbols and long repeats."""
     rng = np.random.default_rng(6)
