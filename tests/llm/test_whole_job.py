@@ -225,6 +225,27 @@ def test_starts_of_a_large_anchor_are_settled_in_pieces(spark):
         assert len(found[doc]) < 0.2 * len(starts)
 
 
+def test_sets_of_no_family_are_not_shuffled(spark):
+    sets = spark.range(4000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("sig"), F.lit(b"12345678").alias("shingles"))
+    place = sets.limit(5).select("sig", F.lit(1).alias("family"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(held, ("-1", "false")):
+            spark.conf.set(k, v)
+        joined = count_tree.placed(sets, place)
+        assert len(joined.collect()) == 5
+        plans, written = [joined._jdf.queryExecution().executedPlan()], []
+        while plans:
+            plan = plans.pop()
+            if plan.nodeName() == "Exchange":
+                written.append(plan.metrics().apply("shuffleRecordsWritten").value())
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        assert len(written) >= 2 and max(written) < 50
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_suffixes_of_many_symbols():
     """Strings of names as the recursion meets them: many symbols and long repeats."""
     rng = np.random.default_rng(6)

@@ -44,7 +44,7 @@ from ..session import cut_lineage
 from .components import components
 from .hashing import U64, mix, signed, window_hashes, word_hashes
 from .inputs import map_frames
-from .sketch import maybe_repeated, repeated_bits
+from .sketch import maybe_among, maybe_repeated, repeated_bits
 from .substrings import LAST, keyed
 
 #: coordinates of a point
@@ -278,6 +278,11 @@ def _code(band: Column, part: Column) -> Column:
     return (band.cast("long") * (1 << 24) + part.cast("long")).alias("code")
 
 
+def placed(sets: DataFrame, place: DataFrame) -> DataFrame:
+    """Sets with their place; those that have none are left out before any shuffle."""
+    return sets.where(maybe_among(place, "sig")).join(place, "sig")
+
+
 def set_links(signed_docs: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links (a, b) between signatures that join every component."""
     able = cut_lineage(linkable(signed_docs, percent))
@@ -291,7 +296,7 @@ def set_links(signed_docs: DataFrame, texts: DataFrame, size: int, percent: int,
     place = cut_lineage(place.select("family", "sig", wide_family.alias("wide"), band.alias("band")))
     bands = place.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
     place = place.join(bands, ["family", "band"]).withColumn("block", _code(F.col("band"), F.pmod(F.xxhash64("sig"), F.col("parts")))).drop("parts")
-    sets = cut_lineage(sets.select("sig", "shingles").join(place, "sig"))
+    sets = cut_lineage(placed(sets.select("sig", "shingles"), place))
     link = _linker(percent)
     first = cut_lineage(sets.groupBy("family", "block").applyInPandas(link, LINKS))
     wide = sets.where("wide")

@@ -90,9 +90,9 @@ def maybe_repeated(hashes: np.ndarray, bits: np.ndarray, width: int = WIDTH) ->
     return ((bits[(c >> U64(3)).astype(np.int64)] >> (c & U64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def maybe_among(wanted: DataFrame) -> Column:
-    """Condition on doc and tag that holds for those of all wanted rows, and for few others (8 MB of bits, fixed)."""
-    name = F.xxhash64("doc", "tag")
+def maybe_among(wanted: DataFrame, *by: str) -> Column:
+    """Condition on the columns (doc and tag if none are given) that holds for those of all wanted rows, and for few others (8 MB of bits, fixed)."""
+    name = F.xxhash64(*(by or ("doc", "tag")))
     found = repeated_bits(wanted.select(name.alias("name")), lambda f: f["name"].to_numpy(np.int64).view(U64), least=1)
     bits = wanted.sparkSession.sparkContext.broadcast(found)
 
