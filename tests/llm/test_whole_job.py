@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.llm import aligned_lines, count_tree, hashing, heap_counts, stages, suffix_dedup
+from tickerloom.llm import aligned_lines, count_tree, hashing, heap_counts, queries, stages, suffix_dedup
 from tickerloom.llm.suffix_array import suffix_array
 
 PIECES = P.path("piece_bpe_32k.model")
@@ -253,3 +254,31 @@ def test_suffixes_of_many_symbols():
     s = np.r_[part, rng.integers(1, 900, 200), part, part, np.full(100, 5), 0]
     text = s.tolist()
     assert suffix_array(s, 900).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_planted_passages_are_told_by_removed_bytes(spark, tmp_path):
+    """Passages of over 50 words: both holders lose one of 400 bytes up, none a shorter one; n_bytes is the whole length for all."""
+    rng = np.random.default_rng(3)
+    some = lambda n, least, most: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(least, most)))) for _ in range(n))
+    long, short = some(60, 7, 12), some(60, 4, 5)
+    assert len(long) >= 400 and len(short) < 400
+    texts = [f"{some(80, 3, 9)} {x} {some(80, 3, 9)}".replace("  ", " é ") for x in (long, long, short, short, "", "")] + [None]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    datas = [(t or "").encode() for t in texts]
+    count = {}
+    for d in datas:
+        for i in range(len(d) - 399):
+            count[d[i : i + 400]] = count.get(d[i : i + 400], 0) + 1
+    want = {}
+    for k, d in enumerate(datas):
+        gone = bytearray(len(d))
+        for i in range(len(d) - 399):
+            if count[d[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        kept = bytes(b for b, g in zip(d, gone) if not g)
+        want[k] = (len(d), sum(gone), len([x for x in gone.split(b"\0") if x]), hashlib.sha256(kept).hexdigest())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op3_suffix_array_spans(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert [got[k][1] >= len(long) for k in range(7)] == [True] * 2 + [False] * 5
+    assert [got[k][1] for k in range(2, 7)] == [0] * 5
