@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.llm import aligned_lines, count_tree, hashing, heap_counts, queries, stages, suffix_dedup
+from tickerloom.llm import aligned_lines, count_tree, hashing, heap_counts, queries, stages, substrings, suffix_dedup
 from tickerloom.llm.suffix_array import suffix_array
 
 PIECES = P.path("piece_bpe_32k.model")
@@ -191,6 +191,54 @@ def test_sets_of_one_chance_key_make_no_family(spark):
     assert {x for pair in got for x in pair} == {*range(10), *range(40, 50)}
 
 
+def test_unlike_sets_of_a_large_family_are_not_compared(spark, monkeypatch):
+    """Sets that share 60 of 100 shingles with all others meet only their near copy in a block."""
+    docs, common = [], [f"c{k}" for k in range(60)]
+    for p in range(20):
+        own = [f"p{p}_{k}" for k in range(40)]
+        docs += [(2 * p, " ".join(common + own)), (2 * p + 1, " ".join(common + own[4:] + [f"q{p}_{k}" for k in range(4)]))]
+    linker = count_tree._linker
+
+    def of_few(percent):
+        each = linker(percent)
+
+        def counted(frame):
+            if len(frame) > 4:
+                raise ValueError(f"{len(frame)} sets in a block")
+            return each(frame)
+
+        return counted
+
+    monkeypatch.setattr(count_tree, "_linker", of_few)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = substrings.keyed(frame)
+    signed = count_tree.signatures(frame, 1, 80).cache()
+    links = count_tree.set_links(signed, texts, 1, 80, block_rows=10)
+    doc = {bytes(r["sig"]): r["doc"] for r in signed.select("sig", "doc").collect()}
+    assert {frozenset((doc[bytes(r["a"])], doc[bytes(r["b"])])) for r in links.collect()} == {frozenset((2 * p, 2 * p + 1)) for p in range(20)}
+
+
+def test_sets_that_link_share_a_rarest_shingle(spark):
+    """Against all pairs: pools of words of all frequencies, sets of many sizes, rows of equal id and text."""
+    rng = np.random.default_rng(21)
+    docs = []
+    for k in range(60):
+        base = rng.choice(300, int(rng.integers(5, 60)), replace=False).tolist()
+        for copy in range(int(rng.integers(1, 4))):
+            w = [f"w{x}" if rng.random() > 0.08 else f"z{rng.integers(0, 40)}" for x in base]
+            docs.append((10 * k + copy, " ".join(w)))
+    docs += docs[:30]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = substrings.keyed(frame)
+    links = count_tree.set_links(count_tree.signatures(frame, 1, 80).cache(), texts, 1, 80, block_rows=2)
+    root = {bytes(r["node"]): bytes(r["root"]) for r in count_tree.components(links).collect()}
+    sig = {r["doc"]: bytes(r["sig"]) for r in count_tree.signatures(frame, 1, 80).collect()}
+    want = brute_components(docs, 1, 80)
+    got = {d: root.get(s, s) for d, s in sig.items()}
+    assert all((want[a] == want[b]) == (got[a] == got[b]) for a, b in combinations(sorted(want), 2))
+    assert len(set(want.values())) < len(want)
+
+
 def test_repeated_starts_side_by_side_are_one_entry(spark):
     """A passage in unlike surroundings brings a few runs of starts, not one entry for each byte."""
     rng = np.random.default_rng(8)

@@ -18,10 +18,18 @@ isn't empty (and of each two empty ones, of a set with r or more), so linked set
 always share a key, and a set with e empty groups shares r - e keys or more with any
 that it links with.  Sets that have fewer keys in common with all others together are
 left out of a size class, so that a group of few shingles, which unlike sets may have
-in common, joins none.  The others that share keys form families, and one family is joined in
-blocks: within each block, among the blocks' most central sets, and then, only where a
-family still has several components, between its blocks.  Sets of one component are
-never compared again, so a group of near copies costs about one comparison for each.
+in common, joins none.  The others that share keys form families.
+
+The more sets there are, the more of them share enough keys by chance, and their families
+grow together.  So a family of more than a block is split by its sets' rarest shingles: of two
+that link, each has n shingles of which the other holds s or more (the threshold's share of n),
+so with all shingles in one order, by the number of holders, the n - s + 1 rarest of both
+have one in common.  Sets that share such a shingle form the families that are gone on with.
+
+One family is joined in blocks: within each block, among the blocks' most central sets, and
+then, only where a family still has several components, between its blocks.  Sets of one
+component are never compared again, so a group of near copies costs about one comparison
+for each.
 
 Defined cases: a null, empty or blank text has no shingle and is linked with nothing;
 with fewer words than a shingle takes the whole sequence is one; texts are read whole;
@@ -33,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -56,6 +65,8 @@ BLOCK_ROWS = 1000
 LEAF = 32
 #: a size class ends at so many times its smallest size
 CLASS_RATIO = 1.2
+#: shingles of a frame of rows, about
+ROWS_AT_ONCE = 200_000
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -201,6 +212,50 @@ def family_links(sets: DataFrame) -> DataFrame:
     return _met(able.select("set", "key")).where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b"))
 
 
+def shingle_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """set, least (shingles that a set it links with has of it) and key, one row for each shingle."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [np.frombuffer(x, U64) for x in frame["shingles"]]
+            size = np.array([len(x) for x in made], np.int64)
+            # some sets at a time: texts may be long
+            part = np.cumsum(size) // ROWS_AT_ONCE
+            for p in np.unique(part):
+                at = np.flatnonzero(part == p)
+                n = size[at]
+                least = -(-percent * n // 100)
+                keys = signed(np.concatenate([made[i] for i in at]))
+                yield pd.DataFrame({"set": np.repeat(frame["set"].to_numpy()[at], n), "least": np.repeat(least, n).astype(np.int32), "key": keys})
+
+    return sets.select("set", "shingles").mapInPandas(each, "set long, least int, key long")
+
+
+def rare_links(held: DataFrame) -> DataFrame:
+    """Links (a, b) between sets that have one of their rarest shingles in common; any two that link are joined by them.
+
+    Counted from the most frequent shingle on, the rarest are those from place ``least``;
+    the shingles of one set alone come last, and need no place.
+    """
+    met = _met(held).withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    order = Window.partitionBy("set").orderBy(F.col("times").desc(), F.col("key").desc())
+    # equal rows of a set have one place
+    rare = met.withColumn("place", F.dense_rank().over(order)).where("place >= least")
+    return _met(rare.select("set", "key")).where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b"))
+
+
+def split_families(family: DataFrame, sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """set and family, with the families of more than a block split by their sets' rarest shingles."""
+    wide = family.groupBy("family").count().where(F.col("count") > block_rows).select("family")
+    inside = cut_lineage(family.join(wide, "family", "left_semi"))
+    if inside.limit(1).count() == 0:
+        return family
+    named = sets.select(F.xxhash64("sig").alias("set"), "shingles")
+    held = shingle_rows(named.where(maybe_among(inside, "set")).join(inside.select("set"), "set"), percent)
+    finer = components(rare_links(held)).select(F.col("node").alias("set"), F.col("root").alias("family"))
+    return family.join(wide, "family", "left_anti").select("set", "family").unionByName(finer)
+
+
 class CountTree:
     """Two levels of boxes over count vectors, packed in the order of size and place."""
 
@@ -288,6 +343,7 @@ def set_links(signed_docs: DataFrame, texts: DataFrame, size: int, percent: int,
     able = cut_lineage(linkable(signed_docs, percent))
     sets = cut_lineage(keyed_sets(texts, able, size, percent))
     family = components(family_links(sets)).select(F.col("node").alias("set"), F.col("root").alias("family"))
+    family = split_families(family, sets, percent, block_rows)
     members = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
     # a family of several blocks is cut by size: sets link within a band or with the next one only
     wide_family = F.col("members") > block_rows
