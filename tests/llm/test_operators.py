@@ -43,6 +43,38 @@ def test_top_k_of_copies_and_unsound_vectors(spark):
     assert topk_search.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def broadcast_columns(df):
+    """Columns that a query that has run sent through the driver."""
+    plans, names = [df._jdf.queryExecution().executedPlan()], set()
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif plan.nodeName().endswith("QueryStage"):
+            plans.append(plan.plan())
+        elif plan.nodeName() == "BroadcastExchange":
+            names |= {plan.output().apply(i).name() for i in range(plan.output().size())}
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return names
+
+
+def test_top_k_sends_no_copies_through_the_driver(spark, monkeypatch):
+    """Queries that meet 30 blocks are shuffled to them; as a broadcast all copies would pass the driver."""
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCKS", 2, raising=False)
+    v = np.random.default_rng(3).integers(-300, 300, (1900, 32))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate((v / 256).tolist())], "vec_id long, embedding array<double>")
+    found = topk_search.top_k(df, df.where("vec_id % 3 = 0"), k=3)
+    got = {tuple(r) for r in found.collect()}
+    scores = v @ v.T
+    want = set()
+    for a in range(0, 1900, 3):
+        best = sorted((-int(s), b) for b, s in enumerate(scores[a]) if b != a)[:3]
+        want |= {(a, r, b, -s) for r, (s, b) in enumerate(best, 1)}
+    assert got == want
+    assert not broadcast_columns(found) & {"data", "q_data"}
+
+
 def test_repetition_measures(spark, texts):
     for _, text in texts:
         words = text.encode().split()

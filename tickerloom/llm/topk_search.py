@@ -11,6 +11,10 @@ exactly, and the entries that reach the cutoff are ranked.
 Equal vectors are one candidate (and one query) that carries its k + 1 smallest ids, so
 copies of a vector cost one row each, however many there are.
 
+Blocks of queries are sent to every block of candidates by a shuffle that brings both
+together (never as a broadcast, which would pass the copies for all blocks through the
+driver), as the smallest whole numbers that hold them.
+
 Defined cases: a vector that is null or empty, or holds a null or a component that is
 not finite, takes no part, nor does a row without id; vectors of another length than a
 query's aren't compared with it; equal rows (same id and vector) are one row; ties go
@@ -19,16 +23,22 @@ to the smaller id; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: a block holds at most about so many bytes of vectors as doubles
 BLOCK_BYTES = 4 << 20
-BLOCK = "side_block int, dims int, ids array<long>, data binary"
+#: queries of a block, and blocks of queries that meet a block of candidates at once
+QUERY_ROWS = 256
+QUERY_BLOCKS = 64
+MOST_TASKS = 2000
+BLOCK = "side_block int, dims int, ids array<long>, kind string, data binary"
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
@@ -48,8 +58,15 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     return few.groupBy("vector").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("id", F.col("ids")[0])
 
 
-def _matrix(dims: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.float64).reshape(-1, dims)
+def _packed(vectors: np.ndarray) -> tuple[str, bytes]:
+    """Type and bytes of whole doubles in the smallest type that holds them."""
+    most = np.abs(vectors).max(initial=0)
+    kind = next((k for k in ("i1", "i2", "i4") if most <= np.iinfo(k).max), "f8")
+    return kind, vectors.astype(kind).tobytes()
+
+
+def _matrix(dims: int, kind: str, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(-1, dims).astype(np.float64)
 
 
 def blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
@@ -58,8 +75,10 @@ def blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        data = np.array(frame["vector"].tolist(), np.float64).tobytes()
-        return pd.DataFrame({"side_block": frame["side_block"].iloc[:1], "dims": frame["dims"].iloc[:1], "ids": [frame["id"].tolist()], "data": [data]})
+        kind, data = _packed(np.array(frame["vector"].tolist(), np.float64))
+        return pd.DataFrame(
+            {"side_block": frame["side_block"].iloc[:1], "dims": frame["dims"].iloc[:1], "ids": [frame["id"].tolist()], "kind": [kind], "data": [data]}
+        )
 
     return numbered.groupBy("side_block", "dims").applyInPandas(gather, BLOCK)
 
@@ -86,33 +105,46 @@ def top_k(
     """
     prepare = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), scaled(F.col(f"`{vector_col}`"), factor).alias("vector"))
     asked = prepare(queries).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).dropDuplicates()
-    points = distinct_vectors(prepare(vectors), k)
-    wanted = asked.select("vector").distinct().join(points, "vector")
+    points = cut_lineage(distinct_vectors(prepare(vectors), k))
+    wanted = cut_lineage(asked.select("vector").distinct().join(points, "vector"))
     size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     per_block = max(64, BLOCK_BYTES // (8 * (size["d"] or 1)))
     n_blocks = max(1, -(-size["n"] // per_block))
-    n_query_blocks = max(1, -(-size["n"] // (50 * 256)))
-    candidates = blocks(points, n_blocks)
-    asked_blocks = blocks(wanted, n_query_blocks).select(F.col("side_block").alias("q_block"), "dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    pairs = asked_blocks.withColumn("side_block", every).join(candidates, ["side_block", "dims"])
+    n_query_blocks = max(1, -(-wanted.count() // QUERY_ROWS))
+    n_parts = -(-n_query_blocks // QUERY_BLOCKS)
+    candidates = cut_lineage(blocks(points, n_blocks))
+    asked_blocks = cut_lineage(
+        blocks(wanted, n_query_blocks).select(F.col("side_block").alias("q_block"), "dims", *[F.col(c).alias(f"q_{c}") for c in ("ids", "kind", "data")])
+    )
 
     def parts(dims: int) -> list[slice]:
         cuts = np.linspace(0, dims, min(slices, dims) + 1).astype(int)
         return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def leaders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                q, c = _matrix(r.dims, r.q_data), _matrix(r.dims, r.data)
-                found = np.concatenate([_top(_exact(q[:, s], c[:, s]), k + 1) for s in parts(r.dims)], axis=1)
-                out = []
-                for i in range(len(q)):
-                    own = np.unique(found[i])
-                    out.append(np.sort(_exact(q[i : i + 1], c[own])[0])[::-1][: k + 1].astype(np.int64).tolist())
-                yield pd.DataFrame({"q_block": r.q_block, "dims": r.dims, "query": r.q_ids, "scores": out})
-
-    gathered = pairs.mapInPandas(leaders, "q_block int, dims int, query long, scores array<long>").select(
+    def paired(asked_blocks: DataFrame, fn: Callable[[tuple, tuple], pd.DataFrame], schema: str) -> DataFrame:
+        """Rows that ``fn`` gives for every block of queries with every block of candidates of its length."""
+
+        def each(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            found = [fn(q, c) for c in own.itertuples() for q in asked.itertuples()]
+            return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        key = ["side_block", "q_part", "dims"]
+        # the driver keeps an entry for each task, so their number is bounded
+        dealt = lambda df: df.repartition(min(n_blocks * n_parts, MOST_TASKS), *key).groupBy(*key)
+        sent = asked_blocks.withColumn("side_block", every(n_blocks)).withColumn("q_part", F.floor(F.col("q_block") / QUERY_BLOCKS).cast("int"))
+        return dealt(sent).cogroup(dealt(candidates.withColumn("q_part", every(n_parts)))).applyInPandas(each, schema)
+
+    def leaders(r: tuple, own: tuple) -> pd.DataFrame:
+        q, c = _matrix(r.dims, r.q_kind, r.q_data), _matrix(own.dims, own.kind, own.data)
+        found = np.concatenate([_top(_exact(q[:, s], c[:, s]), k + 1) for s in parts(r.dims)], axis=1)
+        out = []
+        for i in range(len(q)):
+            best = np.unique(found[i])
+            out.append(np.sort(_exact(q[i : i + 1], c[best])[0])[::-1][: k + 1].astype(np.int64).tolist())
+        return pd.DataFrame({"q_block": r.q_block, "dims": r.dims, "query": r.q_ids, "scores": out})
+
+    gathered = paired(asked_blocks, leaders, "q_block int, dims int, query long, scores array<long>").select(
         "q_block", "dims", "query", F.explode("scores").alias("score")
     )
     # the (k+1)-th best of the gathered scores: each block gives k + 1 at most
@@ -125,33 +157,37 @@ def top_k(
         F.sort_array(F.collect_list(F.struct("query", F.when(F.col("n") > k, F.col("kth")).alias("cutoff")))).alias("cutoffs")
     )
 
-    def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                q, c = _matrix(r.dims, r.q_data), _matrix(r.dims, r.data)
-                cut = {x["query"]: x["cutoff"] for x in r.cutoffs}
-                low = np.array([np.iinfo(np.int64).min if cut.get(i) is None else cut[i] for i in r.q_ids], np.float64)
-                cells = parts(r.dims)
-                reach = np.zeros((len(q), len(c)), bool)
-                for s in cells:
-                    reach |= _exact(q[:, s], c[:, s]) >= (low / len(cells))[:, None]
-                at, who = np.nonzero(reach)
-                for begin in range(0, len(at), 200_000):
-                    a, w = at[begin : begin + 200_000], who[begin : begin + 200_000]
-                    if np.abs(q).max() * np.abs(c).max() * r.dims >= 2**53:
-                        scores = np.einsum("ij,ij->i", q[a].astype(np.int64), c[w].astype(np.int64))
-                    else:
-                        scores = np.einsum("ij,ij->i", q[a], c[w]).astype(np.int64)
-                    keep = scores >= low[a]
-                    yield pd.DataFrame({"query": np.array(r.q_ids)[a[keep]], "id": np.array(r.ids)[w[keep]], "score": scores[keep]})
-
-    entries = pairs.join(cutoffs, ["q_block", "dims"]).mapInPandas(resolve, "query long, id long, score long")
+    def resolve(r: tuple, own: tuple) -> pd.DataFrame:
+        q, c = _matrix(r.dims, r.q_kind, r.q_data), _matrix(own.dims, own.kind, own.data)
+        cut = {x["query"]: x["cutoff"] for x in r.cutoffs}
+        low = np.array([np.iinfo(np.int64).min if cut.get(i) is None else cut[i] for i in r.q_ids], np.float64)
+        cells = parts(r.dims)
+        reach = np.zeros((len(q), len(c)), bool)
+        for s in cells:
+            reach |= _exact(q[:, s], c[:, s]) >= (low / len(cells))[:, None]
+        at, who = np.nonzero(reach)
+        ids = np.array(own.ids)
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})]
+        for begin in range(0, len(at), 200_000):
+            a, w = at[begin : begin + 200_000], who[begin : begin + 200_000]
+            if np.abs(q).max() * np.abs(c).max() * r.dims >= 2**53:
+                scores = np.einsum("ij,ij->i", q[a].astype(np.int64), c[w].astype(np.int64))
+            else:
+                scores = np.einsum("ij,ij->i", q[a], c[w]).astype(np.int64)
+            keep = scores >= low[a]
+            # a block gives k + 1 entries of a query at most; each stands for one row or more, its smallest id first
+            a, w, scores = a[keep], w[keep], scores[keep]
+            order = np.lexsort((ids[w], -scores, a))
+            first = np.searchsorted(a[order], a[order], "left")
+            order = order[np.arange(len(order)) - first <= k]
+            out.append(pd.DataFrame({"query": np.array(r.q_ids)[a[order]], "id": ids[w[order]], "score": scores[order]}))
+        return pd.concat(out)
+
+    entries = paired(asked_blocks.hint("merge").join(cutoffs, ["q_block", "dims"]), resolve, "query long, id long, score long")
     # back to rows: each query vector stands for its rows, each candidate for its smallest ids
     ids = points.select("id", "ids")
     hits = entries.join(ids, "id").select("query", "score", F.explode("ids").alias("vec_id"))
     order = [F.col("score").desc(), F.col("vec_id").asc()]
-    from pyspark.sql import Window
-
     near = hits.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") <= k + 1)
     lists = near.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id"))).alias("hits"))
     rows = asked.select(F.col("vec_id").alias("query_id"), "vector").join(points.select("vector", F.col("id").alias("query")), "vector").select("query_id", "query")
